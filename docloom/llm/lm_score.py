@@ -1,0 +1,123 @@
+"""Language-model scoring by cross-entropy difference.
+
+Two matched trigram models, one of a target collection and one of all documents (background),
+over one vocabulary: the 256 byte values, with 0 as the mark before a text. Both use the same
+interpolated estimate
+
+    P(c | a b) = (n(a b c) + MU * P(c | b)) / (n(a b .) + MU),  likewise down to 1 / 256.
+
+A token's loss is -log2 P; a document's score is the mean over its tokens of target loss less
+background loss: below 0 it is closer to the target.
+
+Counts come from every byte of every document. A partition sums its trigrams before the shuffle;
+the model has at most 256**3 rows, a bound that does not depend on the data, and reaches the
+executors as a broadcast of the trigrams that occur.
+
+Defined cases: a null or empty text has no tokens and null losses; an empty target gives the
+target model of no counts, 1 / 256 everywhere; repeated rows count each time; ids of the target
+without a document change nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from .common import map_batches
+
+MU = 64.0
+V = 256
+
+
+def trigrams(text: bytes) -> np.ndarray:
+    """The trigram number of every byte of text, from two marks on."""
+    b = np.frombuffer(b"\0\0" + text, np.uint8).astype(np.int32)
+    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(V**3, np.int64)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text:
+                keys, n = np.unique(trigrams(text), return_counts=True) if len(text) > 4096 else (trigrams(text), None)
+                if n is None:
+                    np.add.at(counts, keys, 1)
+                else:
+                    counts[keys] += n
+    keys = np.flatnonzero(counts)
+    for i in range(0, len(keys), 50_000):
+        k = keys[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[k])], ["gram", "n"])
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """gram, n of a frame with one column, text (binary)."""
+    return map_batches(texts, _count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class TrigramModel:
+    gram: np.ndarray
+    n: np.ndarray
+    mu: float = MU
+
+    def losses(self) -> np.ndarray:
+        """-log2 P of every trigram, a table of 256**3 float32."""
+        hi, lo = self.gram >> 8, self.gram & 0xFF
+        n2 = np.bincount(self.gram & 0xFFFF, self.n, V * V).reshape(V, V)
+        n1 = n2.sum(0)
+        p1 = (n1 + self.mu / V) / (n1.sum() + self.mu)
+        p2 = (n2 + self.mu * p1) / (n2.sum(1, keepdims=True) + self.mu)
+        context = np.bincount(hi, self.n, V * V).reshape(V, V)
+        wide, narrow = (x.astype(np.float32) for x in (np.log2(context + self.mu), np.log2(self.mu * p2)))
+        table = wide[:, :, None] - narrow[None, :, :]
+        p = (self.n + self.mu * p2[hi & 0xFF, lo]) / (context[hi >> 8, hi & 0xFF] + self.mu)
+        table[hi >> 8, hi & 0xFF, lo] = -np.log2(p)
+        return table.reshape(-1)
+
+
+def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[TrigramModel, TrigramModel]:
+    """Target and background model. target: ids (a column named as id_col)."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
+    ids = target.select(F.col(id_col).alias("id")).distinct()
+    near, all_ = counted(rows.join(ids, "id", "left_semi").select("text")), counted(rows.select("text"))
+    both = (
+        all_.withColumnRenamed("n", "b").join(near.withColumnRenamed("n", "t"), "gram", "left")
+        .select("gram", F.coalesce("t", F.lit(0)).alias("t"), "b").toArrow()
+    )
+    gram, t, b = (both[c].to_numpy().astype(np.int64) for c in ("gram", "t", "b"))
+    order = np.argsort(gram)
+    gram, t, b = gram[order], t[order], b[order]
+    return TrigramModel(gram[t > 0], t[t > 0]), TrigramModel(gram, b)
+
+
+def score(docs: DataFrame, models: tuple[TrigramModel, TrigramModel], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, loss_target, loss_background, ce_diff (bits a token)."""
+    sent = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = None
+        for batch in batches:
+            if tables is None:
+                tables = [m.losses() for m in sent.value]
+            out: list[list] = [[], [], []]
+            for text in batch.column("text").to_pylist():
+                keys = trigrams(text) if text else ()
+                out[0].append(len(keys))
+                for o, table in zip(out[1:], tables, strict=True):
+                    o.append(float(table[keys].mean(dtype=np.float64)) if len(keys) else None)
+            t, b = out[1], out[2]
+            diff = [None if x is None else x - y for x, y in zip(t, b, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(out[0], pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64()), pa.array(diff, pa.float64())],
+                ["id", "n_tokens", "loss_target", "loss_background", "ce_diff"],
+            )
+
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_batches(rows, run, f"id {kind}, n_tokens long, loss_target double, loss_background double, ce_diff double")
