@@ -84,7 +84,8 @@ class TrigramModel:
 def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[TrigramModel, TrigramModel]:
     """Target and background model. target: ids (a column named as id_col)."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
-    ids = target.select(F.col(id_col).alias("id")).distinct()
+    # the ids grow with the labels, so they are never broadcast
+    ids = target.select(F.col(id_col).alias("id")).distinct().hint("merge")
     near, all_ = counted(rows.join(ids, "id", "left_semi").select("text")), counted(rows.select("text"))
     both = (
         all_.withColumnRenamed("n", "b").join(near.withColumnRenamed("n", "t"), "gram", "left")
