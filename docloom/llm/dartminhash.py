@@ -167,7 +167,7 @@ def compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
         F.col("a").alias("dst"), F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("salt"), F.col("b").alias("node")
     )
     visits = written(leaders.union(members).join(nodes, "node"), "visits")
-    fetched = visits.join(rows, visits["id"].eqNullSafe(rows["id"])).select("dst", "salt", "node", "words", "text")
+    fetched = visits.hint("merge").join(rows, visits["id"].eqNullSafe(rows["id"])).select("dst", "salt", "node", "words", "text")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lined = fetched.repartition(n, "dst", "salt").sortWithinPartitions("dst", "salt", F.col("node") != F.col("dst"))
     return map_batches(lined, _compare, "a long, b long, similarity double").distinct()
@@ -220,7 +220,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """docs with one row of each class, all columns kept. Of rows that agree in id and text one
     stays; other rows that share the id of a row that stays, stay too."""
-    kept = near_groups(docs, id_col, text_col, similar).where("kept").select(F.col("id").alias("__k_id"))
+    kept = near_groups(docs, id_col, text_col, similar).where("kept").select(F.col("id").alias("__k_id")).hint("merge")
     keyed = docs.withColumns({"__r_id": docs[id_col], "__r_hash": F.xxhash64(docs[text_col])})
     stay = keyed.join(kept, F.col("__r_id").eqNullSafe(F.col("__k_id")), "left_semi")
     return stay.dropDuplicates(["__r_id", "__r_hash"]).drop("__r_id", "__r_hash")

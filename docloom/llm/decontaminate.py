@@ -105,7 +105,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     index = postings(rows, looked.select("term").distinct())
     found = written(alignments(index, looked), "alignments")
     texts = windows.groupBy("item", "words").agg(F.first("size").alias("size")).select(F.col("item").alias("i2"), F.col("words").alias("item_words"), "size")
-    docs_of = found.select(F.col("id").alias("d2"), F.col("h").alias("h2")).distinct()
+    docs_of = found.select(F.col("id").alias("d2"), F.col("h").alias("h2")).distinct().hint("merge")  # grows with the documents
     held = rows.join(docs_of, _same(F.col("id"), F.col("d2")) & _same(F.col("h"), F.col("h2")), "left_semi").dropDuplicates(["id", "h"])
     held = held.select(F.col("id").alias("d3"), F.col("h").alias("h3"), words_col(F.col("text")).alias("doc_words"))
     checked = found.join(held, _same(F.col("id"), F.col("d3")) & _same(F.col("h"), F.col("h3"))).join(texts, F.col("item") == F.col("i2"))
@@ -168,6 +168,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs without contaminated rows, all columns kept."""
-    bad = phrase_matches(docs, items, id_col, text_col, item_col, item_text, window).select(F.col("id").alias("__b_id"), F.col("h").alias("__b_h")).distinct()
+    bad = phrase_matches(docs, items, id_col, text_col, item_col, item_text, window).select(F.col("id").alias("__b_id"), F.col("h").alias("__b_h")).distinct().hint("merge")
     keyed = docs.withColumns({"__r_id": docs[id_col], "__r_h": F.xxhash64(docs[text_col])})
     return keyed.join(bad, _same(F.col("__r_id"), F.col("__b_id")) & _same(F.col("__r_h"), F.col("__b_h")), "left_anti").drop("__r_id", "__r_h")

@@ -112,7 +112,7 @@ def drop_exact(
     groups = exact_groups(docs, id_col, text_col, counters)
     kept = groups.where("kept").select(
         F.col("id").alias("__k_id"), F.col("digest").alias("__k_digest"), F.col("size").alias("__k_size")
-    )
+    ).hint("merge")  # grows with the documents
     text = docs[text_col]
     keyed = docs.withColumns({
         "__r_id": docs[id_col],

@@ -198,7 +198,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     size = alone.agg(F.sum(F.col("one.s1") - F.col("one.s0") + least)).first()[0] or 0
     collections = max(1, -(-size // COLLECTION))
     carriers = alone.select("fp", "seg", "kinds", F.col("one.id").alias("cid"), F.col("one.h").alias("ch"), F.col("one.s0").alias("s0"), F.col("one.s1").alias("s1"))
-    texts = docs.join(carriers, docs["id"].eqNullSafe(F.col("cid")) & (docs["h"] == F.col("ch")))
+    texts = docs.join(carriers.hint("merge"), docs["id"].eqNullSafe(F.col("cid")) & (docs["h"] == F.col("ch")))
     cut = texts.select("fp", "seg", "kinds", F.substring("text", F.col("s0").cast("int") + 1, (F.col("s1") - F.col("s0")).cast("int") + least).alias("part")).dropDuplicates(["fp", "seg"])
     parts = written(cut, "parts")
 
@@ -252,7 +252,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("h", F.hash("text"))
     found = repeated_passages(rows, least, gram)
     spans = found.groupBy(F.col("id").alias("d2"), F.col("h").alias("h2")).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    joined = rows.join(spans, rows["id"].eqNullSafe(F.col("d2")) & (rows["h"] == F.col("h2")), "left").select("id", "text", "runs")
+    joined = rows.join(spans.hint("merge"), rows["id"].eqNullSafe(F.col("d2")) & (rows["h"] == F.col("h2")), "left").select("id", "text", "runs")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
