@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import table_plans, text_plans
+
 
 def queries() -> dict:
-    return {}
+    return text_plans.QUERIES | table_plans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_plans.SQL | table_plans.SQL
