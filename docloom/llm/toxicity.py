@@ -67,11 +67,11 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 1e-
     k = n_grades - 1
     params = np.concatenate([np.zeros(f), [1.0], np.zeros(k - 1)])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    rows = np.arange(n)
+    rows, x = np.arange(n), np.ascontiguousarray(x, np.float32)
     for step in range(1, steps + 1):
         w, first, gaps = params[:f], params[f], np.exp(params[f + 1 :])
         theta = np.concatenate([[first], first + np.cumsum(gaps)])
-        s = _sigmoid((x @ w)[:, None] - theta)
+        s = _sigmoid((x @ w.astype(np.float32)).astype(float)[:, None] - theta)
         above = np.concatenate([np.ones((n, 1)), s, np.zeros((n, 1))], axis=1)
         p = np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-9)
         slope = np.concatenate([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))], axis=1)
@@ -82,7 +82,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 1e-
         np.add.at(g_theta, grade + 1, -upper / n)
         g_theta = g_theta[1 : k + 1]
         tail = np.cumsum(g_theta[::-1])[::-1]
-        grad = np.concatenate([x.T @ gz + l2 * w, [tail[0]], tail[1:] * gaps])
+        grad = np.concatenate([(gz.astype(np.float32) @ x).astype(float) + l2 * w, [tail[0]], tail[1:] * gaps])
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
