@@ -14,7 +14,9 @@ repeated rows are packed each; an empty table gives an empty result; further col
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,38 +31,57 @@ CAPACITY = 2048
 GROUP = 20_000
 #: The pieces of text that byte-level BPE merges within (white space by Unicode property).
 SPLIT = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+    r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+#: The same for texts of ASCII and Latin letters only, where the classes can be spelt out.
+_L, _S = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"\t-\r "
+LATIN = rf" ?[{_L}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}0-9{_L}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+_OTHER = re.compile("[^\x00-\x7F\u00C0-\u024F]").search
 
 
-class Encoder:
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: itself if it is printable, else the
+    next one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Encoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit bytes. A text's ids are the ids of
     the words that the tokenizer's own pattern splits it into, one after the other; each word is
-    encoded by the tokenizer once and kept."""
+    encoded by the tokenizer's model once and kept, up to `keep` words."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         import regex
         from tokenizers import Tokenizer
 
-        self._split = regex.compile(SPLIT).findall
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
-        self._keep = keep
+        super().__init__()
+        self._any, self._latin = regex.compile(SPLIT).findall, re.compile(LATIN).findall
+        self._model, self._keep = Tokenizer.from_file(path).model, keep
+        self._letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self._letters)
+        ids = self[word] = array("I", [t.id for t in self._model.tokenize(letters)]).tobytes()
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        words, known = self._split(text), self._known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > self._keep:
-            known.clear()
-        missing = list({w for w in words if w not in known})
-        for w, e in zip(missing, self._tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if len(self) > self._keep:
+            self.clear()
+        words = self._any(text) if _OTHER(text) else self._latin(text)
+        return b"".join([self[w] for w in words])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this process; it stays for the next task of a worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -71,7 +92,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(tokenizer: str, capacity: int, end: bytes, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
