@@ -173,6 +173,11 @@ def compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return map_batches(lined, _compare, "a long, b long, similarity double").distinct()
 
 
+def _sizes_allow(a: str, b: str, similar: float):
+    """Whether two weights can belong to a similar pair: Jaccard is at most their ratio."""
+    return F.least(a, b) >= similar * F.greatest(a, b)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per row of docs: id, row, class_id (smallest id of its class), class_size (rows),
     n_links (compared nodes found similar to its node), kept (one row of each class)."""
@@ -185,18 +190,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = signed.groupBy("words").agg(F.min("row").alias("node"))
     texts = signed.join(first.select(F.col("node").alias("row")), "row", "left_semi")
     nodes = texts.select(F.col("row").alias("node"), "id", "words")
-    members = written(texts.where("n > 0").select(F.explode("bands").alias("h"), F.col("row").alias("node")), "bands")
-    shared = members.groupBy("h").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", "lead")
+    members = written(texts.where("n > 0").select(F.explode("bands").alias("h"), F.col("row").alias("node"), "n"), "bands")
+    shared = members.groupBy("h").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("h", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"))
     buckets = written(members.join(shared, "h"), "buckets")
-    stars = written(buckets.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    stars = written(buckets.where((F.col("node") != F.col("lead")) & _sizes_allow("n", "lead_n", similar)).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = written(compared(stars, nodes, rows).where(F.col("similarity") >= similar), "links")
     comps = components(None, links.select("a", "b"))
     placed = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
     open_ = written(placed.join(split, "h", "left_semi"), "open")
-    other = open_.select("h", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
+    other = open_.select("h", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
     rest = written(
         open_.join(other, "h").where("node < node2 and comp <> comp2 and node <> lead and node2 <> lead")
+        .where(_sizes_allow("n", "n2", similar))
         .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"),
         "rest",
     )
