@@ -7,7 +7,8 @@ A byte goes if a passage of `least` bytes that covers it starts anywhere else to
    repeat. Neighbouring passages with one anchor form a segment; each passage is in one segment.
 2. Segments that are equal as a whole repeat wholly. Of an anchor with several different
    segments, one copy of each goes into a collection.
-3. Collections (all segments of an anchor are in the same one) get their Burrows-Wheeler
+3. Segments are trimmed to the part whose 2 * GRAM-byte runs occur twice in the collection; what
+   falls away cannot repeat. Collections (all segments of an anchor are in the same one) get their Burrows-Wheeler
    transform column by column: each round inserts, for every segment at once, the next symbol
    from the right, at the place that rank counting on the transform gives, and carries along the
    row of each suffix. Suffixes with a common prefix of `least` bytes stand together in the end;
@@ -172,6 +173,21 @@ def repeated_starts(strings: list[bytes], least: int = LEAST) -> list[np.ndarray
     return [np.array(sorted(o), np.int64) for o in out]
 
 
+def possible(strings: list[bytes], least: int = LEAST, gram: int = 2 * GRAM) -> list[tuple[int, int]]:
+    """For each string the part from, to outside of which no passage can repeat: all runs of
+    `gram` bytes in a repeated passage occur twice. (0, 0) if there is none."""
+    if gram > least:
+        return [(0, len(x)) for x in strings]
+    hashes = [gram_hashes(np.frombuffer(x, np.uint8), gram) for x in strings]
+    _, at, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    twice, need, out, base = n[at] > 1, least - gram + 1, [], 0
+    for h in hashes:
+        long = [(a, b) for a, b in _runs(np.flatnonzero(twice[base : base + len(h)])) if b - a + 1 >= need]
+        out.append((long[0][0], long[-1][1] + gram) if long else (0, 0))
+        base += len(h)
+    return out
+
+
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     """First and last of each run of consecutive numbers."""
     if not len(starts):
@@ -203,8 +219,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     parts = written(cut, "parts")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = [_runs(s) for s in repeated_starts(pdf["part"].tolist(), least)]
-        rows = [(f, s, a, b) for f, s, r in zip(pdf["fp"], pdf["seg"], runs, strict=True) for a, b in r]
+        parts = pdf["part"].tolist()
+        spans = possible(parts, least)
+        found = repeated_starts([x[a:b] for x, (a, b) in zip(parts, spans, strict=True)], least)
+        rows = [
+            (f, s, a + lo, b + lo)
+            for f, s, starts, (lo, _) in zip(pdf["fp"], pdf["seg"], found, spans, strict=True) for a, b in _runs(starts)
+        ]
         return pd.DataFrame(rows, columns=["fp", "seg", "a", "b"]).astype("int64")
 
     shape = "fp long, seg long, a long, b long"
