@@ -9,9 +9,14 @@ weight) are thrown first, and more until no coordinate is empty, so the work for
 its weight plus k log k.
 
 Documents with equal words are one node. Nodes that agree in a band are candidates: each bucket
-compares its members with its smallest one, exactly, on the shingles. Components of the links
-found are then known; what is compared last are members of a bucket that are still in different
-components, so no link is lost to the star and groups of copies give no pairs.
+compares its members with its most central one (the largest sum of bucket sizes), exactly, on the
+shingles. Components of the links found are then known; what is compared last are members of a
+bucket that are still in different components, so no link is lost to the star and groups of copies
+give no pairs. Before that, strips that only one of these nodes has are counted: with w shared
+strips of n, a pair's intersection is at most the smaller w, which bounds its similarity. Nodes
+with w < 0.8 n have no partner and go, as do buckets left with one component; then the strips are
+counted again among those that stay. What the bound rules out cannot be a link, so leaving it out
+is exact.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts without words
 are one class of their own kind (equal words); repeated rows fall in one class; null ids are
@@ -36,6 +41,10 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 5
 #: Members that one task compares with a leader before the leader is repeated.
 RUN = 512
+#: Strips in a row of the table of strips.
+CHUNK = 64
+#: Times that shared strips are counted; any number gives the same links, further ones rule out little.
+COUNTS = 2
 
 _U = np.uint64
 #: P(at most j darts) of Poisson(1).
@@ -158,6 +167,44 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
 
 
+def _strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strips of each node, CHUNK in a row."""
+    hashes = Hashes()
+    for batch in batches:
+        for node, words, text in zip(*(batch.column(c).to_pylist() for c in ("node", "words", "text")), strict=True):
+            tokens = byte_words(text)
+            if xxhash.xxh3_128_digest(b" ".join(tokens)) != words:
+                continue  # another row with the same id
+            own = elements([tokens], hashes)[0].view(np.int64)
+            cuts = np.append(np.arange(0, len(own), CHUNK), len(own)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lists), node)), lists], ["node", "strips"])
+
+
+def strips_of(some: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, strips: the strips of the nodes of `some`, in pieces."""
+    wanted = written(some.select("node").distinct().join(nodes, "node"), "wanted")
+    fetched = wanted.hint("merge").join(rows, wanted["id"].eqNullSafe(rows["id"])).select("node", "words", "text")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(map_batches(fetched, _strips, "node long, strips array<long>").repartition(n), "strips")
+
+
+def several(open_: DataFrame) -> DataFrame:
+    """The rows of buckets h that have more than one component comp."""
+    split = open_.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+    return open_.join(split, "h", "left_semi")
+
+
+def bounded(open_: DataFrame, strips: DataFrame, similar: float) -> DataFrame:
+    """open_ with w, the number of strips of a node that another node of open_ has too, without
+    what cannot have a partner. A node that comes twice in strips counts as two, which only makes w larger."""
+    each = strips.join(open_.select("node").distinct(), "node", "left_semi").select("node", F.explode("strips").alias("strip"))
+    alone = each.groupBy("strip").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    u = alone.groupBy("node").agg(F.count("*").alias("u"))
+    w = open_.drop("w").join(u, "node", "left").withColumn("w", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    return written(several(w.where(F.col("w") >= similar * F.col("n") - 1e-6)), "bounded")
+
+
 def compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """a, b, similarity of pairs of nodes. A leader `a` with many partners is repeated for each
     RUN of them. nodes: node, id, words; rows: id, text (binary)."""
@@ -191,19 +238,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = signed.join(first.select(F.col("node").alias("row")), "row", "left_semi")
     nodes = texts.select(F.col("row").alias("node"), "id", "words")
     members = written(texts.where("n > 0").select(F.explode("bands").alias("h"), F.col("row").alias("node"), "n"), "bands")
-    shared = members.groupBy("h").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("h", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"))
-    buckets = written(members.join(shared, "h"), "buckets")
+    shared = members.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    placed = written(members.join(shared, "h"), "placed")
+    central = placed.groupBy("node").agg(F.sum("c").alias("central"))
+    leads = placed.join(central, "node").groupBy("h").agg(F.max(F.struct("central", "node", "n")).alias("l"))
+    buckets = written(placed.drop("c").join(leads.select("h", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n")), "h"), "buckets")
     stars = written(buckets.where((F.col("node") != F.col("lead")) & _sizes_allow("n", "lead_n", similar)).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = written(compared(stars, nodes, rows).where(F.col("similarity") >= similar), "links")
     comps = components(None, links.select("a", "b"))
     placed = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    open_ = written(placed.join(split, "h", "left_semi"), "open")
-    other = open_.select("h", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
+    open_ = written(several(placed.select("h", "node", "comp", "n")), "open")
+    strips = strips_of(open_, nodes, rows)
+    for _ in range(COUNTS):
+        open_ = bounded(open_, strips, similar)
+    own = open_.select("node").distinct().join(signed.select(F.col("row").alias("node"), "bands"), "node")
+    open_ = written(open_.join(own, "node"), "open")
+    other = open_.select("h", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("w").alias("w2"), F.col("bands").alias("bands2"))
+    both = F.least("w", "w2")
+    met = (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & (both >= similar * (F.col("n") + F.col("n2") - both) - 1e-6)
+    once = met & (F.array_min(F.array_intersect("bands", "bands2")) == F.col("h"))  # a pair meets in the first bucket it shares
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = written(
-        open_.join(other, "h").where("node < node2 and comp <> comp2 and node <> lead and node2 <> lead")
-        .where(_sizes_allow("n", "n2", similar))
-        .select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"),
+        open_.join(other, "h").where(once).select(F.col("node").alias("a"), F.col("node2").alias("b")).join(known, ["a", "b"], "left_anti"),
         "rest",
     )
     if not rest.isEmpty():
