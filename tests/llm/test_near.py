@@ -1,4 +1,5 @@
 import itertools
+import random
 from collections import Counter
 
 import numpy as np
@@ -51,6 +52,20 @@ def test_chain_whose_ends_differ_is_one_class(spark):
     assert {(r.id, r.class_id) for r in dm.near_groups(docs).collect()} == set(brute(list(enumerate(chain))))
 
 
+def test_family_around_the_threshold_matches_brute_force(spark):
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(150)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for place in rng.sample(range(150), rng.randrange(1, 9)):
+            w[place] = f"m{rng.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    got = {(r.id, r.class_id) for r in dm.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(brute(rows))
+    assert len({c for _, c in got}) > 5
+
+
 def test_drop_and_empty(spark):
     docs = cases.frame(spark)
     left = dm.drop_near(docs)
