@@ -10,8 +10,8 @@ A byte goes if a passage of `least` bytes that covers it starts anywhere else to
 3. Segments are trimmed to the part whose 2 * GRAM-byte runs occur twice in the collection; what
    falls away cannot repeat. Collections (all segments of an anchor are in the same one) get their Burrows-Wheeler
    transform column by column: each round inserts, for every segment at once, the next symbol
-   from the right, at the place that rank counting on the transform gives, and carries along the
-   row of each suffix. Suffixes with a common prefix of `least` bytes stand together in the end;
+   from the right, at the place that rank counting on the transform gives. The same counting on
+   the finished transform gives the row of each suffix. Suffixes with a common prefix of `least` bytes stand together in the end;
    neighbours that have one are marked.
 4. Marked passages of all copies of a segment are merged to spans and cut out.
 
@@ -108,69 +108,129 @@ def _segments(least: int, gram: int):
     return run
 
 
+class _Column:
+    """The transform while it grows: symbols in row order, cut into blocks of about BLOCK rows
+    with the number of each symbol in each block, so that ranks need one block only."""
+
+    BLOCK = 256
+
+    def __init__(self, symbols: np.ndarray, kinds: int) -> None:
+        self.rows, self.kinds = symbols, kinds
+        self._count()
+
+    def _count(self) -> None:
+        self.size = max(1, -(-len(self.rows) // self.BLOCK))
+        self.at = np.minimum(np.arange(self.size + 1) * self.BLOCK, len(self.rows))
+        cell = np.repeat(np.arange(self.size) * self.kinds, np.diff(self.at)) + self.rows
+        self.n = np.bincount(cell, minlength=self.size * self.kinds).astype(np.int32).reshape(self.size, self.kinds)
+
+    def rank(self, places: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Number of smaller symbols in the transform and of equal ones above each place; the
+        end mark does not count."""
+        above = np.cumsum(self.n, axis=0, dtype=np.int32)
+        smaller = np.concatenate([[0, 0], np.cumsum(above[-1][1:])])[:-1]
+        block = np.searchsorted(self.at, places, "right") - 1
+        width = -(-int(np.diff(self.at).max()) // 8) * 8
+        padded = np.concatenate([self.rows, np.zeros(width, np.uint8)])
+        window = np.lib.stride_tricks.sliding_window_view(padded, width)[self.at[block]]
+        before = np.arange(width, dtype=np.uint16) < (places - self.at[block]).astype(np.uint16)[:, None]
+        same = ((window == symbols[:, None]) & before).view(np.uint64)  # eight counters a word
+        inside = np.ascontiguousarray(same.sum(axis=1)).view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.int64)
+        return smaller[symbols] + above[block, symbols] - self.n[block, symbols] + inside
+
+    def insert(self, places: np.ndarray, symbols: np.ndarray) -> None:
+        """Puts symbols in; places are their rows afterwards, ascending."""
+        old = np.ones(len(self.rows) + len(places), bool)
+        old[places] = False
+        grown = np.empty(len(old), np.uint8)
+        grown[old], grown[places] = self.rows, symbols
+        self.rows = grown
+        block = np.minimum(np.searchsorted(self.at, places - np.arange(len(places)), "right") - 1, self.size - 1)
+        np.add.at(self.n, (block, symbols), 1)
+        self.at[1:] += np.cumsum(np.bincount(block, minlength=self.size))
+        if np.diff(self.at).max() > 2 * self.BLOCK:
+            self._count()
+
+
 def bwt_rows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The Burrows-Wheeler transform of the strings, each with its own end mark (0, equal marks
     in the order of the strings; bytes count one more), and string and start of the suffix of
-    every row. Round j puts the suffixes of length j of all strings to their places: with c the
-    symbol before a suffix at row r, the suffix that starts with this c comes after all suffixes
-    of smaller symbols and after as many c's as the transform has above r."""
+    every row. Round j puts the suffixes of length j of all strings to
+    their places: with c the symbol before a suffix at row r, the suffix that starts with this c
+    comes after all suffixes of smaller symbols and after as many c's as the transform has above
+    r. The same step on the finished transform gives the row of every suffix."""
     m = len(strings)
     n = np.array([len(s) for s in strings], np.int64)
-    ends = np.cumsum(n)
     flat = np.frombuffer(b"".join(strings), np.uint8)
-    owner, left = np.arange(m), n.copy()  # row -> string; symbols of a string not yet placed
-    symbol = lambda who, k: np.where(k > 0, flat[np.maximum(ends[who] - n[who] + k - 1, 0)].astype(np.uint8) + np.uint8(1), np.uint8(0)) if len(flat) else np.zeros(len(who), np.uint8)
-    bwt, start = symbol(owner, left), left.copy()
-    fresh = np.ones(m, bool)
+    used = np.flatnonzero(np.bincount(flat, minlength=256))
+    if len(used) > 255:
+        raise ValueError("a byte value must be free for the end mark")
+    code = np.zeros(256, np.uint8)
+    code[used] = np.arange(1, len(used) + 1)
+    # the symbol before a string's first one is its end mark
+    ends = np.cumsum(n) + np.arange(1, m + 1)
+    text = np.zeros(len(flat) + m + 1, np.uint8)
+    inner = np.ones(len(flat) + m, bool)
+    inner[ends - n - 1] = False
+    text[: len(flat) + m][inner] = code[flat]
+    column = _Column(text[ends - 1] if m else np.zeros(0, np.uint8), len(used) + 1)
+    who, rows, left = np.arange(m), np.arange(m), n.copy()
     while True:
-        fresh &= bwt > 0
-        if not fresh.any():
-            return bwt, owner, start
-        sorted_rows = np.argsort(bwt, kind="stable")
-        ended = int(np.count_nonzero(bwt == 0))
-        places = np.flatnonzero(fresh[sorted_rows])
-        who = owner[sorted_rows[places]]
-        # row among the suffixes: marks come first, m of them; then the sorted symbols
-        rows = places - ended + m
+        symbols = column.rows[rows]
+        live = symbols > 0
+        who, rows, symbols = who[live], rows[live], symbols[live]
+        if not len(rows):
+            break
+        rows = m + column.rank(rows, symbols)
+        order = np.argsort(rows)
+        who, rows = who[order], rows[order]
         left[who] -= 1
-        size = len(bwt) + len(rows)
-        old = np.ones(size, bool)
-        old[rows] = False
-        fresh = ~old
-        grown = np.empty(size, np.uint8)
-        grown[old], grown[rows] = bwt, symbol(who, left[who])
-        owner2, start2 = np.empty(size, np.int32), np.empty(size, np.int32)
-        owner2[old], owner2[rows] = owner, who
-        start2[old], start2[rows] = start, left[who]
-        bwt, owner, start = grown, owner2, start2
+        column.insert(rows, text[ends[who] - n[who] + left[who] - 1])
+    bwt = column.rows
+    named = np.concatenate([[0], used + 1]).astype(np.uint16)
+    step = np.empty(len(bwt), np.int32)
+    step[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    owner, start = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
+    who, rows, left = np.arange(m), np.arange(m), n
+    while len(rows):
+        owner[rows], start[rows] = who, left
+        live = left > 0
+        who, rows, left = who[live], step[rows[live]], left[live] - 1
+    return named[bwt], owner, start
 
 
 def repeated_starts(strings: list[bytes], least: int = LEAST) -> list[np.ndarray]:
     """For each string the starts of its passages of `least` bytes that also start elsewhere in
     the strings, ascending."""
-    out: list[list[int]] = [[] for _ in strings]
-    _, owner, start = bwt_rows(strings)
-    n = np.array([len(s) for s in strings])
+    long_ones = [i for i, s in enumerate(strings) if len(s) >= least]
+    out = [np.zeros(0, np.int64)] * len(strings)
+    if not long_ones:
+        return out
+    kept = [strings[i] for i in long_ones]
+    _, owner, start = bwt_rows(kept)
+    n = np.array([len(s) for s in kept])
     base = np.cumsum(n) - n
-    long = n[owner] - start >= least
-    rows = np.flatnonzero(long)
+    rows = np.flatnonzero(n[owner] - start >= least)
     at = base[owner[rows]] + start[rows]
-    flat = np.frombuffer(b"".join(strings), np.uint8)
+    flat = np.frombuffer(b"".join(kept), np.uint8)
+    prefix = np.lib.stride_tricks.sliding_window_view(flat, least)
     equal = np.zeros(len(rows), bool)
     # a long suffix with an equal prefix follows its like at once
     for i in range(1, len(rows), 1 << 14):
         j = np.arange(i, min(i + (1 << 14), len(rows)))
-        for step in range(0, least, 50):
-            if not len(j):
-                break
-            span = np.arange(step, min(step + 50, least))
-            j = j[(flat[at[j][:, None] + span] == flat[at[j - 1][:, None] + span]).all(axis=1)]
+        for step in range(0, least, 100):
+            span = slice(step, min(step + 100, least))
+            j = j[(prefix[at[j], span] == prefix[at[j - 1], span]).all(axis=1)]
         equal[j] = True
     marked = equal.copy()
     marked[:-1] |= equal[1:]
-    for r in rows[marked]:
-        out[owner[r]].append(int(start[r]))
-    return [np.array(sorted(o), np.int64) for o in out]
+    who, first = owner[rows[marked]], start[rows[marked]]
+    order = np.lexsort((first, who))
+    cuts = np.searchsorted(who[order], np.arange(len(kept) + 1))
+    first = first[order].astype(np.int64)
+    for k, i in enumerate(long_ones):
+        out[i] = first[cuts[k] : cuts[k + 1]]
+    return out
 
 
 def possible(strings: list[bytes], least: int = LEAST, gram: int = 2 * GRAM) -> list[tuple[int, int]]:
