@@ -41,12 +41,12 @@ from .common import map_batches, written
 LEAST = 400
 GRAM = 128
 #: Bytes of segments in a collection, about.
-COLLECTION = 4 << 20
+COLLECTION = 1 << 20
 HOT = 5_000
 
 _U = np.uint64
 _POS = _U((1 << 26) - 1)
-_CHUNK = 1 << 25
+_CHUNK = 1 << 20
 _C = _U(0x9E3779B97F4A7C15)
 
 
