@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import table_plans, text_plans
+from . import result_plans, table_plans, text_plans
 
 
 def queries() -> dict:
-    return text_plans.QUERIES | table_plans.QUERIES
+    return text_plans.QUERIES | table_plans.QUERIES | result_plans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_plans.SQL | table_plans.SQL
+    return text_plans.SQL | table_plans.SQL | result_plans.SQL
