@@ -5,7 +5,8 @@ weight is its inverse document frequency over all scanned files. Each file looks
 licence words of highest weight; postings that meet at one relative position of template and
 file are added up, and the best alignment's share of the weight that the template could give is
 the licence's score. A licence is reported if its score reaches ACCEPT and the file has all its
-key phrases, or if the file has one of the licence's base phrases. Licence words in more than
+key phrases, if the file has one of the licence's short notices word for word (score 1: the notice
+is all that the file gives), or if it has one of the licence's base phrases. Licence words in more than
 COMMON of the files say nothing and are not looked up.
 
 Native DataFrame operations only: one scan counts document frequencies of licence words, one
@@ -34,29 +35,30 @@ class Licence:
     label: str
     text: str
     key_phrases: tuple[str, ...]
+    notices: tuple[str, ...] = ()
 
 
 # Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# Opening passages of well-known licences and phrases that only they hold.
+# Opening passages of well-known licences, phrases that only they hold, and short notices (as words).
 LICENCES = (
     Licence("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-            ("permission is hereby granted free of charge",)),
+            ("permission is hereby granted free of charge",), ("mit license", "permission is hereby granted free of charge")),
     Licence("apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License",
-            ("apache license",)),
+            ("apache license",), ("under the apache license", "apache license version 2 0", "apache license 2 0")),
     Licence("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-            ("redistribution and use in source and binary forms",)),
+            ("redistribution and use in source and binary forms",), ("bsd license", "bsd 2 clause", "bsd 3 clause", "redistribution and use in source and binary forms")),
     Licence("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-            ("for any purpose with or without fee",)),
+            ("for any purpose with or without fee",), ("isc license", "for any purpose with or without fee")),
     Licence("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-            ("mozilla public license",)),
+            ("mozilla public license",), ("under the mozilla public license", "mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0")),
     Licence("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-            ("general public license",)),
+            ("general public license",), ("gnu general public license",)),
     Licence("cc-by", "This work is licensed under a Creative Commons Attribution International License",
-            ("creative commons attribution",)),
+            ("creative commons attribution",), ("under a creative commons attribution", "creative commons attribution 4 0", "creative commons attribution international")),
     Licence("unlicense", "This is free and unencumbered software released into the public domain",
-            ("free and unencumbered software",)),
+            ("free and unencumbered software",), ("free and unencumbered software",)),
 )
 
 
@@ -111,10 +113,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenc
     words = F.col("words")
     tokens = docs.select(docs[id_col].alias("id"), words_col(docs[text_col]).alias("words"))
     weight = weights(tokens.select("words"), licences)
+    # no notice without its longest word
+    gate = F.array(*[F.lit(w) for w in sorted({max(p.split(" "), key=len) for x in licences for p in x.notices} | {""})])
     ranked = sorted(weight, key=lambda w: (-weight[w], w))  # highest weight first
     order = F.array(*[F.lit(w) for w in ranked]) if ranked else F.array().cast("array<string>")
     top = F.slice(F.array_intersect(order, words), 1, LOOKUP)  # keeps the order of the first array
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    noticed = [F.lit(None).cast("string")] + [F.when(F.exists(F.array(*[F.contains(F.col("joined"), F.lit(f" {p} ")) for p in x.notices]), lambda y: y), F.lit(x.label)) for x in licences if x.notices]
     agreed = [
         F.when(
             F.forall(F.array(*[F.contains(F.col("joined"), F.lit(f" {p} ")) for p in x.key_phrases]), lambda y: y), F.lit(x.label)
@@ -125,11 +130,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenc
         .withColumn("hits", F.when(F.size("top") > 0, F.filter(
             F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda h: F.array_contains(F.col("top"), h["word"])
         )).otherwise(F.array().cast("array<struct<word:string,pos:int>>")))
-        .withColumn("joined", F.when(F.size("top") > 0, joined).otherwise(""))
+        .withColumn("joined", F.when((F.size("top") > 0) | F.arrays_overlap(gate, words), joined).otherwise(""))
         .select(
             "id", F.size("words").cast("long").alias("n_words"), "hits",
             *[_places(words, p).alias(f"base{k}") for k, (p, _) in enumerate(BASE)],
-            F.array_compact(F.array(*agreed)).alias("agreed"),
+            F.array_compact(F.array(*agreed)).alias("agreed"), F.array_compact(F.array(*noticed)).alias("noticed"),
         )
     )
     files = written(found.withColumn("row", F.monotonically_increasing_id()), "files")
@@ -145,12 +150,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenc
     base_all = F.concat(*[F.col(f"base{k}") for k in range(len(BASE))])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))
     passed = F.filter("agreed", lambda x: F.coalesce(F.try_element_at("scores", x), F.lit(0.0)) >= ACCEPT)
-    shares = F.transform("passed", lambda x: F.try_element_at("scores", x))
+    passed = F.array_union("noticed", F.coalesce(passed, F.array().cast("array<string>")))
+    shares = F.transform("passed", lambda x: F.when(F.array_contains("noticed", x), 1.0).otherwise(F.try_element_at("scores", x)))
     out = files.join(best, "row", "left").withColumns({"passed": passed, "places": base_all, "base_labels": F.array_sort(F.array_distinct(base_labels))})
     return out.select(
         "id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
-        "base_labels", F.array_sort(F.array_union("base_labels", F.coalesce("passed", F.array().cast("array<string>")))).alias("labels"),
+        "base_labels", F.array_sort(F.array_union("base_labels", "passed")).alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(shares), F.lit(0.0))).alias("score"),
         F.col("best.label").alias("best_label"), F.coalesce(F.col("best.score"), F.lit(0.0)).alias("best_score"),
     )

@@ -37,3 +37,18 @@ def test_method_adds_labels(spark):
     assert got[7].labels == ["bsd"]
     assert got[9].labels == [] and got[110].score == 0
     assert ls.scan(docs.limit(0)).count() == 0
+
+
+NOTICES = {
+    "Licensed under the Apache License, Version 2.0.": ["apache-2.0"], "Released under the MIT License.": ["mit"],
+    "This work is licensed under the GNU General Public License, version 3.": ["gpl"], "Licensed under CC BY-NC 4.0.": ["cc-by"],
+    "Distributed under the Mozilla Public License, v. 2.0": ["mpl-2.0"], "the apache wrote a license": [],
+}
+
+
+def test_licence_lines_of_documents(spark):
+    lines = list(NOTICES)
+    rows = [(i, f"some text {i} before\n{lines[i % len(lines)]}\nand words after") for i in range(60)] + [(100 + i, f"other text {i}") for i in range(200)]
+    got = {r.id: r for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(60):
+        assert got[i].labels == NOTICES[lines[i % len(lines)]] and got[i].score == float(bool(got[i].labels))
