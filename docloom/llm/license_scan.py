@@ -1,33 +1,33 @@
-"""License scan with a positional rare-token index.
-
-The index has a posting (licence, position) for every word of every licence template. A word's
-weight is its inverse document frequency over all scanned files. Each file looks up its LOOKUP
-licence words of highest weight; postings that meet at one relative position of template and
-file are added up, and the best alignment's share of the weight that the template could give is
-the licence's score. A licence is reported if its score reaches ACCEPT and the file has all its
-key phrases, if the file has one of the licence's short notices word for word (score 1: the notice
-is all that the file gives), or if it has one of the licence's base phrases. Licence words in more than
-COMMON of the files say nothing and are not looked up.
+"""License scan with a positional token index.
+
+The index has a posting (position, weight) for every word of every licence template. A word's
+weight is its inverse document frequency over all scanned files; a word in every file still has
+weight log(2), so common words count little but are never left out. A file that has all key
+phrases of a licence is aligned with all words of its template: postings that meet at one
+relative position of template and file are added up, and the best alignment's share of the
+template's weight is the licence's score. Each licence is scored by itself, so other licences in
+the file, or many files with the same one, take nothing away. A licence is reported if its score
+reaches ACCEPT, if the file has one of the licence's short notices word for word (score 1: the notice
+is all that the file gives), or if it has one of the licence's base phrases.
 
 Native DataFrame operations only: one scan counts document frequencies of licence words, one
-takes each file's few hits; nothing but hits is shuffled.
+scores each file by array functions; no file is shuffled.
 
-Defined cases: a null or empty text has no words, no labels and score 0; a tie of weights is
-broken by the word; repeated rows get equal results; further columns are ignored.
+Defined cases: a null or empty text has no words, no labels and score 0; a tie of scores is
+broken by the label; repeated rows get equal results; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WORD_RX, words_col, written
+from .common import WORD_RX, words_col
 
-LOOKUP = 8
 ACCEPT = 0.5
-COMMON = 0.35
 
 
 @dataclass(frozen=True)
@@ -84,79 +84,75 @@ def _places(words: Column, phrase: str) -> Column:
 
 
 def weights(words: DataFrame, licences: tuple[Licence, ...] = LICENCES) -> dict[str, float]:
-    """Weight of each licence word that not more than COMMON of the files have. words: one
-    column, `words`. The driver receives one number a licence word."""
+    """Weight of each licence word. words: one column, `words`. The driver receives one number a
+    licence word."""
     vocab = F.array(*[F.lit(w) for w in vocabulary(licences)])
     n = words.count()
     found = words.select(F.explode(F.array_intersect(vocab, "words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     df = {r["w"]: r["df"] for r in found.collect()}
-    import math
+    return {w: math.log(1 + n / max(1, df.get(w, 0))) for w in vocabulary(licences)} if n else dict.fromkeys(vocabulary(licences), 1.0)
+
+
+def _has(phrase: str) -> Column:
+    return F.contains(F.col("joined"), F.lit(f" {phrase} "))
 
-    return {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary(licences) if df.get(w, 0) <= COMMON * n}
 
+def _score(licence: Licence, weight: dict[str, float]) -> Column:
+    """Score of the best alignment of the licence's template with the file's `hits`."""
+    words = _words(licence.text)
+    postings = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(i).alias("at"), F.lit(weight[w]).alias("weight")) for i, w in enumerate(words)])
+    met = F.array_sort(F.flatten(F.transform(F.col("hits"), lambda h: F.transform(
+        F.filter(postings, lambda p: p["word"] == h["word"]), lambda p: F.struct((h["pos"] - p["at"]).alias("shift"), p["weight"].alias("weight"))
+    ))))
+    # along the sorted shifts: the sum of the shift at hand and the best sum so far
+    start = F.struct(F.lit(None).cast("int").alias("shift"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
-def _index(spark: SparkSession, weight: dict[str, float], licences: tuple[Licence, ...]) -> DataFrame:
-    """word, weight, label, at, most: the postings; most is the weight that LOOKUP words give."""
-    rows = []
-    for x in licences:
-        words = [(i, w) for i, w in enumerate(_words(x.text)) if w in weight]
-        most = sum(sorted((weight[w] for w in {w for _, w in words}), reverse=True)[:LOOKUP])
-        rows += [(w, weight[w], x.label, i, most) for i, w in words]
-    return spark.createDataFrame(rows, "word string, weight double, label string, at int, most double")
+    def add(acc: Column, x: Column) -> Column:
+        total = F.when(acc["shift"] == x["shift"], acc["sum"]).otherwise(0.0) + x["weight"]
+        return F.struct(x["shift"].alias("shift"), total.alias("sum"), F.greatest(acc["best"], total).alias("best"))
+
+    whole = sum(weight[w] for w in words)
+    return F.aggregate(met, start, add, lambda acc: F.least(F.lit(1.0), acc["best"] / whole))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: tuple[Licence, ...] = LICENCES) -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels (array),
     labels (array), score (best accepted licence's, 1 for a base phrase, else 0), best_label and
-    best_score (of the best alignment, accepted or not)."""
-    spark = docs.sparkSession
+    best_score (of the best alignment of the licences whose key phrases the file has, accepted or not)."""
     words = F.col("words")
     tokens = docs.select(docs[id_col].alias("id"), words_col(docs[text_col]).alias("words"))
     weight = weights(tokens.select("words"), licences)
-    # no notice without its longest word
-    gate = F.array(*[F.lit(w) for w in sorted({max(p.split(" "), key=len) for x in licences for p in x.notices} | {""})])
-    ranked = sorted(weight, key=lambda w: (-weight[w], w))  # highest weight first
-    order = F.array(*[F.lit(w) for w in ranked]) if ranked else F.array().cast("array<string>")
-    top = F.slice(F.array_intersect(order, words), 1, LOOKUP)  # keeps the order of the first array
-    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    noticed = [F.lit(None).cast("string")] + [F.when(F.exists(F.array(*[F.contains(F.col("joined"), F.lit(f" {p} ")) for p in x.notices]), lambda y: y), F.lit(x.label)) for x in licences if x.notices]
-    agreed = [
-        F.when(
-            F.forall(F.array(*[F.contains(F.col("joined"), F.lit(f" {p} ")) for p in x.key_phrases]), lambda y: y), F.lit(x.label)
-        ) for x in licences
-    ]
-    found = (
-        tokens.withColumn("top", top)
-        .withColumn("hits", F.when(F.size("top") > 0, F.filter(
-            F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda h: F.array_contains(F.col("top"), h["word"])
-        )).otherwise(F.array().cast("array<struct<word:string,pos:int>>")))
-        .withColumn("joined", F.when((F.size("top") > 0) | F.arrays_overlap(gate, words), joined).otherwise(""))
+    # no phrase without its longest word
+    gate = F.array(*[F.lit(w) for w in sorted({max(p.split(" "), key=len) for x in licences for p in x.key_phrases + x.notices})])
+    vocab = F.array(*[F.lit(w) for w in sorted(weight)])
+    none = F.array().cast("array<string>")
+    agreed = [F.when(F.forall(F.array(*[_has(p) for p in x.key_phrases]), lambda y: y), F.lit(x.label)) for x in licences]
+    noticed = [F.when(F.exists(F.array(*[_has(p) for p in x.notices]), lambda y: y), F.lit(x.label)) for x in licences if x.notices]
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda h: F.array_contains(vocab, h["word"]))
+    files = (
+        tokens.withColumn("joined", F.when(F.arrays_overlap(gate, words), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).otherwise(""))
+        .withColumn("agreed", F.when(F.col("joined") != "", F.array_compact(F.array(*agreed))).otherwise(none))
+        .withColumn("noticed", F.when(F.col("joined") != "", F.array_compact(F.array(*noticed))).otherwise(none) if noticed else none)
+        .withColumn("hits", F.when(F.size("agreed") > 0, hits).otherwise(F.array().cast("array<struct<word:string,pos:int>>")))
         .select(
-            "id", F.size("words").cast("long").alias("n_words"), "hits",
+            "id", F.size("words").cast("long").alias("n_words"), "agreed", "noticed", "hits",
             *[_places(words, p).alias(f"base{k}") for k, (p, _) in enumerate(BASE)],
-            F.array_compact(F.array(*agreed)).alias("agreed"), F.array_compact(F.array(*noticed)).alias("noticed"),
         )
     )
-    files = written(found.withColumn("row", F.monotonically_increasing_id()), "files")
-    index = F.broadcast(_index(spark, weight, licences))
-    aligned = (
-        files.select("row", F.explode("hits").alias("hit")).join(index, F.col("hit.word") == F.col("word"))
-        .groupBy("row", "label", "most", (F.col("hit.pos") - F.col("at")).alias("shift")).agg(F.sum("weight").alias("met"))
-        .groupBy("row", "label").agg(F.max(F.least(F.lit(1.0), F.col("met") / F.col("most"))).alias("score"))
-    )
-    best = aligned.groupBy("row").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("scores"), F.max(F.struct("score", "label")).alias("best")
-    )
+    aligned = F.array_compact(F.array(*[
+        F.when(F.array_contains("agreed", x.label), F.struct(_score(x, weight).alias("score"), F.lit(x.label).alias("label"))) for x in licences
+    ]))
+    scored = files.withColumn("scores", F.when(F.size("agreed") > 0, aligned).otherwise(F.array().cast("array<struct<score:double,label:string>>")))
     base_all = F.concat(*[F.col(f"base{k}") for k in range(len(BASE))])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]))
-    passed = F.filter("agreed", lambda x: F.coalesce(F.try_element_at("scores", x), F.lit(0.0)) >= ACCEPT)
-    passed = F.array_union("noticed", F.coalesce(passed, F.array().cast("array<string>")))
-    shares = F.transform("passed", lambda x: F.when(F.array_contains("noticed", x), 1.0).otherwise(F.try_element_at("scores", x)))
-    out = files.join(best, "row", "left").withColumns({"passed": passed, "places": base_all, "base_labels": F.array_sort(F.array_distinct(base_labels))})
+    passed = F.filter("scores", lambda x: x["score"] >= ACCEPT)
+    out = scored.withColumns({
+        "passed": passed, "places": base_all, "base_labels": F.array_sort(F.array_distinct(base_labels)), "best": F.array_max("scores"),
+    })
     return out.select(
         "id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
-        "base_labels", F.array_sort(F.array_union("base_labels", "passed")).alias("labels"),
-        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(shares), F.lit(0.0))).alias("score"),
+        "base_labels", F.array_sort(F.array_union(F.array_union("base_labels", "noticed"), F.transform("passed", lambda x: x["label"]))).alias("labels"),
+        F.when((F.size("places") > 0) | (F.size("noticed") > 0), F.lit(1.0)).otherwise(F.coalesce(F.array_max("passed")["score"], F.lit(0.0))).alias("score"),
         F.col("best.label").alias("best_label"), F.coalesce(F.col("best.score"), F.lit(0.0)).alias("best_score"),
     )

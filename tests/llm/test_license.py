@@ -52,3 +52,28 @@ def test_licence_lines_of_documents(spark):
     got = {r.id: r for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i in range(60):
         assert got[i].labels == NOTICES[lines[i % len(lines)]] and got[i].score == float(bool(got[i].labels))
+
+
+def test_every_licence_of_a_file_is_aligned(spark):
+    # without short notices, so that labels come from the alignment alone
+    plain = tuple(ls.Licence(x.label, x.text, x.key_phrases) for x in ls.LICENCES)
+    texts = [" ".join(x.text for x in plain), plain[0].text + " and " + plain[1].text, "any copy code use " * 300 + plain[2].text]
+    rows = list(enumerate(texts)) + [(100 + i, f"header {i} {plain[1].text}") for i in range(80)] + [(300 + i, f"other {i}") for i in range(40)]
+    got = {r.id: r for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string"), licences=plain).collect()}
+    assert got[0].labels == sorted(x.label for x in plain)
+    assert got[1].labels == ["apache-2.0", "mit"] and got[1].best_score > 0.99
+    assert got[2].labels == ["bsd"]
+    assert all(got[100 + i].labels == ["apache-2.0"] and got[100 + i].score > 0.99 for i in range(80))  # two thirds of the files
+    assert got[300].labels == []
+
+
+def test_score_is_the_best_shift(spark):
+    apache = ls.Licence("a", ls.LICENCES[1].text, ls.LICENCES[1].key_phrases)
+    w = ls._words(apache.text)
+    texts = [" ".join(w[5:]) + " apache license", " ".join(w[:9] + ["x"] + w[9:]) + " the license use", "apache license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weight = ls.weights(docs.selectExpr("split(text, ' ') as words"), (apache,))
+    for r in ls.scan(docs, licences=(apache,)).collect():
+        f = texts[r.id].split(" ")
+        best = max(sum(weight[t] for i, t in enumerate(w) if 0 <= i + s < len(f) and f[i + s] == t) for s in range(-len(w), len(f)))
+        assert abs(r.best_score - best / sum(weight[t] for t in w)) < 1e-9
