@@ -77,7 +77,7 @@ def cls_4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"))
-    return classify.predict(classify.train(rows, trees=20, depth=5), rows).select("vec_id", "pred", "confidence")
+    return classify.predict(classify.train(rows), rows).select("vec_id", "pred", "confidence")
 
 
 X, Y = "cast(l_orderkey % 500 as double)", "cast(l_partkey % 300 as double)"
