@@ -59,7 +59,7 @@ def _rendered(spark: SparkSession, sf_dir: str, name: str, key: str, sql: str) -
 
 def txt_1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = _rendered(spark, sf_dir, "customer", K, NOTE)
-    return notes.select(K, F.explode(tx.entities(F.col("text"))).alias("entity", "found")).select(K, "entity", F.explode("found").alias("value")).where("entity <> 'zip_code'")
+    return notes.select(K, F.explode(tx.entities(F.col("text"))).alias("entity", "found")).select(K, "entity", F.explode("found").alias("value"))
 
 
 def txt_2_doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +105,10 @@ def txt_9_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def txt_10_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.analyze(F.col("text")).alias("r"))
-    return docs.select("doc_id", F.col("r.error").isNotNull().alias("is_error"), (F.col("r.type") == "text_document").alias("general_set")).where("is_error or general_set is not null").select("doc_id", "is_error")
+    # the type as a column of its own, so that it is found once a text
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tx.doc_type(F.col("text")).alias("kind"))
+    docs = docs.select("doc_id", tx.analyze(F.col("text"), F.col("kind")).alias("r"))
+    return docs.select("doc_id", F.col("r.error").isNotNull().alias("is_error"), "r.*")
 
 
 def txt_7_general(spark: SparkSession, sf_dir: str) -> DataFrame:
