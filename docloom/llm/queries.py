@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dartminhash, decontaminate, exact_dedup, hilbert_shards, license_scan, lm_score, packing, suffix_dedup, toxicity, warc
+from . import dartminhash, decontaminate, exact_dedup, hilbert_shards, license_scan, ngram_score, packing, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     target = table(spark, sf_dir, "labels").where("quality = 1")
-    return lm_score.score(docs, lm_score.fit(docs, target)).withColumnRenamed("id", "doc_id")
+    return ngram_score.ngram_scores(docs, target).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
