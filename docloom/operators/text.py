@@ -141,3 +141,8 @@ def clean_lines(text: Column) -> Column:
 def ink(text: Column) -> Column:
     """Characters other than spaces and line ends."""
     return F.length(F.translate(text, " \n", "")).cast("long")
+
+
+def truncated(text: Column, n: int) -> Column:
+    """The first n characters and dots of a longer text, a shorter text as it is."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)

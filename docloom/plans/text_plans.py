@@ -120,6 +120,11 @@ def txt_13_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.clean_lines(F.col("text")).alias("cleaned"), tx.ink(F.col("text")).alias("ink"))
 
 
+def srt_12_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring(text, 1, 100).alias("head"), tx.truncated(text, 200).alias("preview"), tx.truncated(text, 500).alias("excerpt"))
+
+
 def txt_11_structured_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rendered(spark, sf_dir, "customer", K, NOTE).select(K, ocr.structured_info(F.col("text")).alias("r"))
     return r.select(K, F.get("r.dates", F.lit(0)).alias("day"), F.get("r.emails", F.lit(0)).alias("email"), F.get("r.amounts", F.lit(0)).alias("amount"), F.size("r.addresses").cast("long").alias("n_addresses"))
@@ -152,9 +157,10 @@ SQL = {
       select doc_id, {_S('ls[1]')} as title, length(text) as characters, len(regexp_extract_all(text, '\\S+')) as words, len(ls) as lines,
       case when {_S('ls[1]')} <> '' and len(ls) > 1 then {_S('ls[2]')} else {_S('text[1:100]')} end as summary from l""",
     "txt_13_clean_lines": f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_S('x')}), lambda x: x <> ''), chr(10)) as cleaned, length(replace(replace(text, ' ', ''), chr(10), '')) as ink from documents",
+    "srt_12_truncated": "select doc_id, text[1:100] as head, case when length(text) > 200 then concat(text[1:200], '...') else text end as preview, case when length(text) > 500 then concat(text[1:500], '...') else text end as excerpt from documents",
     "txt_11_structured_info": f"select {K}, {DATE} as day, {EMAIL} as email, {PRICE} as amount, 0 as n_addresses from customer",
 }
 QUERIES = {f.__name__: f for f in (
     txt_1_entities, txt_2_doc_type, txt_3_receipt, txt_3_receipt_items, txt_4_business_card, txt_5_id_card, txt_6_form_fields, txt_7_general, txt_8_key_values,
-    txt_9_redact, txt_10_analyze, txt_11_structured_info, txt_13_clean_lines,
+    txt_9_redact, txt_10_analyze, txt_11_structured_info, txt_13_clean_lines, srt_12_truncated,
 )} | {"agg_3_type_distribution": doc_type_distribution}

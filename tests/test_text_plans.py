@@ -27,3 +27,11 @@ def test_analyze_returns_the_whole_record(spark, tmp_path):
     assert got[0].receipt.merchant == "Shop" and got[3].form.signature and got[4].text_document.title == "chapter one"
     assert got[4].metadata == {"zip_code": ["12345"]}
     assert all(got[i].is_error and got[i].error and got[i].type is None and got[i].metadata is None for i in (5, 6))
+
+
+def test_truncations_match_plain_slices(spark, tmp_path):
+    texts = [None, "", "ab", "é" * 200, "é" * 201, "x\n" * 250, "ab " * 167, "word " * 900]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut = lambda t, n: t[:n] + "..." if t and len(t) > n else t
+    got = {r.doc_id: (r.head, r.preview, r.excerpt) for r in tp.srt_12_truncated(spark, str(tmp_path)).collect()}
+    assert got == {i: (t and t[:100] if t else t, cut(t, 200), cut(t, 500)) for i, t in enumerate(texts)}
