@@ -3,13 +3,14 @@
 Several metadata dimensions are quantised at equal-frequency edges, a row's cells give its
 index on the Hilbert curve, and rows sorted by (index, id) are cut into runs whose row counts
 differ by one at most (law "rows"). Rows of a shard are then near in every dimension, so the
-minimum and maximum that a file keeps of each dimension prune reads by any of them.
+minimum and maximum that a file keeps of each dimension prune reads by any of them. A string
+dimension is the place of the whole value in the order of all different values.
 
 Ranks: rows are range-partitioned and sorted; a row's place in its partition is known where it
 is sorted, and the driver adds up one count per partition. The sort key ends with the id and a
 checksum, so one crowded cell is spread over many partitions.
 
-Defined cases: a null text has no bytes; null dimensions fall in the lowest cell; equal rows
+Defined cases: a null text has no bytes; a null tag counts as an empty one, in the lowest cell; equal rows
 take neighbouring places in any order; with fewer rows than shards the last shards are empty;
 further columns are ignored.
 """
@@ -20,12 +21,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import written
 
 #: Bits kept of each dimension.
 BITS = 8
+#: Up to so many different tags are broadcast; more are joined.
+SMALL = 10_000
 _INDEX = (1 << 33) - 1
 
 
@@ -55,12 +58,6 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def text_key(c: Column) -> Column:
-    """A number in the order of a string's first seven bytes."""
-    head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(0.0))
-
-
 def curve(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataFrame:
     """df with `cell_<dim>` for each numeric column of dims and `hilbert`. The edges come from
     one mergeable quantile sketch over all rows, 2**bits - 1 numbers a dimension."""
@@ -104,6 +101,13 @@ def ranked(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
     return out, total
 
 
+def with_order(df: DataFrame, values: DataFrame, tag: str, name: str) -> DataFrame:
+    """df with `name`, the place of its whole tag in the order of the different tags of values."""
+    order, n = ranked(values.select(tag).distinct(), [tag])
+    order = order.select(tag, F.col("rank").cast("double").alias(name))
+    return df.join(F.broadcast(order) if n <= SMALL else order, tag)
+
+
 def cut_rows(df: DataFrame, total: int, shards: int) -> DataFrame:
     """shard and slot by `rank`: the first total % shards shards hold one row more."""
     size, more = divmod(total, shards)
@@ -127,10 +131,15 @@ def hilbert_shards(
         docs[id_col].alias("id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        *[text_key(docs[t]).alias(f"dim_{t}") for t in tags],
+        *[F.coalesce(docs[t].cast("string"), F.lit("")).alias(f"tag_{t}") for t in tags],
     ).withColumns({"dim_size": F.col("size").cast("double"), "dim_id": F.col("id").cast("double")})
     dims = ["dim_size", *[f"dim_{t}" for t in tags], "dim_id"]
-    placed, total = ranked(curve(written(rows, "meta"), dims, bits), ["hilbert", "id", "text_crc32"])
+    meta = written(rows, "meta")
+    places = meta
+    for t in tags:
+        places = with_order(places, meta, f"tag_{t}", f"dim_{t}")
+    places = places.drop(*[f"tag_{t}" for t in tags])
+    placed, total = ranked(curve(places, dims, bits), ["hilbert", "id", "text_crc32"])
     return cut_rows(placed, total, shards)
 
 

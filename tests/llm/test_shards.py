@@ -41,3 +41,15 @@ def test_empty_and_written(spark, tmp_path):
     docs = cases.frame(spark).dropDuplicates(["doc_id"])
     hs.write_shards(docs, hs.hilbert_shards(docs, 5), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_tags_with_a_shared_start_spread(spark, monkeypatch):
+    rows = [(i, "text", "en", f"https://site{i * 7 % 16:02d}.example.com") for i in range(1600)] + [(5000, "text", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for small in (10_000, 0):  # broadcast and joined
+        monkeypatch.setattr(hs, "SMALL", small)
+        got = hs.hilbert_shards(docs, 16).collect()
+        assert len(got) == 1601
+        source = {r[0]: r[3] or "" for r in rows}
+        assert {r.dim_source: source[r.id] for r in got} == dict(enumerate(sorted(set(source.values()))))
+        assert len({r.cell_dim_source for r in got}) >= 16
