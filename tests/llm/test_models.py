@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -45,6 +46,38 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(docs, none).where("toxic").count() == 0
 
 
+def slow_score(text, model):
+    """The definition, word by word and bucket by bucket."""
+    words = cases.words(text)
+    of = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    n = Counter()
+    for w in words:
+        for part in [w.encode()] + [b"\x01" + w[:k].encode() for k in (4, 5, 6, 7) if len(w) > k]:
+            n[zlib.crc32(part) % 2**20] += 1
+    z = sum(of.get(b, 0.0) * math.log(1 + 100 * k / len(words)) for b, k in n.items())
+    return [1 / (1 + math.exp(t - z)) for t in model.thetas]
+
+
+def test_scores_equal_the_definition(spark):
+    docs, labels, _ = corpus(spark)
+    model = toxicity.fit(docs, labels)
+    rows = docs.union(cases.frame(spark).select("doc_id", "text")).where("doc_id < 200")
+    texts = {(r.doc_id, r.text) for r in rows.collect()}
+    got = {(round(r.expected_severity, 6), round(r.p_toxic, 6)) for r in toxicity.score(rows, model).collect()}
+    want = {(round(sum(p), 6), round(p[0], 6)) for p in (slow_score(t, model) for _, t in texts)}
+    assert got == want
+
+
+def test_held_out_recall_on_the_tables(spark):
+    """Labels whose id is even fit, the others are held out."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    got = toxicity.score(docs, model).join(labels.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "id").withColumnRenamed("toxic", "truth"), "id")
+    caught, wrong = got.selectExpr("avg(if(truth = 1, int(toxic), null))", "avg(if(truth = 0, int(toxic), null))").first()
+    print(f"held-out recall {caught:.3f}, false positives {wrong:.4f}")
+    assert caught >= 0.9 and wrong <= 0.01
+
+
 def test_ordinal_fit_recovers_order_and_shared_weights():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 2))
