@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ def _buckets(word: bytes) -> list[int]:
     return [zlib.crc32(x) & ((1 << HASH_BITS) - 1) for x in parts]
 
 
-def value(count, words):
+def value(count: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The value of a feature that occurs `count` times among `words` words."""
     return np.log1p(100 * count / np.maximum(words, 1))
 
@@ -212,7 +213,7 @@ class Scorer:
             for b in own:
                 found[b] += n
         total = words.total()
-        return float(sum(self.weight[b] * value(n, total) for b, n in sorted(found.items())))
+        return sum(self.weight[b] * log1p(100 * n / total) for b, n in sorted(found.items()))
 
 
 def _scored(model: OrdinalModel, cut: float):
