@@ -144,8 +144,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = bands(signatures(strips, bounds, BANDS * ROWS))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * BANDS), pa.array(b.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([xxhash.xxh3_128_digest(b" ".join(d)) for d in docs], pa.binary()), pa.array(np.diff(bounds)), lists],
-                ["id", "words", "n", "bands"],
+                [batch.column("id"), batch.column("h"), pa.array([xxhash.xxh3_128_digest(b" ".join(d)) for d in docs], pa.binary()), pa.array(np.diff(bounds)), lists],
+                ["id", "h", "words", "n", "bands"],
             )
 
 
@@ -226,12 +226,13 @@ def _sizes_allow(a: str, b: str, similar: float):
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row per row of docs: id, row, class_id (smallest id of its class), class_size (rows),
+    """One row per row of docs: id, h (hash of its text), row, class_id (smallest id of its class), class_size (rows),
     n_links (compared nodes found similar to its node), kept (one row of each class)."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     signed = written(
-        map_batches(rows, _sign, f"id {kind}, words binary, n long, bands array<long>").withColumn("row", F.monotonically_increasing_id()),
+        map_batches(rows.withColumn("h", F.xxhash64("text")), _sign, f"id {kind}, h long, words binary, n long, bands array<long>")
+        .withColumn("row", F.monotonically_increasing_id()),
         "signed",
     )
     first = signed.groupBy("words").agg(F.min("row").alias("node"))
@@ -271,18 +272,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("words", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
         "classes",
     )
-    tagged = written(signed.select("id", "row", "words").join(at, "words").drop("words"), "tagged")
+    tagged = written(signed.select("id", "h", "row", "words").join(at, "words").drop("words"), "tagged")
     best = F.min(F.struct("id", "row"))
     sizes = tagged.groupBy("comp").agg(best.alias("best"), F.count("*").alias("class_size"))
     return tagged.join(sizes, "comp").select(
-        "id", "row", F.col("best.id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("best.row")).alias("kept")
+        "id", "h", "row", F.col("best.id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("best.row")).alias("kept")
     )
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """docs with one row of each class, all columns kept. Of rows that agree in id and text one
-    stays; other rows that share the id of a row that stays, stay too."""
-    kept = near_groups(docs, id_col, text_col, similar).where("kept").select(F.col("id").alias("__k_id")).hint("merge")
-    keyed = docs.withColumns({"__r_id": docs[id_col], "__r_hash": F.xxhash64(docs[text_col])})
-    stay = keyed.join(kept, F.col("__r_id").eqNullSafe(F.col("__k_id")), "left_semi")
-    return stay.dropDuplicates(["__r_id", "__r_hash"]).drop("__r_id", "__r_hash")
+    """docs with one row of each class, all columns kept. Rows are told apart by id and text; of
+    rows that agree in both one stays."""
+    kept = near_groups(docs, id_col, text_col, similar).where("kept").select(F.col("id").alias("__k_id"), F.col("h").alias("__k_h")).hint("merge")
+    keyed = docs.withColumns({"__r_id": docs[id_col], "__r_h": F.xxhash64(docs[text_col].cast("binary"))})
+    stay = keyed.join(kept, F.col("__r_id").eqNullSafe(F.col("__k_id")) & (F.col("__r_h") == F.col("__k_h")), "left_semi")
+    return stay.dropDuplicates(["__r_id", "__r_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -40,7 +40,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.near_groups(table(spark, sf_dir, "documents")).drop("row").withColumnRenamed("id", "doc_id")
+    return dartminhash.near_groups(table(spark, sf_dir, "documents")).drop("row", "h").withColumnRenamed("id", "doc_id")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,15 @@ def test_drop_and_empty(spark):
     assert dm.near_groups(cases.empty(spark)).count() == 0
 
 
+def test_drop_tells_rows_of_one_id_apart(spark):
+    """Ids clash, or are null, with different texts: each text's class keeps one row."""
+    rng = random.Random(3)
+    a, b, c = (cases.prose(rng, 60) for _ in range(3))
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, a), (None, c)]
+    left = dm.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in left) == sorted([a, b, c])
+
+
 def test_signature_agreement_estimates_weighted_jaccard():
     a = "x y z " * 30 + " ".join(f"a{i}" for i in range(60))
     b = "x y z " * 20 + " ".join(f"a{i}" for i in range(70))
