@@ -5,13 +5,15 @@ documents (background), with one shared vocabulary: all V different words of the
 Before a text stands a mark. Both models use the interpolated estimate
 
     P(c)     = (n(c) + MU / V) / (N + MU)
-    P(c | b) = (n(b c) + MU * P(c)) / (n(b .) + MU)
+    P(c | b) = (n(b c) + MU * P(c)) / (n(b) + MU)
 
-A word's loss is -log2 P(c | b). No word or bigram is dropped and nothing that is counted is
-broadcast. Counts are tables dealt by the hash of the gram: each chunk of documents asks the parts
-for its different grams, every part adds up what all chunks brought and answers each chunk with
-the corpus counts of its grams, and the chunk scores its documents from the answers. A gram takes
-at most one entry a chunk, so a frequent gram makes no large task.
+n(b) counts b also where a text ends with it, so an end of text has the share that is left; it is
+not scored. A word's loss is -log2 P(c | b). No word or bigram is dropped and nothing that is
+counted is broadcast. Counts are tables dealt by the hash of the gram: each chunk of documents
+asks the parts for its different grams, every part adds up what all chunks brought and answers
+each chunk with the corpus counts of its grams, and the chunk scores its documents from the
+answers. A gram takes at most one entry a chunk, so a frequent gram makes no large task. Parts
+grow in number with the words of the corpus, so that each stays of one size.
 
 Words and bigrams are known by 64-bit hashes; two of m different grams share one with a
 probability of about m * m / 2**65. Which documents are target documents is found by a join of
@@ -20,28 +22,25 @@ ids and sent as one bit a document.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import byte_words, map_batches, written
 
 MU = 64.0
-CHUNK = 8 << 20  # bytes of text
-PARTS = 512  # at least; a part holds its share of the different grams of all chunks
+CHUNK = 2 << 20  # bytes of text
+PARTS = 256  # at least; a part holds its share of the different grams of all chunks
+PART_WORDS = 1 << 22  # words of the corpus for each part
 MARK = np.uint64(0x9E3779B97F4A7C15)
-_HOME = "chunk long, ids array<{0}>, home binary"
+_HOME = "chunk long, ids array<{0}>, words long, home binary"
 _ASK = "part int, chunk long, kind int, grams binary, n binary, t binary"
 
 
-def _hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
 def _pair(b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Hash of a bigram from the hashes of its words (uint64, wraps around)."""
     x = b * np.uint64(0xBF58476D1CE4E5B9) + (c ^ (c >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -50,31 +49,46 @@ def _pair(b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
+    """The arrays byte by byte: first the lowest bytes of all numbers, then the next ones, compressed."""
     sizes = np.array([a.size for a in arrays], np.int64).tobytes()
-    raw = sizes + b"".join(a.tobytes() for a in arrays)
+    raw = sizes + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
     raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
-    for n, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += int(n) * np.dtype(kind).itemsize
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).reshape(-1))
+        at += n * wide
     return out
 
 
+def _packed_grams(keys: np.ndarray, parts: int) -> bytes:
+    """Ascending numbers of one part, by the steps between their quotients."""
+    return _packed(np.diff(keys // np.uint64(parts), prepend=np.uint64(0)))
+
+
+def _unpacked_grams(data: bytes, part: int, parts: int) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64)[0], dtype=np.uint64) * np.uint64(parts) + np.uint64(part)
+
+
 def _homes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of at least `most` bytes, the last one excepted: ids; hash of each different word, lengths of texts and words as numbers."""
+    """Chunks of at least `most` bytes, the last one excepted: ids; number of words; hash of each
+    different word, lengths of texts and words as numbers."""
     from pyspark import TaskContext
 
     chunk = TaskContext.get().partitionId() << 32
     ids, lens, words, known, size, kind = [], [], [], {}, 0, None
 
     def row() -> pa.RecordBatch:
-        h = np.array([_hash(w) for w in known], np.uint64)
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
         data = _packed(h, np.array(lens, np.int32), np.concatenate(words) if words else np.zeros(0, np.int32))
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([data], pa.binary())], ["chunk", "ids", "home"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sum(lens)], pa.int64()), pa.array([data], pa.binary())],
+            ["chunk", "ids", "words", "home"],
+        )
 
     for batch in batches:
         kind = batch.column(0).type
@@ -102,9 +116,11 @@ def _grams(home: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return lens, np.repeat(np.arange(len(lens)), lens), b, c
 
 
-def _asked(b: np.ndarray, c: np.ndarray) -> tuple:
-    """The three kinds of grams of a chunk's words: words, contexts, bigrams."""
-    return c, _pair(b, np.full_like(b, MARK ^ np.uint64(1))), _pair(b, c)
+def _asked(text: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple:
+    """The two kinds of grams of a chunk, each with the number of its text: its words and a mark
+    for each text with words; its bigrams."""
+    texts = np.unique(text)
+    return (np.concatenate([c, np.full(len(texts), MARK)]), np.concatenate([text, texts])), (_pair(b, c), text)
 
 
 def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,9 +129,10 @@ def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, c
     everywhere; repeated rows count each time; target ids without a document change nothing."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = parts or max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
     homes = written(map_batches(rows, lambda batches: _homes(batches, chunk), _HOME.format(kind)), "homes")
+    words = homes.agg(F.sum("words")).first()[0] or 0
+    parts = parts or max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // PART_WORDS))
     places = homes.select("chunk", F.posexplode("ids").alias("pos", "id"))
     ids = target.select(F.col(id_col).alias("id")).distinct().hint("merge")
     flags = places.join(ids, "id", "left_semi").groupBy("chunk").agg(F.sort_array(F.collect_list("pos")).alias("pos")).toArrow()
@@ -134,10 +151,9 @@ def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, c
                 near = np.zeros(len(lens), bool)
                 found = np.unpackbits(sent.value.get(chunk, np.zeros(0, np.uint8))).astype(bool)[: len(lens)]
                 near[: len(found)] = found
-                near = near[text]
-                for k, g in enumerate(_asked(b, c)):
+                for k, (g, of_text) in enumerate(_asked(text, b, c)):
                     keys, inverse, n = np.unique(g, return_inverse=True, return_counts=True)
-                    t = np.bincount(inverse[near], minlength=len(keys))
+                    t = np.bincount(inverse[near[of_text]], minlength=len(keys))
                     of = (keys % np.uint64(parts)).astype(np.int64)
                     order = np.argsort(of, kind="stable")
                     cuts = np.searchsorted(of[order], np.arange(parts + 1))
@@ -147,7 +163,7 @@ def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, c
                         at = order[cuts[p] : cuts[p + 1]]
                         if len(at):
                             held.append(p)
-                            out[0].append(keys[at].tobytes())
+                            out[0].append(_packed_grams(keys[at], parts))
                             out[1].append(_packed(n[at].astype(np.int32)))
                             out[2].append(_packed(t[at].astype(np.int32)))
                     size = len(held)
@@ -157,16 +173,17 @@ def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, c
                     )
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Corpus counts of each chunk's grams of one kind in one part. total: different grams,
-        background tokens, target tokens of the part."""
-        grams = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
+        """Corpus counts of each chunk's grams of one kind in one part, and the part's different
+        grams, background and target tokens, marks left out."""
+        grams = [_unpacked_grams(x, int(key[0]), parts) for x in pdf["grams"]]
         keys, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         sums = [np.bincount(inverse, np.concatenate([_unpacked(x, np.int32)[0] for x in pdf[c]]), len(keys)).astype(np.int64) for c in ("n", "t")]
         ends = np.cumsum([len(g) for g in grams])[:-1]
         got = [_packed(*(s[i] for s in sums)) for i in np.split(inverse, ends)]
+        real = keys != MARK
         return pd.DataFrame({
             "chunk": pdf["chunk"], "part": key[0], "kind": key[1], "counts": got,
-            "v": len(keys), "tokens": int(sums[0].sum()), "near": int(sums[1].sum()),
+            "v": int(real.sum()), "tokens": int(sums[0][real].sum()), "near": int(sums[1][real].sum()),
         })
 
     asks = map_batches(homes.select("chunk", "home"), ask, _ASK)
@@ -181,7 +198,7 @@ def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, c
         lens, text, b, c = _grams(home["home"].iloc[0])
         counts = []
         by = {(k, p): x for k, p, x in zip(got["kind"], got["part"], got["counts"], strict=True)}
-        for k, g in enumerate(_asked(b, c)):
+        for k, (g, _) in enumerate(_asked(text, b, c)):
             keys, inverse = np.unique(g, return_inverse=True)
             of = (keys % np.uint64(parts)).astype(np.int64)
             order = np.argsort(of, kind="stable")
@@ -192,11 +209,14 @@ def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, c
                 if len(at):
                     both[:, at] = _unpacked(by[k, p], np.int64, np.int64)
             counts.append(both[:, inverse])
+        word, pair = counts[0][:, : len(c)], counts[1]
+        before = np.concatenate([counts[0][:, -1:], word[:, :-1]], axis=1)[:, : len(c)]
+        before[:, b == MARK] = counts[0][:, -1:]  # the mark stands last
         with np.errstate(invalid="ignore", divide="ignore"):
             loss = []
             for m, n in ((1, n_near), (0, n_all)):
-                p1 = (counts[0][m] + MU / max(v, 1)) / (n + MU)
-                p2 = (counts[2][m] + MU * p1) / (counts[1][m] + MU)
+                p1 = (word[m] + MU / max(v, 1)) / (n + MU)
+                p2 = (pair[m] + MU * p1) / (before[m] + MU)
                 loss.append(np.where(lens > 0, np.bincount(text, -np.log2(p2), len(lens)) / lens, np.nan))
         out = pd.DataFrame({"id": list(ids), "n_tokens": lens.astype(np.int64), "loss_target": loss[0], "loss_background": loss[1], "ce_diff": loss[0] - loss[1]})
         return out.astype({x: object for x in ("loss_target", "loss_background", "ce_diff")}).where(out.notna(), None)

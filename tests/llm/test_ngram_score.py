@@ -13,7 +13,7 @@ def slow(texts, vocab, mu=ng.MU):
     seq = [["<>", *cases.words(t)] for t in texts]
     c1 = Counter(w for s in seq for w in s[1:])
     c2 = Counter(p for s in seq for p in zip(s, s[1:]))
-    ctx = Counter(b for s in seq for b in s[:-1])
+    ctx = Counter(b for s in seq for b in s if len(s) > 1)
     total = sum(c1.values())
 
     def loss(b, c):
