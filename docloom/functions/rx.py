@@ -25,13 +25,17 @@ ENTITIES = {
 }
 # Keywords of the document types, in the order that decides ties.
 KEYWORDS = {
-    "receipt": "total subtotal tax amount payment change cash credit_card item qty quantity price receipt store transaction order purchase customer cashier date time",
-    "business_card": "name phone email website address company title position cell mobile tel fax linkedin",
-    "id_card": "name birth issue expiration identification id_number gender height weight eyes hair address class restrictions",
-    "form": "form name address date signature please print check select complete sign submit office use only",
-    "text_document": "chapter section page paragraph introduction conclusion references figure table appendix",
+    "receipt": ("total", "subtotal", "tax", "amount", "payment", "change", "cash", "credit card", "item", "qty", "quantity", "price",
+                "receipt", "store", "transaction", "order", "purchase", "customer", "cashier", "date", "time"),
+    "business_card": ("name", "phone", "email", "website", "address", "company", "title", "position", "cell", "mobile", "tel", "fax", "linkedin"),
+    "id_card": ("name", "birth", "issue", "expiration", "identification", "id number", "gender", "height", "weight", "eyes", "hair", "address",
+                "class", "restrictions"),
+    "form": ("form", "name", "address", "date", "signature", "please", "print", "check", "select", "complete", "sign", "submit", "office", "use", "only"),
+    "text_document": ("chapter", "section", "page", "paragraph", "introduction", "conclusion", "references", "figure", "table", "appendix"),
 }
+# Payment methods, in the order in which they are tried.
 PAYMENTS = ("cash", "credit", "debit", "visa", "mastercard", "amex", "american express", "discover", "paypal", "check")
+# A day and an amount in labelled lines.
 DAY = r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"
 MONEY = r"\$?\s*(\d+\.\d{2})"
 
@@ -58,5 +62,5 @@ def lines(c: Column) -> Column:
     return F.split(strip(c), "\n", -1)
 
 
-def keyword_pattern(words: str) -> str:
-    return ANY_CASE + r"\b(?:" + "|".join(w.replace("_", " ") for w in words.split(" ")) + r")\b"
+def keyword_pattern(words: tuple[str, ...]) -> str:
+    return ANY_CASE + r"\b(?:" + "|".join(words) + r")\b"

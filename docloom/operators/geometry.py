@@ -7,9 +7,11 @@ from pyspark.sql import Column, functions as F
 
 def ordered(points: Column) -> Column:
     """Top left, top right, bottom right, bottom left; the first of equal points."""
-    def pick(key, sign):
-        ranked = F.transform(points, lambda p, i: F.struct((sign * key(p)).alias("k"), i.alias("i"), p.alias("p")))
-        return F.array_min(ranked)["p"]
+    corners = [F.get(points, F.lit(i)) for i in range(4)]
+
+    def pick(key, sign: int) -> Column:
+        ranked = [F.when(p.isNotNull(), F.struct((sign * key(p)).alias("k"), F.lit(i).alias("i"), p.alias("p"))) for i, p in enumerate(corners)]
+        return F.least(*ranked)["p"]
 
     total, diff = (lambda p: p["x"] + p["y"]), (lambda p: p["y"] - p["x"])
     return F.array(pick(total, 1), pick(diff, 1), pick(total, -1), pick(diff, -1))

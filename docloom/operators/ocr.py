@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docloom.functions import rx
 
+from . import text as tx
+
 GAP = 5
 NO_TEXT = "No text detected"
-_MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 
 
 def confidence(words: DataFrame) -> DataFrame:
@@ -28,14 +29,20 @@ def blocks(words: DataFrame) -> DataFrame:
     return placed.groupBy("doc_id", "psm", "block").agg(F.array_join(F.transform(words_, lambda x: x["text"]), " ").alias("text"))
 
 
-def full_text(words: DataFrame) -> DataFrame:
+def _joined() -> Column:
     kept = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("pos", "text"))))
-    return words.groupBy("doc_id", "psm").agg(F.array_join(F.transform(kept, lambda x: x["text"]), " ").alias("text"))
+    return F.array_join(F.transform(kept, lambda x: x["text"]), " ")
+
+
+def full_text(words: DataFrame) -> DataFrame:
+    """doc_id, psm, text: the words that are not blank, in order."""
+    return words.groupBy("doc_id", "psm").agg(_joined().alias("text"))
 
 
 def best_mode(words: DataFrame) -> DataFrame:
-    """doc_id, psm: the mode of the largest positive confidence with text; ties to 3, 6, 4."""
-    scored = confidence(words).join(full_text(words), ["doc_id", "psm"]).where("confidence > 0 and text <> ''")
+    """doc_id, psm, confidence, text: the mode of the largest positive confidence with text; ties to 3, 6, 4."""
+    sure = F.coalesce(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), F.lit(0.0))
+    scored = words.groupBy("doc_id", "psm").agg(sure.alias("confidence"), _joined().alias("text")).where("confidence > 0 and text <> ''")
     order = F.when(F.col("psm") == 3, 0).when(F.col("psm") == 6, -1).otherwise(-2)
     return scored.groupBy("doc_id").agg(F.max_by(F.struct("psm", "confidence", "text"), F.struct("confidence", order)).alias("b")).select("doc_id", "b.*")
 
@@ -47,16 +54,54 @@ def longest(candidates: DataFrame, size: Column, key: str = "doc_id") -> DataFra
     return candidates.groupBy(key).agg(F.coalesce(best, F.lit(NO_TEXT)).alias("text"))
 
 
+# What the fields of recognised text look like.
+FIELDS = {
+    "dates": (
+        r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}",
+        r"\d{4}[-/]\d{1,2}[-/]\d{1,2}",
+        r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}\b",
+    ),
+    "emails": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",),
+    "phones": (r"\b(?:\+\d{1,2}\s?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b",),
+    "addresses": (r"\d+\s+[A-Za-z0-9\s,]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr)\b",),
+    "amounts": (r"\$\s*\d+(?:\.\d{2})?|\d+(?:\.\d{2})?\s*(?:USD|EUR|GBP)",),
+}
+
+
 def structured_info(text: Column) -> Column:
-    found = lambda p, flags=rx.CASED: rx.all_matches(text, flags + p)
-    return F.struct(
-        F.concat(found(r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"), found(r"\d{4}[-/]\d{1,2}[-/]\d{1,2}"), found(rf"\b{_MONTHS} \d{{1,2}},? \d{{4}}\b")).alias("dates"),
-        found(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b").alias("emails"),
-        found(r"\b(?:\+\d{1,2}\s?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b").alias("phones"),
-        found(r"\d+\s+[A-Za-z0-9\s,]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr)\b", rx.ANY_CASE).alias("addresses"),
-        found(r"\$\s*\d+(?:\.\d{2})?|\d+(?:\.\d{2})?\s*(?:USD|EUR|GBP)").alias("amounts"),
-    )
+    """All matches of each field's patterns, pattern after pattern; only addresses ignore case."""
+    flags = lambda name: rx.ANY_CASE if name == "addresses" else rx.CASED
+    return F.struct(*[F.concat(*[rx.all_matches(text, flags(n) + p) for p in patterns]).alias(n) for n, patterns in FIELDS.items()])
+
+
+def empty_info() -> Column:
+    """The structured record of a document without recognised text."""
+    return F.struct(*[F.array().cast("array<string>").alias(n) for n in FIELDS])
 
 
 def n_items(info: Column) -> Column:
-    return sum((F.size(info[c]) for c in ("dates", "emails", "phones", "addresses", "amounts")), F.lit(0)).cast("long")
+    return sum((F.size(info[c]) for c in FIELDS), F.lit(0)).cast("long")
+
+
+NO_DOCUMENT = "No document detected"
+
+
+def settings(variants: Column, scales: tuple[float, ...] = (1.0,), modes: tuple[int, ...] = (6, 4, 11, 3)) -> Column:
+    """array of variant, scale, psm in the order in which they are tried; variants: array of names."""
+    inner = F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(m).alias("psm")) for s in scales for m in modes])
+    return F.flatten(F.transform(variants, lambda v: F.transform(inner, lambda x: F.struct(v.alias("variant"), x["scale"].alias("scale"), x["psm"].alias("psm")))))
+
+
+def best_candidate(documents: DataFrame, candidates: DataFrame, key: str = "doc_id", advanced: bool = False) -> DataFrame:
+    """key, text for each row of documents (key, found, and with advanced raw): the longest candidate (text, ord) that is not
+    blank. advanced: lines are stripped and blank ones dropped first, length is without spaces, and
+    without a candidate the raw text stays. Then NO_TEXT, or NO_DOCUMENT where found is false."""
+    text = F.col("text")
+    if advanced:
+        text = tx.clean_lines(text)
+    rows = candidates.select(F.col(key).alias("__k"), "ord", text.alias("text"))
+    size = tx.ink(F.col("text")) if advanced else F.length("text")
+    best = rows.groupBy("__k").agg(F.max_by("text", F.when(F.trim("text") != "", F.struct(size.alias("n"), (-F.col("ord")).alias("o")))).alias("__best"))
+    raw = F.when(F.trim("raw") != "", tx.clean_lines(F.col("raw"))) if advanced else F.lit(None).cast("string")
+    out = documents.join(best, documents[key].eqNullSafe(F.col("__k")), "left")
+    return out.select(key, F.when(~F.col("found"), NO_DOCUMENT).otherwise(F.coalesce("__best", raw, F.lit(NO_TEXT))).alias("text"))

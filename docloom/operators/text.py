@@ -15,8 +15,11 @@ MAX_KEY, MAX_VALUE = 30, 100
 
 
 def entities(text: Column) -> Column:
-    """map of entity to its matches in the order of the text; only entities that occur."""
-    pairs = [x for k, p in ENTITIES.items() for x in (F.lit(k), rx.all_matches(text, ANY_CASE + p))]
+    """map of entity to its matches in the order of the text; only entities that occur. A pattern
+    is tried only on texts with a character that all its matches have."""
+    digit, none = F.rlike(text, F.lit(r"(?U)\d")), F.array().cast("array<string>")
+    sign = {"email": F.contains(text, F.lit("@")), "url": F.contains(text, F.lit("://")), "ssn": digit & F.contains(text, F.lit("-")), "time": digit & F.contains(text, F.lit(":"))}
+    pairs = [x for k, p in ENTITIES.items() for x in (F.lit(k), F.when(sign.get(k, digit), rx.all_matches(text, ANY_CASE + p)).otherwise(none))]
     return F.map_filter(F.create_map(*pairs), lambda _, v: F.size(v) > 0)
 
 
@@ -35,25 +38,46 @@ def payment(text: Column) -> Column:
     return F.coalesce(*[F.when(F.rlike(text, F.lit(rf"{ANY_CASE}\b{p}\b")), F.lit(p)) for p in PAYMENTS])
 
 
+# A line item, quantity, description and price.
+ITEM = ANY_CASE + r"(\d+)\s*(?:x)?\s*(.+?)\s*\$?(\d+\.\d{2})"
+_BLANK = r"[^\S\n]"
+_LAST = rf"{_BLANK}*+x?+{_BLANK}*+(?=\n)"  # what stands between a line's last number and its end
+_OTHER = rf"\d++(?!\.\d{{2}})(?!{_LAST})"  # a number that is neither an amount nor that last one
+_QUANTITY = rf"(?:0++(?=\d))?+(\d{{1,11}}+)\d*+({_LAST})"  # that last number as far as an int shows it
+#: What follows a line's last amount (or the whole of a line without one), has numbers, and is not followed by an amount.
+DEAD = rf"{ANY_CASE}(?:(?<=\d\.\d{{2,20}})(?!\d|\.\d{{2}})|(?<=\d\.\d{{20}})(?=\d)|(?<=\n)|\A)[^\d\n]*+(?:{_OTHER}(?:[^\d\n]|{_OTHER})*+(?:{_QUANTITY})?|{_QUANTITY})(?=\n|\z)(?!\s*+\$?\d++\.\d{{2}})"
+
+
+def items(text: Column) -> Column:
+    """Line items. ITEM tries each number of a line that leads to no amount up to the line's end; so
+    what cannot be part of an item is cut out first, and long gaps at line ends are shortened,
+    which makes the search linear and leaves the items as they are (numbers of more than 20 digits
+    behind a point excepted)."""
+    live = F.regexp_replace(text, rf"{ANY_CASE}(?<!{_BLANK})({_BLANK}){_BLANK}++(?=\n)", "$1")
+    live = F.regexp_replace(live, rf"{ANY_CASE}\n\n*+(?:({_BLANK})\s*+)?+(?<=(\s))", "\n$1$2")
+    live = F.regexp_replace(live, DEAD, "#$1$2$3$4")
+    found = F.transform(rx.all_matches(live, ITEM), lambda m: F.struct(*[F.regexp_extract(m, ITEM, g).alias(n) for g, n in ((1, "q"), (2, "d"), (3, "p"))]))
+    read = F.transform(found, lambda x: F.struct(
+        x["q"].try_cast("int").alias("quantity"), rx.strip(x["d"]).alias("description"), x["p"].cast("double").alias("price"),
+        (x["q"].try_cast("int") * x["p"].cast("double")).alias("subtotal"),
+    ))
+    return F.when(F.rlike(text, F.lit(r"(?U)\d\.\d{2}")), F.filter(read, lambda x: x["quantity"].isNotNull())).otherwise(F.filter(read, lambda x: F.lit(False)))
+
+
 def receipt(text: Column) -> Column:
     label = r"(?:\s*:|\s*=)?\s*"
     total = F.coalesce(rx.group(text, rf"{ANY_CASE}total\s*(?:amount)?{label}{MONEY}"), rx.group(text, rf"{ANY_CASE}(?:total|amount){label}{MONEY}"))
     amount = lambda word: rx.group(text, rf"{ANY_CASE}{word}\s*(?::\s*|\s*=\s*)?\$?(\d+\.\d{{2}})").cast("double")
-    item = ANY_CASE + r"(\d+)\s*(?:x)?\s*(.+?)\s*\$?(\d+\.\d{2})"
-    parts = F.arrays_zip(*[rx.all_matches(text, item, g).alias(n) for g, n in ((1, "q"), (2, "d"), (3, "p"))])
-    items = F.transform(parts, lambda x: F.struct(
-        x["q"].try_cast("int").alias("quantity"), rx.strip(x["d"]).alias("description"), x["p"].cast("double").alias("price"),
-        (x["q"].try_cast("int") * x["p"].cast("double")).alias("subtotal"),
-    ))
     return F.struct(
         F.get(rx.lines(text), F.lit(0)).alias("merchant"), rx.first(text, CASED + ENTITIES["date"]).alias("date"), rx.first(text, CASED + ENTITIES["time"]).alias("time"),
         total.cast("double").alias("total"), amount("subtotal").alias("subtotal"), amount("tax").alias("tax"), payment(text).alias("payment_method"),
-        F.filter(items, lambda x: x["quantity"].isNotNull()).alias("items"),
+        items(text).alias("items"),
     )
 
 
 def business_card(text: Column) -> Column:
     lines, phones = rx.lines(text), rx.all_matches(text, CASED + ENTITIES["phone"])
+    # Fixed value: a host without a scheme.
     www = CASED + r"www\.[a-zA-Z0-9][-a-zA-Z0-9]{0,62}(?:\.[a-zA-Z0-9][-a-zA-Z0-9]{0,62})+"
     return F.struct(
         *[rx.strip(F.get(lines, F.lit(i))).alias(n) for i, n in enumerate(("name", "title", "company"))],
@@ -63,6 +87,7 @@ def business_card(text: Column) -> Column:
 
 
 def id_card(text: Column) -> Column:
+    # The labels of an id card's lines.
     to = r"\s*(?::\s*|\s*=\s*)?"
     dated = lambda words, on=r"\s*(?:date|on)?": rx.group(text, f"{ANY_CASE}(?:{words}){on}{to}{DAY}")
     return F.struct(
@@ -80,16 +105,22 @@ def _pairs(text: Column, pattern: str) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    """A map in which of equal keys the last entry stays, whatever the session's policy."""
-    numbered = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("i")))
-    stay = F.filter(numbered, lambda e: ~F.exists(F.slice(entries, e["i"] + 2, F.greatest(F.size(entries), F.lit(1))), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(F.transform(stay, lambda e: F.struct(e["key"], e["value"])))
+    """A map in which of equal keys the last entry stays, whatever the session's policy: entries
+    sorted by key and place, of which those stay that another key follows."""
+    ranked = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+    after = F.slice(ranked, 2, F.greatest(F.size(ranked), F.lit(1)))
+    stay = F.zip_with(ranked, after, lambda e, o: F.when(o.isNull() | (e["key"] != o["key"]), F.struct(e["key"], e["value"])))
+    return F.map_from_entries(F.array_compact(stay))
 
 
-# The key run is taken whole, from where it starts or the last match ended; linear in its length.
+# The key run is taken whole, from where it starts or the last match ended, or up to its first gap of two
+# blanks; linear in its length.
 _RUN = CASED + r"(?:\G|(?<![\w\s]))([\w\s]++)"
 
 
+GAP_PAIR = CASED + r"(?:\G|(?<![\w\s]))([\w\s](?:(?!\s\s)[\w\s])*+)\s{2,}([^\n]+)"
+
+
 def form_fields(text: Column) -> Column:
     return _last_wins(_pairs(text, _RUN + r"(?::|=)\s*([^\n]+)"))
 
@@ -100,7 +131,7 @@ def form(text: Column) -> Column:
 
 
 def key_values(text: Column) -> Column:
-    patterns = (_RUN + r":\s*([^\n]+)", _RUN + r"=\s*([^\n]+)", CASED + r"([\w\s]+?)\s{2,}([^\n]+)")
+    patterns = (_RUN + r":\s*([^\n]+)", _RUN + r"=\s*([^\n]+)", GAP_PAIR)
     return _last_wins(F.concat(*[_pairs(text, p) for p in patterns]))
 
 

@@ -1,9 +1,11 @@
 import json
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
+from docloom.functions import rx
 from docloom.operators import classify, geometry, ocr, text as tx
 from docloom.sources import files, sinks
 from docloom.streaming import throttle
@@ -41,6 +43,41 @@ def test_linear_key_pattern_equals_the_plain_one(spark):
         assert r == want, repr(t)
 
 
+def random_texts(spark, letters, seed, n=20_000, longest=40):
+    rng = random.Random(seed)
+    return spark.createDataFrame([("".join(rng.choices(letters, k=rng.randrange(longest))),) for _ in range(n)], "text string")
+
+
+def test_linear_gap_pattern_equals_the_plain_one(spark):
+    texts = random_texts(spark, "ab  \n\t;:é", 3)
+    plain = rx.CASED + r"([\w\s]+?)\s{2,}([^\n]+)"
+    pairs = lambda p: F.arrays_zip(rx.all_matches(F.col("text"), p, 1), rx.all_matches(F.col("text"), p, 2))
+    rows = texts.select("text", F.to_json(pairs(plain)).alias("want"), F.to_json(pairs(tx.GAP_PAIR)).alias("got"))
+    assert rows.where("want <> got").take(3) == [] and rows.where("want <> '[]'").count() > 5000
+
+
+def test_linear_items_equal_the_plain_ones(spark):
+    for seed, letters in ((4, "1 2.00x$\n\na "), (5, "12.34  \n"), (6, "1.00\n$x ab"), (7, "1 x\n\t2.50")):
+        texts = random_texts(spark, letters, seed)
+        text = F.col("text")
+        plain = F.arrays_zip(*[rx.all_matches(text, tx.ITEM, g) for g in (1, 2, 3)])
+        plain = F.filter(F.transform(plain, lambda x: F.struct(x["0"].try_cast("int").alias("q"), rx.strip(x["1"]).alias("d"), x["2"].cast("double").alias("p"))), lambda x: x["q"].isNotNull())
+        mine = F.transform(tx.items(text), lambda x: F.struct(x["quantity"].alias("q"), x["description"].alias("d"), x["price"].alias("p")))
+        rows = texts.select("text", F.to_json(plain).alias("want"), F.to_json(mine).alias("got"))
+        assert rows.where("want <> got").take(3) == [] and rows.where("want <> '[]'").count() > 200, letters
+
+
+def test_hostile_texts_take_linear_time(spark):
+    n = 100_000
+    hostile = ["1 " * (n // 2), "1" * n, "a" * n, "a b " * (n // 4), "a\n" * (n // 2), " " * n, "\n" * n, "1 \n" * (n // 3), "1.50" * (n // 4), "1\n\n" * (n // 3) + "x 2.00", "3" + " " * n + "4", "=" * n, "a  " * (n // 3)]
+    rows = spark.createDataFrame([(t,) for t in hostile], "text string").coalesce(1).cache()
+    rows.count()
+    for fn in (tx.items, tx.key_values, tx.form_fields):
+        start = time.time()
+        rows.select(F.size(fn(F.col("text"))).alias("n")).collect()
+        assert time.time() - start < 0.5 * len(hostile), fn.__name__
+
+
 def test_blocks_follow_the_word_before(spark):
     rows = [(1, 3, i, w, c, t) for i, (w, c, t) in enumerate([("a", 9.0, 0), ("b", 9.0, 5), ("", 9.0, 99), ("c", -1.0, 50), ("d", 0.0, 10), ("e", 5.0, 16)])]
     words = spark.createDataFrame(rows, "doc_id long, psm int, pos int, text string, conf double, top int")
