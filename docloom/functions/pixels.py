@@ -60,6 +60,52 @@ def adaptive(plane: np.ndarray, size: int = 11, c: float = 2) -> np.ndarray:
     return np.where(plane.astype(np.int16) > blur(plane, size).astype(np.int16) - c, 255, 0).astype(np.uint8)
 
 
+def adaptive_mean(plane: np.ndarray, size: int = 15, c: float = 5) -> np.ndarray:
+    """White where a pixel is above the mean of its square less c."""
+    mean = clip8(separable(plane, np.full(size, 1 / size)))
+    return np.where(plane.astype(np.int16) > mean.astype(np.int16) - c, 255, 0).astype(np.uint8)
+
+
+def blur_by(img: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian of a given deviation, three deviations wide on either side."""
+    r = int(round(3 * sigma))
+    k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    return clip8(separable(img, k / k.sum()))
+
+
+def resized(img: np.ndarray, h: int, w: int, cubic: bool = False) -> np.ndarray:
+    """The image at another size, pixel centres kept in place; linear or cubic (a = -3/4)."""
+    def weights(n: int, m: int) -> np.ndarray:
+        at = (np.arange(m) + 0.5) * n / m - 0.5
+        first = np.floor(at).astype(int) - (1 if cubic else 0)
+        out = np.zeros((m, n))
+        for i in range(4 if cubic else 2):
+            d = np.abs(at - (first + i))
+            if cubic:
+                k = np.where(d <= 1, 1.25 * d**3 - 2.25 * d**2 + 1, np.where(d < 2, -0.75 * (d**3 - 5 * d**2 + 8 * d - 4), 0))
+            else:
+                k = np.maximum(1 - d, 0)
+            np.add.at(out, (np.arange(m), np.clip(first + i, 0, n - 1)), k)
+        return out
+
+    rows = np.tensordot(weights(img.shape[0], h), img.astype(np.float64), axes=(1, 0))
+    return clip8(np.moveaxis(np.tensordot(weights(img.shape[1], w), rows, axes=(1, 1)), 0, 1))
+
+
+def smallest_box(poly: np.ndarray) -> np.ndarray:
+    """The four corners of the rectangle of the smallest area around a convex outline: one of its
+    sides lies on a side of the outline."""
+    best, corners = np.inf, poly
+    for a, b in zip(poly, np.roll(poly, -1, axis=0), strict=True):
+        d = (b - a) / max(np.hypot(*(b - a)), 1e-12)
+        turn = np.array([d, [-d[1], d[0]]])
+        flat = poly @ turn.T
+        low, high = flat.min(axis=0), flat.max(axis=0)
+        if (size := float(np.prod(high - low))) < best:
+            best, corners = size, np.array([low, [high[0], low[1]], high, [low[0], high[1]]]) @ turn
+    return corners
+
+
 def otsu_level(plane: np.ndarray) -> int:
     """The level of the largest variance between the two sides."""
     n = np.bincount(plane.ravel(), minlength=256).astype(np.float64)
@@ -340,3 +386,16 @@ def from_lab(x: np.ndarray) -> np.ndarray:
     xyz = np.where(f > 6 / 29, f**3, (116 * f - 16) * 27 / 24389) * _WHITE
     c = np.clip(xyz @ np.linalg.inv(_XYZ).T, 0, 1)
     return clip8(np.where(c > 0.0031308, 1.055 * c ** (1 / 2.4) - 0.055, c * 12.92)[..., ::-1] * 255)
+
+
+def yuv(img: np.ndarray) -> np.ndarray:
+    """Luma 0 to 255, and both differences about 128."""
+    b, g, r = np.moveaxis(img.astype(np.float64), 2, 0)
+    y = 0.299 * r + 0.587 * g + 0.114 * b
+    return np.stack([y, 0.492 * (b - y) + 128, 0.877 * (r - y) + 128], axis=2)
+
+
+def from_yuv(x: np.ndarray) -> np.ndarray:
+    y, u, v = np.moveaxis(x, 2, 0)
+    b, r = y + (u - 128) / 0.492, y + (v - 128) / 0.877
+    return clip8(np.stack([b, (y - 0.299 * r - 0.114 * b) / 0.587, r], axis=2))

@@ -34,13 +34,43 @@ def distribution(rows: DataFrame, key: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select(key, "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 
+def _cut(rows: DataFrame, h: Column, want: int) -> tuple[int, int]:
+    """The 32-bit bucket of h (the highest bits) in which the want-th smallest row lies, and how
+    many rows lie in the buckets before it. Two counts of at most 65,536 rows reach the driver."""
+    bucket, before = None, 0
+    for shift in (48, 32):
+        part = F.shiftright(h, shift)
+        inside = rows if bucket is None else rows.where(F.shiftright(h, shift + 16) == bucket)
+        for r in sorted(inside.groupBy(part.alias("b")).count().collect(), key=lambda r: r["b"]):
+            if before + r["count"] > want:
+                bucket = r["b"]
+                break
+            before += r["count"]
+    return bucket, before
+
+
 def exact_split(rows: DataFrame, key: str, share: float = 0.2) -> DataFrame:
-    """rows with `is_test` for exactly int(n * share) rows, those of the smallest hash. The cut
-    is an order statistic: the hashes at the boundary are found by a sorted limit."""
-    n = int(rows.count() * share)
+    """rows with `is_test` for exactly int(n * share) rows, those of the smallest hash of the key (null
+    keys too). The cut is an order statistic, found by counts of hash buckets; only rows of the
+    bucket that it falls in, of one key as a rule, are numbered."""
+    n = rows.count()
+    want = int(n * share)
+    if want <= 0 or want >= n:
+        return rows.withColumn("is_test", F.lit(want > 0))
     h = F.xxhash64(key)
-    chosen = rows.select(key, h.alias("h")).orderBy("h", key).limit(n).select(F.col(key).alias("__k")).withColumn("is_test", F.lit(True))
-    return rows.join(chosen, F.col(key) == F.col("__k"), "left").drop("__k").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
+    bucket, before = _cut(rows, h, want)
+    low = F.shiftright(h, 32)
+    edge = rows.where(low == bucket).withColumn("__m", F.monotonically_increasing_id())
+    counts = edge.groupBy(F.shiftright("__m", 33).alias("p")).count().collect()  # one row a partition
+    left, last, within = want - before, -1, 0
+    for r in sorted(counts, key=lambda r: r["p"]):
+        last, within = r["p"], min(left, r["count"])
+        left -= within
+        if not left:
+            break
+    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    cut = (part < last) | ((part == last) & (place < within))
+    return rows.where(low != bucket).withColumn("is_test", low < bucket).unionByName(edge.withColumn("is_test", cut).drop("__m"))
 
 
 def train(rows: DataFrame, features: str = "features", label: str = "label", trees: int = 100, depth: int = 10, seed: int = 42):
@@ -62,8 +92,96 @@ def predict(model, rows: DataFrame) -> DataFrame:
     return out.withColumns({"pred": F.col("prediction").cast("int"), "confidence": F.array_max(vector_to_array("probability"))}).drop("rawPrediction", "probability", "prediction", "scaled")
 
 
-def newest(rows: DataFrame, by: str, n: int) -> DataFrame:
-    return rows.orderBy(F.desc(by)).limit(n)
+def save(model, path: str) -> bool:
+    """Writes a fitted model over what is at path; False if there is no model."""
+    if model is None:
+        return False
+    model.write().overwrite().save(path)
+    return True
+
+
+def load(path: str):
+    """The model saved at path, None if it cannot be read."""
+    from pyspark.ml import PipelineModel
+
+    try:
+        return PipelineModel.load(path)
+    except Exception:  # noqa: BLE001  whatever keeps a model from being read
+        return None
+
+
+def predict_or_rules(model, rows: DataFrame, classes: list[str], features: str = "features") -> DataFrame:
+    """rows with doc_type and confidence: the model's, or without a model the rules' (0.6), or
+    where the model gives none the rules' (0.5). features: a vector whose first two numbers are aspect and edge density."""
+    from pyspark.ml.functions import vector_to_array
+
+    f = vector_to_array(features)
+    rules = rule_type(F.get(f, F.lit(0)), F.get(f, F.lit(1)))
+    if model is None:
+        return rows.withColumns({"doc_type": rules, "confidence": F.lit(0.6)})
+    names = F.array(*[F.lit(c) for c in classes])
+    out = predict(model, rows)
+    kind = F.get(names, F.col("pred"))
+    return out.withColumns({"doc_type": F.coalesce(kind, rules), "confidence": F.when(kind.isNotNull(), F.col("confidence")).otherwise(0.5)}).drop("pred")
+
+
+#: The first numbers of a feature vector.
+NAMED = ("aspect_ratio", "edge_density", "contour_density", "texture", "text_lines", "brightness", "contrast")
+
+
+def diagnosed(rows: DataFrame, truth: str | None = None, features: str = "features") -> DataFrame:
+    """rows (with a feature array, prediction and confidence) with the named features and
+    whether the prediction is right; null where the truth is unknown."""
+    named = F.struct(*[F.get(features, F.lit(i)).alias(n) for i, n in enumerate(NAMED)])
+    right = F.col("prediction") == F.col(truth) if truth else F.lit(None).cast("boolean")
+    return rows.withColumns({"named_features": named, "correct": right})
+
+
+def train_and_evaluate(rows: DataFrame, key: str, label: str = "label", features: str = "features", share: float = 0.2, trees: int = 100, depth: int = 10, seed: int = 42):
+    """(model, classes, accuracy on the training rows, rows of the test set with pred and
+    confidence, accuracy by class of the test set). Rows are split by `exact_split`; labels are strings, numbered in sorted order."""
+    classes = [r[0] for r in rows.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]  # one row a class
+    number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    parts = exact_split(rows.where(F.col(label).isNotNull()).withColumn("__y", number.cast("double")), key, share)
+    model = train(parts.where("not is_test"), features, "__y", trees, depth, seed)
+    named = F.get(F.array(*[F.lit(c) for c in classes]), F.col("pred"))
+    said = predict(model, parts).withColumns({"true": F.col(label), "pred": named}).drop("__y")
+    hit = F.avg((F.col("true") == F.col("pred")).cast("double"))
+    fitted = said.where("not is_test").agg(hit).first()[0]
+    test = said.where("is_test")
+    return model, classes, fitted, test, evaluate(test, classes)
+
+
+def accuracy(rows: DataFrame) -> DataFrame:
+    """One row: the share of rows (true, pred) that agree."""
+    return rows.agg(F.avg((F.col("true") == F.col("pred")).cast("double")).alias("accuracy"))
+
+
+def averages_by(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n and the average of value."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias(value))
+
+
+def stage_times(rows: DataFrame, stages: list[str]) -> DataFrame:
+    """One row: the average of each stage over the rows that have it."""
+    return rows.agg(*[F.avg(s).alias(s) for s in stages])
+
+
+def median_angle(rows: DataFrame, key: str, angle: str) -> DataFrame:
+    """key, raw, angle: the exact median of the angles, and of the angles that count from upright
+    where they lie between 45 and 135 degrees."""
+    folded = F.when(F.col(angle).between(45, 135), F.col(angle) - 90).otherwise(F.col(angle))
+    return rows.groupBy(key).agg(F.percentile(F.col(angle), 0.5).alias("raw"), F.percentile(folded, 0.5).alias("angle"))
+
+
+def modes_in_turn(rows: DataFrame, at: Column, modes: tuple[str, ...], out: str = "mode") -> DataFrame:
+    """rows with the mode that stands at place `at` of the modes, taken in turn."""
+    return rows.withColumn(out, F.element_at(F.array(*[F.lit(m) for m in modes]), (F.pmod(at, F.lit(len(modes))) + 1).cast("int")))
+
+
+def newest(rows: DataFrame, by: str | list[str], n: int) -> DataFrame:
+    """The n rows of the largest `by`."""
+    return rows.orderBy(*[F.desc(b) for b in ([by] if isinstance(by, str) else by)]).limit(n)
 
 
 def running_count(rows: DataFrame, key: str, order: str) -> DataFrame:

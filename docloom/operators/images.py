@@ -295,6 +295,33 @@ def straightened(df: DataFrame, out: str = "straight", image: str = "image", at_
     return each(df, make, out, IMAGE, image)
 
 
+def rotation(df: DataFrame, out: str = "angle", image: str = "image") -> DataFrame:
+    """df with the median angle of the image's straight lines in degrees, 0 without lines."""
+    def make(a):
+        angles = px.line_angles(px.canny(px.gray(a), 50, 150))
+        return float(np.median(angles)) if len(angles) else 0.0
+
+    return each(df, make, out, "double", image)
+
+
+BACKGROUND = "struct<dark:bigint,light:bigint,is_dark:boolean>"
+
+
+def background(df: DataFrame, out: str = "background", image: str = "image") -> DataFrame:
+    """df with the number of pixels below 128 and from there on, and whether the first is larger."""
+    def make(a):
+        dark = int((px.gray(a) < 128).sum())
+        light = a.shape[0] * a.shape[1] - dark
+        return {"dark": dark, "light": light, "is_dark": dark > light}
+
+    return each(df, make, out, BACKGROUND, image)
+
+
+def histogram(df: DataFrame, bins: int = 32, out: str = "histogram", image: str = "image") -> DataFrame:
+    """df with the number of pixels in each of `bins` equal ranges of gray levels (a divisor of 256)."""
+    return each(df, lambda a: np.bincount(px.gray(a).ravel() // (256 // bins), minlength=bins).tolist(), out, "array<bigint>", image)
+
+
 def feature_vector(img: np.ndarray) -> list[float]:
     """Aspect, edge density, outline density, deviation by mean, deviation of row sums, mean and
     deviation by 255, and 32 shares of gray levels: 39 numbers."""

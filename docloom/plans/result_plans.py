@@ -17,24 +17,24 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_4_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = (F.col("toxic") == 1 - F.col("quality")).cast("double")
-    return table(spark, sf_dir, "labels").agg(F.round(F.avg(hit), 6).alias("accuracy"))
+    out = classify.accuracy(table(spark, sf_dir, "labels").selectExpr("toxic as true", "1 - quality as pred"))
+    return out.select(F.round("accuracy", 6).alias("accuracy"))
 
 
 def agg_6_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(spark, sf_dir).groupBy("doc_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return classify.averages_by(_results(spark, sf_dir), "doc_type", "confidence").withColumn("confidence", F.round("confidence", 6))
 
 
 def agg_7_stage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each average is over the rows that have the stage."""
-    return _results(spark, sf_dir).agg(F.round(F.avg("ocr_s"), 6).alias("ocr_s"), F.round(F.avg("analysis_s"), 6).alias("analysis_s"))
+    times = classify.stage_times(_results(spark, sf_dir), ["ocr_s", "analysis_s"])
+    return times.select(F.round("ocr_s", 6).alias("ocr_s"), F.round("analysis_s", 6).alias("analysis_s"))
 
 
 def agg_10_median_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Angles from 45 to 135 count from upright; the exact median of each page's lines."""
     e = table(spark, sf_dir, "events").selectExpr("user_id", "cast(event_id * 7 % 180 as double) as angle")
-    folded = F.when(F.col("angle").between(45, 135), F.col("angle") - 90).otherwise(F.col("angle"))
-    return e.groupBy("user_id").agg(F.expr("percentile(angle, 0.5)").alias("raw"), F.percentile(folded, 0.5).alias("angle"))
+    return classify.median_angle(e, "user_id", "angle")
 
 
 def agg_13_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def jn_2_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def srt_7_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest five; the number is the feature."""
-    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(5).select("event_id", "user_id")
+    return classify.newest(table(spark, sf_dir, "events"), ["ts", "event_id"], 5).select("event_id", "user_id")
 
 
 _E = """(select event_id, event_type as doc_type, event_id % 97 / 100.0::double as confidence,

@@ -32,7 +32,7 @@ def win_3_best_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(F.split("text", " ", -1)).alias("pos", "text"))
     modes = turns.select("doc_id", "pos", "text", F.explode(F.array(F.lit(3), F.lit(6), F.lit(4))).alias("psm"))
     words = modes.withColumns({"conf": F.expr("cast((doc_id + pos * (psm % 4)) % 7 as double)"), "top": F.lit(0)})
-    return ocr.best_mode(words).select("doc_id", "psm", F.round("confidence", 6).alias("confidence"))
+    return ocr.best_mode(words).select("doc_id", "psm", F.round("confidence", 6).alias("confidence"), "text")
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +116,7 @@ def agg_9_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_4_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modes = F.array(*[F.lit(m) for m in ("text", "bw", "color")])
-    return table(spark, sf_dir, "events").select("event_id", F.element_at(modes, (F.col("event_id") % 3 + 1).cast("int")).alias("mode"))
+    return classify.modes_in_turn(table(spark, sf_dir, "events").select("event_id"), F.col("event_id"), ("text", "bw", "color"))
 
 
 _WORDS = f"select doc_id, pos, word as text, {CONF} as conf, {TOP} as top from (select doc_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as pos from documents)"
@@ -136,9 +135,9 @@ SQL = {
       select doc_id, cast(block as bigint) as block, string_agg(text, ' ' order by pos) as text from b group by 1, 2""",
     "win_3_best_mode": f"""with t as ({_TURNS}), w as (select doc_id, unnest(string_split(text, ' ')) as text, unnest(range(len(string_split(text, ' ')))) as pos from t),
       m as (select w.*, psm, o from w, (values (3, 0), (6, 1), (4, 2)) v(psm, o)),
-      s as (select doc_id, psm, o, coalesce(avg(c) filter (where c > 0), 0) as confidence, count(*) filter (where trim(text) <> '') as n
+      s as (select doc_id, psm, o, coalesce(avg(c) filter (where c > 0), 0) as confidence, count(*) filter (where trim(text) <> '') as n, string_agg(text, ' ' order by pos) filter (where trim(text) <> '') as text
             from (select *, cast((doc_id + pos * (psm % 4)) % 7 as double) as c from m) group by 1, 2, 3)
-      select doc_id, psm, round(confidence, 6) as confidence from s where confidence > 0 and n > 0 qualify row_number() over (partition by doc_id order by confidence desc, o) = 1""",
+      select doc_id, psm, round(confidence, 6) as confidence, text from s where confidence > 0 and n > 0 qualify row_number() over (partition by doc_id order by confidence desc, o) = 1""",
     "srt_5_longest": _BEST.format(_TURNS, "length(t)"),
     "srt_6_most_ink": _BEST.format(_TURNS, "length(replace(replace(t, ' ', ''), chr(10), ''))"),
     "cls_5_rules": """with e as (select event_id, event_id % 300 / 100.0::double as aspect, event_id % 40 / 100.0::double as edges, event_id % 37 / 100.0::double as ink from events)

@@ -25,7 +25,7 @@ URL = f"concat('https://shop', {K} % 9, '.example.com/p/', {K})"
 PRICE = f"concat('$12.', {pad(f'{K} % 100', 2)})"
 CARD = f"concat('4111-2222-3333-', {pad(f'{K} % 10000', 4)})"
 SSN = f"concat('123-45-', {pad(f'{K} % 10000', 4)})"
-NOTE = f"concat('Contact ', {EMAIL}, ' or ', {PHONE}, ' on ', {DATE}, ' at {{', {TIME}, '}}. Site ', {URL}, ' costs ', {PRICE}, ' number ', {CARD}, ' ssn ', {SSN}, ' end')"
+NOTE = f"concat('Contact ', {EMAIL}, ' or ', {PHONE}, ' on ', {DATE}, ' at {{', {TIME}, '}}. Site ', {URL}, ' costs ', {PRICE}, ' number ', {CARD}, ' ssn ', {SSN}, ' end; 12 Elm Street, Town')"
 TYPES = (
     ("receipt", "Receipt: total 5, paid in cash; subtotal 4"), ("business_card", "Name, Phone, Fax and Website"), ("id_card", "birth eyes hair height weight"),
     ("form", "please sign and submit the form"), ("text_document", "chapter one, section two, page 3"), ("business_card", "name"), ("text_document", "nothing to see"),
@@ -48,8 +48,9 @@ RECEIPT = (
     f"o_orderkey % 5 + 1, ' x widget $', {cents(7)}, {NL}, o_orderkey % 3 + 1, ' gadget $', {cents(11)}, {NL}, "
     f"'Subtotal: $', {cents(13)}, {NL}, 'Tax: $', {cents(17)}, {NL}, 'Total: $', {cents(19)}, {NL}, 'Paid by ', case o_orderkey % 3 when 0 then 'VISA' when 1 then 'check, not cash' else 'barter' end)"
 )
-VCARD = f"concat('  Person ', {K}, '  ', {NL}, 'Manager', {NL}, {NL}, 'ACME', {NL}, {PHONE}, ' ', '(999) 111-2222', {NL}, {EMAIL}, {NL}, case when {K} % 2 = 0 then {URL} else 'www.acme.example.com' end)"
-IDCARD = f"concat('ID: S', s_suppkey, {NL}, 'Name: ', s_name, {NL}, 'DOB: 02/', {pad('s_suppkey % 28 + 1', 2)}, '/1980', {NL}, 'Issued on: 03/04/2020', {NL}, 'Expires: 03/', {pad('s_suppkey % 28 + 1', 2)}, '/2030')"
+HOME = "concat('12 Elm Street, Town ', {0})"
+VCARD = f"concat('  Person ', {K}, '  ', {NL}, 'Manager', {NL}, {NL}, 'ACME', {NL}, {PHONE}, ' ', '(999) 111-2222', {NL}, {EMAIL}, {NL}, case when {K} % 2 = 0 then {URL} else 'www.acme.example.com' end, {NL}, ';', {NL}, {HOME.format(K)})"
+IDCARD = f"concat('ID: S', s_suppkey, {NL}, 'Name: ', s_name, {NL}, 'DOB: 02/', {pad('s_suppkey % 28 + 1', 2)}, '/1980', {NL}, 'Issued on: 03/04/2020', {NL}, 'Expires: 03/', {pad('s_suppkey % 28 + 1', 2)}, '/2030', {NL}, ';', {NL}, {HOME.format('s_suppkey')})"
 FORM = f"concat('Request!', {NL}, '; City: town ', o_orderkey % 11, {NL}, ';Zip = ', o_orderkey, {NL}, '; City: last ', o_orderkey % 3, {NL}, ';', repeat('k', 31), ': dropped', {NL}, '; sign here')"
 
 
@@ -82,12 +83,12 @@ def txt_3_receipt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txt_4_business_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rendered(spark, sf_dir, "customer", K, VCARD).select(K, tx.business_card(F.col("text")).alias("r"))
-    return r.select(K, "r.name", "r.title", "r.company", "r.phone", "r.mobile", "r.email", "r.website")
+    return r.select(K, "r.name", "r.title", "r.company", "r.phone", "r.mobile", "r.email", "r.website", "r.address")
 
 
 def txt_5_id_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rendered(spark, sf_dir, "supplier", "s_suppkey", IDCARD).select("s_suppkey", tx.id_card(F.col("text")).alias("r"))
-    return r.select("s_suppkey", "r.id_number", "r.name", "r.date_of_birth", "r.issue_date", "r.expiration_date")
+    return r.select("s_suppkey", "r.id_number", "r.name", "r.date_of_birth", "r.issue_date", "r.expiration_date", "r.address")
 
 
 def txt_6_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,19 @@ def srt_12_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txt_11_structured_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _rendered(spark, sf_dir, "customer", K, NOTE).select(K, ocr.structured_info(F.col("text")).alias("r"))
-    return r.select(K, F.get("r.dates", F.lit(0)).alias("day"), F.get("r.emails", F.lit(0)).alias("email"), F.get("r.amounts", F.lit(0)).alias("amount"), F.size("r.addresses").cast("long").alias("n_addresses"))
+    return r.select(K, *[F.array_join(f"r.{n}", "|").alias(n) for n in ocr.FIELDS])
+
+
+def txt_10_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of receipts, cards, id cards, forms and other texts, by the type named (odd keys) or
+    the type found: what the type's record says first."""
+    said = "case o_orderkey % 4 when 0 then {0} when 1 then {1} when 2 then {2} else {3} end"
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.expr(said.format(RECEIPT, FORM, "concat('chapter ', o_orderkey, ' figure')", "'  '")).alias("text"),
+        F.expr("case o_orderkey % 8 when 1 then 'form' when 5 then 'letter' end").alias("named"))
+    orders = orders.select("o_orderkey", "text", F.coalesce("named", tx.doc_type(F.col("text"))).alias("kind"))
+    r = orders.select("o_orderkey", tx.analyze(F.col("text"), F.col("kind")).alias("r"))
+    return r.select("o_orderkey", "r.error", "r.type", F.coalesce("r.receipt.merchant", "r.form.title", "r.text_document.title").alias("first"), F.size("r.metadata").cast("long").alias("entities"))
 
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -135,7 +148,7 @@ _S = STRIP.format
 SQL = {
     "txt_1_entities": " union all ".join(
         f"select {K}, '{n}' as entity, {e} as value from customer" for n, e in
-        (("email", EMAIL), ("phone", PHONE), ("date", DATE), ("time", TIME), ("url", URL), ("price", PRICE), ("credit_card", CARD), ("ssn", SSN))
+        (("email", EMAIL), ("phone", PHONE), ("date", DATE), ("time", TIME), ("url", URL), ("price", PRICE), ("credit_card", CARD), ("ssn", SSN), ("address", "'12 Elm Street, Town'"))
     ),
     "txt_2_doc_type": f"select o_orderkey, {TYPE_OF} as doc_type from orders",
     "agg_3_type_distribution": f"select doc_type, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from (select {TYPE_OF} as doc_type from orders) group by 1",
@@ -147,20 +160,24 @@ SQL = {
     )
     # the pattern also takes the cents of the subtotal and the tax line after it for an item
     + f" union all select o_orderkey, o_orderkey * 13 % 100, 'Tax:', cast({cents(17)} as double), round((o_orderkey * 13 % 100) * cast({cents(17)} as double), 4) from orders",
-    "txt_4_business_card": f"select {K}, concat('Person ', {K}) as name, 'Manager' as title, '' as company, {PHONE} as phone, '(999) 111-2222' as mobile, {EMAIL} as email, case when {K} % 2 = 0 then {URL} else 'www.acme.example.com' end as website from customer",
-    "txt_5_id_card": f"select s_suppkey, concat('S', s_suppkey) as id_number, s_name as name, concat('02/', {pad('s_suppkey % 28 + 1', 2)}, '/1980') as date_of_birth, '03/04/2020' as issue_date, concat('03/', {pad('s_suppkey % 28 + 1', 2)}, '/2030') as expiration_date from supplier",
+    "txt_4_business_card": f"select {K}, concat('Person ', {K}) as name, 'Manager' as title, '' as company, {PHONE} as phone, '(999) 111-2222' as mobile, {EMAIL} as email, case when {K} % 2 = 0 then {URL} else 'www.acme.example.com' end as website, {HOME.format(K)} as address from customer",
+    "txt_5_id_card": f"select s_suppkey, concat('S', s_suppkey) as id_number, s_name as name, concat('02/', {pad('s_suppkey % 28 + 1', 2)}, '/1980') as date_of_birth, '03/04/2020' as issue_date, concat('03/', {pad('s_suppkey % 28 + 1', 2)}, '/2030') as expiration_date, {HOME.format('s_suppkey')} as address from supplier",
     "txt_6_form_fields": "select o_orderkey, 'Request!' as title, true as signature, 'zip' as field, cast(o_orderkey as varchar) as value from orders "
     "union all select o_orderkey, 'Request!', true, 'city', concat('last ', o_orderkey % 3) from orders",
     "txt_8_key_values": "select o_orderkey, unnest(['alpha', 'beta', 'gamma']) as field, unnest([concat('a', o_orderkey), 'b', concat('g ', o_orderkey % 5)]) as value from orders",
-    "txt_9_redact": f"select {K}, concat('Contact ', {EMAIL}, ' or (', {pad(f'{K} % 900 + 100', 3)}, 'XXX-XXXX on ', {DATE}, ' at {{', {TIME}, '}}. Site ', {URL}, ' costs ', {PRICE}, ' number [REDACTED CARD] ssn [REDACTED SSN] end') as redacted from customer",
+    "txt_9_redact": f"select {K}, concat('Contact ', {EMAIL}, ' or (', {pad(f'{K} % 900 + 100', 3)}, 'XXX-XXXX on ', {DATE}, ' at {{', {TIME}, '}}. Site ', {URL}, ' costs ', {PRICE}, ' number [REDACTED CARD] ssn [REDACTED SSN] end; 12 Elm Street, Town') as redacted from customer",
     "txt_7_general": f"""with t as (select doc_id, coalesce(text, '') as text, {_S("coalesce(text, '')")} as s from documents), l as (select *, string_split(s, chr(10)) as ls from t)
       select doc_id, {_S('ls[1]')} as title, length(text) as characters, len(regexp_extract_all(text, '\\S+')) as words, len(ls) as lines,
       case when {_S('ls[1]')} <> '' and len(ls) > 1 then {_S('ls[2]')} else {_S('text[1:100]')} end as summary from l""",
     "txt_13_clean_lines": f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_S('x')}), lambda x: x <> ''), chr(10)) as cleaned, length(replace(replace(text, ' ', ''), chr(10), '')) as ink from documents",
     "srt_12_truncated": "select doc_id, text[1:100] as head, case when length(text) > 200 then concat(text[1:200], '...') else text end as preview, case when length(text) > 500 then concat(text[1:500], '...') else text end as excerpt from documents",
-    "txt_11_structured_info": f"select {K}, {DATE} as day, {EMAIL} as email, {PRICE} as amount, 0 as n_addresses from customer",
+    "txt_11_structured_info": f"select {K}, concat({DATE}, '|23-45-', {pad(f'{K} % 10000', 4)}) as dates, {EMAIL} as emails, substr({PHONE}, 2) as phones, '12 Elm Street' as addresses, {PRICE} as amounts from customer",
+    "txt_10_dispatch": f"""select o_orderkey, case when o_orderkey % 4 = 3 then 'Empty text' end as error,
+      case o_orderkey % 4 when 0 then 'receipt' when 1 then if(o_orderkey % 8 = 1, 'form', 'text_document') when 2 then 'text_document' end as type,
+      case o_orderkey % 4 when 0 then {SHOP} when 1 then 'Request!' when 2 then concat('chapter ', o_orderkey, ' figure') end as first,
+      cast(case o_orderkey % 4 when 0 then 3 when 1 then if(o_orderkey between 10000 and 99999, 1, 0) when 2 then if(o_orderkey between 10000 and 99999, 1, 0) end as bigint) as entities from orders""",
 }
 QUERIES = {f.__name__: f for f in (
     txt_1_entities, txt_2_doc_type, txt_3_receipt, txt_3_receipt_items, txt_4_business_card, txt_5_id_card, txt_6_form_fields, txt_7_general, txt_8_key_values,
-    txt_9_redact, txt_10_analyze, txt_11_structured_info, txt_13_clean_lines, srt_12_truncated,
+    txt_9_redact, txt_10_analyze, txt_10_dispatch, txt_11_structured_info, txt_13_clean_lines, srt_12_truncated,
 )} | {"agg_3_type_distribution": doc_type_distribution}

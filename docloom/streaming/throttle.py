@@ -42,7 +42,7 @@ def _walker(gap: float, inclusive: bool, ts: str):
 def throttled(events: DataFrame, key: str, gap: float = 2.0, inclusive: bool = False, ts: str = "ts", order: str | None = None) -> DataFrame:
     """Greedy minimum gap for each key: a row passes if it comes more than gap seconds (or at
     least gap, if inclusive) after the last one that passed. Keys are sorted within partitions
-    and streamed, never held."""
+    and streamed, never held; each row depends on the one before, so a key's rows are one task."""
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = events.withColumn("__key", F.col(key)).repartition(n, "__key").sortWithinPartitions("__key", ts, *([order] if order else []))
     return rows.mapInPandas(_walker(gap, inclusive, ts), rows.schema).drop("__key")
@@ -52,13 +52,15 @@ def debounced(events: DataFrame, key: str, gap: float = 1.0, ts: str = "ts", ord
     return throttled(events, key, gap, True, ts, order)
 
 
-def throttled_stream(events: DataFrame, key: str, schema: str, gap: float = 2.0, inclusive: bool = False, ts: str = "ts") -> DataFrame:
-    """The streaming form; state is the time of the last emitted row of a key."""
+def throttled_stream(events: DataFrame, key: str, gap: float = 2.0, inclusive: bool = False, ts: str = "ts", order: str | None = None) -> DataFrame:
+    """The streaming form; state is the time of the last emitted row of a key. A key's rows of one
+    micro-batch are sorted in memory, so a trigger should bound what a batch holds of a key; rows
+    that arrive in a later batch than newer ones are tested against the newer ones."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(ts)
+        pdf = pd.concat(list(batches)).sort_values([ts, *([order] if order else [])])
         keep = []
         for t in pdf[ts]:
             wait = None if last is None else (t - last).total_seconds()
@@ -69,7 +71,7 @@ def throttled_stream(events: DataFrame, key: str, schema: str, gap: float = 2.0,
             state.update((int(last.value // 1000),))
         yield pdf[keep]
 
-    return events.groupBy(key).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, events.schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_sample(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
