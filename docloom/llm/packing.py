@@ -2,11 +2,14 @@
 
 Documents are tokenised, ended by one id, and only those longer than `capacity` are cut into
 pieces of exactly `capacity` tokens, the first piece taking the remainder. Pieces are dealt into
-groups of bounded size by a hash of their row; each group is packed by best fit on falling
-lengths and improved by local search: a piece moves from an underfull sequence to a fuller one,
-or is exchanged with a shorter one there, or two are exchanged for one. Each step raises the sum
-of squared fills, and sequences that become empty go. Sequences at most half full of all groups
-are opened and packed together again, until they fit in one group.
+groups of bounded size by a hash of their row. Each group is packed by best fit in the order in
+which pieces come, and local search then empties sequences: a piece moves from the emptiest sequence
+to a fuller one, or it, or two of its pieces, are exchanged for a shorter one there. Each step raises
+the sum of squared fills, and sequences that become empty go, until there are as few as the tokens
+need or no step is left. Where the search ends above that bound it is tried from best fit on falling
+lengths too, and the better packing stays. Sequences at most half full of all groups (one a group)
+are opened and packed together again, until they fit in one group; so a group can hold one sequence
+more than its tokens need.
 
 Defined cases: a null or empty text is the end id alone; ties in length are taken in any order;
 repeated rows are packed each; an empty table gives an empty result; further columns are ignored.
@@ -18,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -122,13 +126,13 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return map_batches(rows, _pieces(tokenizer, capacity, end, with_ids), schema)
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of indices by best fit on falling lengths. `open_` has a bit for each gap that some
-    bin has, so the smallest gap that takes a piece is its lowest bit from the length up."""
+def best_fit(lengths: np.ndarray, capacity: int, falling: bool = True) -> list[list[int]]:
+    """Bins of indices by best fit, on falling lengths or in the given order. `open_` has a bit for
+    each gap that some bin has, so the smallest gap that takes a piece is its lowest bit from the length up."""
     bins: list[list[int]] = []
     by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_ = 0
-    order = np.argsort(-lengths, kind="stable")
+    order = np.argsort(-lengths, kind="stable") if falling else np.arange(len(lengths))
     for i, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
         fit = open_ >> n
         if fit:
@@ -179,8 +183,11 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
                 shift(i, int(fits[np.argmin(gap[fits])]))
                 return True
         room = gap[home[items]]
-        pairs = [(i,) for i in own] + [(i, j) for k, i in enumerate(own[:32]) for j in own[k + 1 : 32]]
-        for give in pairs:  # one for one, two for one
+        kinds = list({int(lengths[i]): i for i in reversed(own)}.items())  # one piece of each length, the longest first
+        kinds.sort(reverse=True)
+        twin = {n: j for n, i in kinds for j in own if j != i and lengths[j] == n}
+        pairs = [(i,) for _, i in kinds] + [(i, j) for k, (_, i) in enumerate(kinds) for _, j in kinds[k + 1 :]] + [(i, twin[n]) for n, i in kinds if n in twin]
+        for give in pairs:  # one for one, two for one; as lengths differ, 63 kinds at most
             more = int(lengths[list(give)].sum()) - size
             gain = np.where((more > 0) & (more <= room), more, 0)
             if len(gain) and (best := int(gain.argmax())) >= 0 and gain[best] > 0:
@@ -206,40 +213,58 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
     return full + [b for b in bins if b]
 
 
-def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """bin, offset and fill of the bin of each piece."""
-    bins = improve(best_fit(lengths, capacity), lengths, capacity)
-    where, offset, fill = (np.zeros(len(lengths), np.int64) for _ in range(3))
+def searched(lengths: np.ndarray, capacity: int) -> tuple[list[list[int]], list[list[int]]]:
+    """The bins after local search, and those of best fit that it began with."""
+    first = best_fit(lengths, capacity, falling=False)
+    bins = improve([list(b) for b in first], lengths, capacity)
+    if len(bins) * capacity - int(lengths.sum()) >= capacity:
+        other = best_fit(lengths, capacity)
+        again = improve([list(b) for b in other], lengths, capacity)
+        if len(again) < len(bins):
+            return again, other
+    return bins, first
+
+
+def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bin, offset and fill of the bin of each piece, and whether the search has brought it there: most
+    tokens of its bin come from another bin of best fit."""
+    bins, first = searched(lengths, capacity)
+    where, offset, fill, before = (np.zeros(len(lengths), np.int64) for _ in range(4))
+    for k, b in enumerate(first):
+        before[b] = k
+    moved = np.zeros(len(lengths), bool)
     for k, b in enumerate(bins):
         n = lengths[b]
         where[b], offset[b], fill[b] = k, np.cumsum(n) - n, n.sum()
-    return where, offset, fill
+        own = before[b]
+        moved[b] = own != np.bincount(own, weights=n).argmax()
+    return where, offset, fill, moved
 
 
 def _packer(level: int, capacity: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        where, offset, fill = pack_group(pdf["length"].to_numpy(np.int64), capacity)
-        return pdf.drop(columns="grp").assign(sequence_id=(level << 58) + (int(key[0]) << 20) + where, offset=offset, fill=fill)
+        where, offset, fill, moved = pack_group(pdf["length"].to_numpy(np.int64), capacity)
+        return pdf.drop(columns="grp").assign(sequence_id=(level << 58) + (int(key[0]) << 20) + where, offset=offset, moved=moved, fill=fill)
 
     return run
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Sequences for rows with a column `length` (1 to capacity): adds sequence_id and offset.
-    Rows must not have columns named row, grp, fill."""
+    """Sequences for rows with a column `length` (1 to capacity): adds sequence_id, offset and moved (brought
+    to its sequence by the search). Rows must not have columns named row, grp, fill."""
     rows = written(parts.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    whole = rows.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})
+    whole = rows.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long"), "moved": F.lit(False)})
     out = [whole.drop("row")]
     rest = rows.where(F.col("length") < capacity)
     names = [f.name for f in parts.schema.fields]
-    for level in range(16):
+    for level in count():
         groups = -(-rest.count() // group)
         if not groups:
             break
 
         done = written(
             rest.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
-            .groupBy("grp").applyInPandas(_packer(level, capacity), rest.schema.simpleString()[7:-1] + ", sequence_id long, offset long, fill long"),
+            .groupBy("grp").applyInPandas(_packer(level, capacity), rest.schema.simpleString()[7:-1] + ", sequence_id long, offset long, moved boolean, fill long"),
             "packed",
         )
         if groups == 1:
@@ -254,7 +279,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """id, piece, start, length, ids_crc32, sequence_id, offset, moved."""
     return pack(pieces(docs, tokenizer, id_col, text_col, capacity, end_id), capacity)
 
 
