@@ -8,8 +8,8 @@ Of records with equal payloads of at least REVISIT bytes that of the largest id
 the others become revisit records that refer to it and carry the HTTP head only.
 
 Files are written and read by Spark's own sources (text lines, whole binary files), so any store
-that Spark reaches will do. A file starts anew after RECORDS records, which bounds what a task
-holds of one file.
+that Spark reaches will do. A file starts anew after RECORDS records or FILE_BYTES bytes, which bounds
+what a task holds of one file to that and one record.
 
 Defined cases: a null page is an empty payload; a null url is `urn:page:<id>`; white space in a
 url is percent-encoded; of repeated rows of the largest id the last written one is the response;
@@ -22,7 +22,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -33,6 +33,7 @@ from .common import map_batches, scratch, written
 #: Payloads that are shorter are never revisits.
 REVISIT = 1000
 RECORDS = 1000
+FILE_BYTES = 8 << 20
 ZERO_IP, DATE = "0.0.0.0", "20240101000000"  # noqa: S104
 # The field lines of the two ARC versions.
 FIELDS = {
@@ -172,9 +173,27 @@ def unzipped(data: bytes) -> bytes:
 
 
 def _save(lines: DataFrame, path: str) -> None:
-    """Writes the binary column `value` row by row with a line end after each."""
+    """Writes each row's binary `value` and a line end as a file of its own."""
     (lines.select(F.col("value").cast("string").alias("value")).write
-     .option("compression", "gzip").option("maxRecordsPerFile", RECORDS + 1).text(path))
+     .option("compression", "gzip").option("maxRecordsPerFile", 1).text(path))
+
+
+def _whole_files(records: Iterator[bytes], start: Callable[[int], bytes], between: bytes) -> Iterator[pa.RecordBatch]:
+    """Contents of files, one a batch: what start gives for the file's number, and records until
+    the file has RECORDS of them or FILE_BYTES bytes."""
+    file, held, size = 0, [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([between.join([start(file), *held])], pa.binary())], ["value"])
+
+    for record in records:
+        held.append(record)
+        size += len(record)
+        if len(held) >= RECORDS or size >= FILE_BYTES:
+            yield made()
+            file, held, size = file + 1, [], 0
+    if held:
+        yield made()
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -186,17 +205,13 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].alias("url"), pages[body_col].cast("binary").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in batches:
-            out = []
-            for page, url, body in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "body")), strict=True):
-                name = f"{n // RECORDS:05d}.arc"
-                if n % RECORDS == 0:
-                    out.append(arc_version_block(version, name))
-                safe = quote(url, safe="%:/?#[]@!$&'()*+,;=-._~") if url else f"urn:page:{page}"
-                out.append(arc_record(version, safe, http_message(page, body or b""), name))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for page, url, body in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "body")), strict=True):
+                    safe = quote(url, safe="%:/?#[]@!$&'()*+,;=-._~") if url else f"urn:page:{page}"
+                    yield arc_record(version, safe, http_message(page, body or b""), "00000.arc")
+
+        return _whole_files(records(), lambda i: arc_version_block(version, f"{i:05d}.arc"), b"\n")
 
     _save(map_batches(rows, run, "value binary"), path)
 
@@ -236,22 +251,20 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
         "winners",
     )
     records = read_arc(spark, arc_path)
-    joined = records.join(winners, (F.col("digest") == F.col("d")) & (F.col("bytes") >= REVISIT), "left").select(
+    # short payloads are never revisits; each has a key of its own, so that they are dealt evenly
+    key = F.when(F.col("bytes") >= REVISIT, F.col("digest")).otherwise(F.concat_ws(" ", "file", "at"))
+    joined = records.withColumn("k", key).join(winners, F.col("k") == F.col("d"), "left").select(
         *(c for c in records.columns if c not in ("file", "at", "bytes")),
         F.when((F.col("w.file") == F.col("file")) & (F.col("w.at") == F.col("at")), F.lit(None)).otherwise(F.col("w.page_id")).alias("refers_to"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if n % RECORDS == 0:
-                    note = b"software: docloom\r\nformat: WARC File Format 1.1\r\n"
-                    out.append(warc_record("warcinfo", [("WARC-Record-ID", record_id(n, row["digest"])), ("WARC-Date", row["date"]), ("Content-Type", "application/warc-fields")], note)[:-1])
-                out.append(warc_from(row)[:-1])  # the writer's line end is the last byte
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+        def info(file: int) -> bytes:
+            note = b"software: docloom\r\nformat: WARC File Format 1.1\r\n"
+            return warc_record("warcinfo", [("WARC-Record-ID", record_id(file, "warcinfo")), ("WARC-Date", f"{DATE[:4]}-{DATE[4:6]}-{DATE[6:8]}T00:00:00Z"), ("Content-Type", "application/warc-fields")], note)
+
+        records = (warc_from(row) for batch in batches for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist())
+        return _whole_files(records, info, b"")
 
     _save(map_batches(joined, run, "value binary"), warc_path)
 
