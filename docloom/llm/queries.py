@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dartminhash, decontaminate, exact_dedup, hilbert_shards, license_scan, ngram_score, packing, suffix_dedup, toxicity, warc
+from . import dartminhash, decontaminate, exact_dedup, hilbert_shards, license_scan, ngram_score, oracles, packing, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.near_groups(table(spark, sf_dir, "documents")).drop("row", "h").withColumnRenamed("id", "doc_id")
+    return dartminhash.near_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
-        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), F.round("score", 6).alias("score"),
     )
 
 
@@ -74,7 +74,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     target = table(spark, sf_dir, "labels").where("quality = 1")
-    return ngram_score.ngram_scores(docs, target).withColumnRenamed("id", "doc_id")
+    out = ngram_score.ngram_scores(docs, target)
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "ce_diff")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -128,4 +129,7 @@ from d left join w on d.payload_digest = w.payload_digest and payload_bytes >= 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _EXACT, "op3_decontaminate": _DECONTAMINATE, "op7_warc": _WARC}
+    return {
+        "op1_exact_dedup": _EXACT, "op3_decontaminate": _DECONTAMINATE, "op4_near_dedup": oracles.NEAR, "op6_license_scan": oracles.licences(),
+        "op7_warc": _WARC, "op9_suffix_dedup": oracles.REPEATS, "op10_lm_score": oracles.LOSSES,
+    }
