@@ -175,7 +175,7 @@ def unzipped(data: bytes) -> bytes:
 def _save(lines: DataFrame, path: str) -> None:
     """Writes each row's binary `value` and a line end as a file of its own."""
     (lines.select(F.col("value").cast("string").alias("value")).write
-     .option("compression", "gzip").option("maxRecordsPerFile", 1).text(path))
+     .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path))
 
 
 def _whole_files(records: Iterator[bytes], start: Callable[[int], bytes], between: bytes) -> Iterator[pa.RecordBatch]:
