@@ -11,6 +11,7 @@ names, so further columns of any name never clash.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -50,13 +51,16 @@ def n_words_col(text: Column) -> Column:
 
 
 _local: list[tempfile.TemporaryDirectory] = []
+_made: list[str] = []  # paths of this process that are not yet released
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only where that is
-    unset, as in tests on one machine, a temporary folder is made and set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a session on one
+    machine may leave it unset, as in tests; a temporary folder is used then."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local:
             _local.append(tempfile.TemporaryDirectory(prefix="docloom-"))
             atexit.register(_local[0].cleanup)
@@ -65,8 +69,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/docloom/{uuid.uuid4().hex}-{tag}"
+    """A new path in the shared folder. It stays until it is released, or this process ends."""
+    if not _made:
+        atexit.register(_release_rest)
+    path = f"{shared_dir(spark)}/docloom/{uuid.uuid4().hex}-{tag}"
+    _made.append(path)
+    return path
+
+
+def scratch_so_far() -> int:
+    """A mark: `release` with it deletes what was written later."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes scratch tables, those in keep excepted. No DataFrame that reads one may be used any more."""
+    for path in [p for p in _made[since:] if p not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
+
+
+def _release_rest() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            release(spark)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
