@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import dartminhash, decontaminate, exact_dedup, packing, toxicity
-from docloom.llm.common import scratch
+from docloom.llm.common import release, scratch, scratch_so_far
 from docloom.llm.queries import table, tokenizer_path
 
 
@@ -44,10 +44,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packing of what all stages keep. When a stage is written its scratch tables, and the
+    output of the stage before, are deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = scratch(spark, f"stage-{name}")
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        mark = scratch_so_far()
+        stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, mark)
+        if last is not None:
+            release(spark, mark - 2, keep=(path,))
+        docs, last = spark.read.parquet(path), path
     return docs
