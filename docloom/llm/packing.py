@@ -2,12 +2,11 @@
 
 Documents are tokenised, ended by one id, and only those longer than `capacity` are cut into
 pieces of exactly `capacity` tokens, the first piece taking the remainder. Pieces are dealt into
-groups of bounded size by a hash of their row. Each group is packed by best fit in the order in
-which pieces come, and local search then empties sequences: a piece moves from the emptiest sequence
-to a fuller one, or it, or two of its pieces, are exchanged for a shorter one there. Each step raises
-the sum of squared fills, and sequences that become empty go, until there are as few as the tokens
-need or no step is left. Where the search ends above that bound it is tried from best fit on falling
-lengths too, and the better packing stays. Sequences at most half full of all groups (one a group)
+groups of bounded size by a hash of their row. Each group is packed by best fit on falling lengths, and
+local search then empties sequences: a piece moves from the emptiest sequence to a fuller one, or it,
+or two of its pieces, are exchanged for a shorter one there. Each step raises the sum of squared
+fills, and sequences that become empty go, until there are as few as the tokens need or no step is
+left. Sequences at most half full of all groups (one a group)
 are opened and packed together again, until they fit in one group; so a group can hold one sequence
 more than its tokens need.
 
@@ -213,22 +212,11 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
     return full + [b for b in bins if b]
 
 
-def searched(lengths: np.ndarray, capacity: int) -> tuple[list[list[int]], list[list[int]]]:
-    """The bins after local search, and those of best fit that it began with."""
-    first = best_fit(lengths, capacity, falling=False)
-    bins = improve([list(b) for b in first], lengths, capacity)
-    if len(bins) * capacity - int(lengths.sum()) >= capacity:
-        other = best_fit(lengths, capacity)
-        again = improve([list(b) for b in other], lengths, capacity)
-        if len(again) < len(bins):
-            return again, other
-    return bins, first
-
-
 def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """bin, offset and fill of the bin of each piece, and whether the search has brought it there: most
     tokens of its bin come from another bin of best fit."""
-    bins, first = searched(lengths, capacity)
+    first = best_fit(lengths, capacity)
+    bins = improve([list(b) for b in first], lengths, capacity)
     where, offset, fill, before = (np.zeros(len(lengths), np.int64) for _ in range(4))
     for k, b in enumerate(first):
         before[b] = k
