@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import blocks, n_words_col, words_col, written
 
 WINDOW = 10
+#: Words that the terms of a proximity match may be out of place to each other.
+SLOP = 3
 BROADCAST_ROWS = 1_000_000
 
 
@@ -100,9 +102,17 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     windows of the item which occur at one alignment."""
     rows = _keyed(docs, id_col, text_col)
     named = _items(items, item_col, item_text)
+    return _phrases(rows, named, *_index(rows, named, window))
+
+
+def _index(rows: DataFrame, named: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows of the items, their lookups, and the stored postings of these."""
     windows = written(_windows(named, window), "windows")
     looked = written(lookups(rows, windows), "lookups")
-    index = postings(rows, looked.select("term").distinct())
+    return windows, looked, postings(rows, looked.select("term").distinct())
+
+
+def _phrases(rows: DataFrame, named: DataFrame, windows: DataFrame, looked: DataFrame, index: DataFrame) -> DataFrame:
     found = written(alignments(index, looked), "alignments")
     texts = windows.groupBy("item", "words").agg(F.first("size").alias("size")).select(F.col("item").alias("i2"), F.col("words").alias("item_words"), "size")
     docs_of = found.select(F.col("id").alias("d2"), F.col("h").alias("h2")).distinct().hint("merge")  # grows with the documents
@@ -129,13 +139,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     )
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, id_col: str = "doc_id", text_col: str = "text",
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, id_col: str = "doc_id", text_col: str = "text",
                       item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """id, h, item, start: windows whose rarest terms stand within slop words of their places
     to each other in the document, exact places included. Windows of one term are left out."""
     rows, named = _keyed(docs, id_col, text_col), _items(items, item_col, item_text)
-    looked = written(lookups(rows, _windows(named, window)), "lookups")
-    index = postings(rows, looked.select("term").distinct())
+    return _close(named, *_index(rows, named, window)[1:], slop)
+
+
+def _close(named: DataFrame, looked: DataFrame, index: DataFrame, slop: int) -> DataFrame:
     asks = looked.where("need > 1").select("term", "offset", "item", "start", "k")
     parts = [index.join(F.broadcast(b), "term").withColumn("shift", F.col("pos") - F.col("offset")) for b in blocks(asks, "term", BROADCAST_ROWS)]
     hits = reduce(DataFrame.union, parts)
@@ -149,19 +161,26 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, id_col:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: id, h, n_words, n_hit, items (sorted strings), contaminated."""
-    runs = written(phrase_matches(docs, items, id_col, text_col, item_col, item_text, window), "runs")
+                  item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row per row of docs: id, h, n_words, n_hit, items (sorted strings), n_near (items with a
+    proximity match, phrase matches of windows with two different words included), contaminated (by phrases)."""
+    all_, named = _keyed(docs, id_col, text_col), _items(items, item_col, item_text)
+    windows, looked, index = _index(all_, named, window)
+    runs = written(_phrases(all_, named, windows, looked, index), "runs")
+    near = written(_close(named, looked, index, slop).groupBy("id", "h").agg(F.countDistinct("item").alias("n_near")), "near")
     order = Window.partitionBy("id", "h").orderBy("first", "last")
     before = F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     covered = F.greatest(F.lit(0), F.col("last") - F.greatest(F.col("first") - 1, before))
     hits = runs.withColumn("new", covered).groupBy("id", "h").agg(
         F.sum("new").alias("n_hit"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items")
     ).select(F.col("id").alias("d2"), F.col("h").alias("h2"), "n_hit", "items")
-    rows = _keyed(docs, id_col, text_col).select("id", "h", n_words_col(F.col("text")).alias("n_words"))
+    rows = all_.select("id", "h", n_words_col(F.col("text")).alias("n_words"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.join(hits, _same(F.col("id"), F.col("d2")) & _same(F.col("h"), F.col("h2")), "left").select(
-        "id", "h", "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (hit > 0).alias("contaminated")
+    met = rows.join(hits, _same(F.col("id"), F.col("d2")) & _same(F.col("h"), F.col("h2")), "left")
+    met = met.join(near.select(F.col("id").alias("d3"), F.col("h").alias("h3"), "n_near"), _same(F.col("id"), F.col("d3")) & _same(F.col("h"), F.col("h3")), "left")
+    return met.select(
+        "id", "h", "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), (hit > 0).alias("contaminated"),
     )
 
 

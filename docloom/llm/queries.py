@@ -35,7 +35,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near",
     )
 
 
@@ -111,10 +111,17 @@ dwin as (
 hit as (select d.doc_id, d.p, d.n, win.item_id from dwin d join win using (n, k)),
 pos as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hit) group by 1),
 it as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items
-       from (select distinct doc_id, cast(item_id as varchar) as i from hit) group by 1)
+       from (select distinct doc_id, cast(item_id as varchar) as i from hit) group by 1),
+dpos as (select doc_id, unnest(w) as term, unnest(range(len(w))) as p from dw),
+freq as (select term, count(*) as n from dpos group by 1),
+term as (select item_id, s, term, min(a) as a from (select item_id, s, unnest(w[s + 1 : s + n]) as term, unnest(range(n)) as a from b) group by 1, 2, 3),
+rare as (select item_id, s, term, a, row_number() over (partition by item_id, s order by coalesce(n, 0), a) as k from term left join freq using (term) qualify k <= 2),
+spot as (select doc_id, item_id, s, k, p - s - a as shift from rare join dpos using (term)),
+near as (select x.doc_id, count(distinct x.item_id) as n_near from spot x join spot y on x.doc_id = y.doc_id and x.item_id = y.item_id and x.s = y.s and x.k = 1 and y.k = 2
+         and abs(x.shift - y.shift) <= 3 group by 1)
 select dw.doc_id, coalesce(len(w), 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from dw left join pos using (doc_id) left join it using (doc_id)
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near
+from dw left join pos using (doc_id) left join it using (doc_id) left join near using (doc_id)
 """
 
 _WARC = """
