@@ -149,7 +149,7 @@ SQL = {
     "txt_1_entities": " union all ".join(
         f"select {K}, '{n}' as entity, {e} as value from customer" for n, e in
         (("email", EMAIL), ("phone", PHONE), ("date", DATE), ("time", TIME), ("url", URL), ("price", PRICE), ("credit_card", CARD), ("ssn", SSN), ("address", "'12 Elm Street, Town'"))
-    ),
+    ) + f" union all select {K}, 'zip_code', cast({K} as varchar) from customer where {K} between 10000 and 99999",
     "txt_2_doc_type": f"select o_orderkey, {TYPE_OF} as doc_type from orders",
     "agg_3_type_distribution": f"select doc_type, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from (select {TYPE_OF} as doc_type from orders) group by 1",
     "txt_3_receipt": f"select o_orderkey, {SHOP} as merchant, {DAY} as date, concat('09:', {pad('o_orderkey % 60', 2)}, ' AM') as time, cast({cents(13)} as double) as total, "
