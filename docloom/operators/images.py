@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docloom.functions import pixels as px
+from docloom.functions import jpeg, pixels as px
 
 from . import classify
 
@@ -105,6 +105,11 @@ def decode_png(data: bytes) -> np.ndarray | None:
         return None
 
 
+def decode_file(data: bytes) -> np.ndarray | None:
+    """A PNG or JPEG file's picture."""
+    return jpeg.decode(data) if data[:2] == b"\xff\xd8" else decode_png(data)
+
+
 def encode_png(img: np.ndarray) -> bytes:
     h, w = img.shape[:2]
     lines = (img if img.ndim == 2 else img[..., ::-1]).reshape(h, -1)
@@ -115,18 +120,20 @@ def encode_png(img: np.ndarray) -> bytes:
 
 
 def decoded(files: DataFrame, content: str = "content", out: str = "image") -> DataFrame:
-    """files with their picture; files that cannot be read go. PNG only."""
+    """files with their picture, PNG or baseline JPEG; files that cannot be read go."""
 
     @F.pandas_udf(IMAGE)
     def run(data: pd.Series) -> pd.DataFrame:
-        made = [to_value(decode_png(bytes(x))) if x is not None else None for x in data]
+        made = [to_value(decode_file(bytes(x))) if x is not None else None for x in data]
         return pd.DataFrame([v or dict.fromkeys(("h", "w", "channels", "data")) for v in made], columns=["h", "w", "channels", "data"])
 
     return files.withColumn(out, run(content)).where(F.col(out)["h"].isNotNull())
 
 
-def encoded(df: DataFrame, out: str = "png", image: str = "image") -> DataFrame:
-    return each(df, lambda a: encode_png(a), out, "binary", image)
+def encoded(df: DataFrame, out: str = "png", image: str = "image", kind: str = "png") -> DataFrame:
+    """df with the file content of the image, kind png (exact) or jpeg."""
+    make = {"png": encode_png, "jpeg": jpeg.encode}[kind]
+    return each(df, lambda a: make(a), out, "binary", image)
 
 
 def contrast(img: np.ndarray, gain: float, lift: float) -> np.ndarray:

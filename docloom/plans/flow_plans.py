@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.operators import classify, ocr, text as tx
+from docloom.operators import classify, images, ocr, text as tx
 from docloom.sources import sinks
 from docloom.sources.shared import new_path
 from docloom.streaming import throttle, workers
 
-from .image_plans import drawn
+from .image_plans import _C, drawn
 from .table_plans import HOUR, SQL as TABLE_SQL
 from .text_plans import table
 
@@ -66,7 +66,7 @@ def snk_2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "documents")
     sinks.write_documents(_scans(spark, sf_dir), path)
     read = [spark.read.parquet(f"{path}/{part}").select("name", value.alias("value")) for part, value in (
-        ("texts", F.col("text")), ("records", F.get_json_object("json", "$.amounts[0]")), ("pictures", F.hex(F.substring("png", 2, 3))))]
+        ("texts", F.col("text")), ("records", F.get_json_object("json", "$.amounts[0]")), ("pictures", F.hex(F.substring("content", 2, 3))))]
     return read[0].union(read[1]).union(read[2])
 
 
@@ -94,7 +94,16 @@ def snk_1_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "saved")
     sinks.save_enhanced(_scans(spark, sf_dir), path, lambda rows: rows)
     modes = sinks.saved_mode(F.lit("text"), F.lit("auto"))
-    return spark.read.parquet(path).select("name", modes.alias("mode"))
+    return spark.read.parquet(path).select("name", F.hex(F.substring("content", 1, 2)).alias("begins"), modes.alias("mode"))
+
+
+def src_4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures written as JPEG and PNG files' contents, read again: size and light pixels."""
+    pages = drawn(spark, sf_dir)
+    both = images.encoded(images.encoded(pages, "jpg", kind="jpeg"), "png")
+    rows = both.select("s_suppkey", F.posexplode(F.array("jpg", "png")).alias("kind", "content"))
+    out = images.background(images.decoded(rows))
+    return out.select("s_suppkey", "kind", F.col("image.h").cast("long").alias("h"), F.col("image.w").cast("long").alias("w"), "background.light")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,12 +181,13 @@ SQL = {
     "str_6_worker": """select event_id, user_id, case when event_id % 300 / 100.0 < 0.8 then 'receipt' when event_id % 300 / 100.0 <= 1.2 then if(event_id % 40 / 100.0 < 0.1, 'id_card', 'business_card')
       else if(event_id % 40 / 100.0 > 0.15, 'form', 'text_document') end as kind from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""",
     "str_8_capture": "select event_id, user_id from events where value > 50 and event_type <> 'view'",
-    "snk_1_saved": f"select concat('scan_', stamp, '.png') as name, 'text' as mode from ({_S})",
+    "snk_1_saved": f"select concat('scan_', stamp, '.jpg') as name, 'FFD8' as begins, 'text' as mode from ({_S})",
     "snk_2_documents": f"""with s as ({_S}) select concat('doc_', stamp, '.txt') as name, text as value from s where trim(text) <> ''
       union all select concat('doc_', stamp, '.json'), concat('$', s_suppkey) from s where s_suppkey % 3 > 0 union all select concat('doc_', stamp, '.png'), '504E47' from s""",
     "snk_3_scans": f"""select concat('scan_', stamp, '_analysis.json') as name, {_JSON.format("\"', s_suppkey, '\",\"', s_suppkey + 1, '\"")} as json from ({_S}) where s_suppkey % 5 > 0""",
     "snk_3b_texts": f"select concat('scan_', stamp, '.txt') as name, text from ({_S})",
     "snk_5_lists": f"""select s_suppkey, case when s_suppkey % 5 > 0 then {_JSON.format("', s_suppkey, ',', s_suppkey + 1, '")} end as json from supplier""",
+    "src_4_files": f"select s_suppkey, cast(k as int) as kind, cast(h as bigint) as h, cast(w as bigint) as w, cast(sheet as bigint) as light from {_C}, range(2) t(k)",
     "src_7_model": "select vec_id, true as same from embeddings",
     "cls_9_repeats": "select t as is_test, case when t then cast(floor(n * 0.2) as bigint) else n - cast(floor(n * 0.2) as bigint) end as n, case when t then cast(floor(n * 0.2) as bigint) else n - cast(floor(n * 0.2) as bigint) end as rows from (select count(*) as n from events), (values (true), (false)) v(t)",
     "txt_18_fast": f"select doc_id, case when doc_id % 5 = 0 then 'No document detected' when doc_id % 3 = 0 then 'No text detected' else concat(text[1:20], '...gray') end as text from ({_DOCS})",
@@ -188,6 +198,6 @@ SQL = {
     "flt_1_blank": f"select doc_id, case when doc_id % 3 = 0 or doc_id % 5 = 0 or trim(text) = '' then 'Empty text' end as error from ({_DOCS})",
 }
 QUERIES = {f.__name__: f for f in (
-    str_2_queue, str_3_stream, str_6_worker, str_8_capture, snk_1_saved, snk_2_documents, snk_3_scans, snk_3b_texts, snk_5_lists, src_7_model, cls_10_trained, cls_9_repeats,
+    str_2_queue, str_3_stream, str_6_worker, str_8_capture, snk_1_saved, snk_2_documents, snk_3_scans, snk_3b_texts, snk_5_lists, src_4_files, src_7_model, cls_10_trained, cls_9_repeats,
     txt_18_fast, txt_19_advanced, txt_15_empty, txt_12_full_text, flt_1_blank,
 )}

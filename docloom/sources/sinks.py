@@ -53,27 +53,28 @@ def analysis_json(rows: DataFrame, analysis: str = "analysis", keep_scalars: boo
     return F.when(F.col(analysis).isNotNull(), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
 
 
-def _picture(rows: DataFrame, image: str, name: Column, path: str) -> None:
-    made = images.encoded(rows.where(F.col(image).isNotNull()).select(name.alias("name"), F.col(image).alias("image")), "png")
-    made.where("png is not null").select("name", "png").write.mode("overwrite").parquet(path)
+def _picture(rows: DataFrame, image: str, name: Column, path: str, kind: str = "jpeg") -> None:
+    """name, content of the rows with a picture."""
+    made = images.encoded(rows.where(F.col(image).isNotNull()).select(name.alias("name"), F.col(image).alias("image")), "content", kind=kind)
+    made.where("content is not null").select("name", "content").write.mode("overwrite").parquet(path)
 
 
 def write_scans(rows: DataFrame, path: str, keep_scalars: bool = False, suffix: str = "_text", prefix: str = "scan") -> None:
     """Saved documents: rows with ts, image, enhanced, text and analysis. Four tables below path, keyed by
-    file name: originals, enhanced (pictures, PNG), texts (where there is text), analyses (JSON)."""
+    file name: originals, enhanced (pictures, JPEG), texts (where there is text), analyses (JSON)."""
     base = F.concat(F.lit(f"{prefix}_"), stamp(F.col("ts")))
-    _picture(rows, "image", F.concat(base, F.lit(".png")), f"{path}/originals")
-    _picture(rows, "enhanced", F.concat(base, F.lit("_enhanced.png")), f"{path}/enhanced")
+    _picture(rows, "image", F.concat(base, F.lit(".jpg")), f"{path}/originals")
+    _picture(rows, "enhanced", F.concat(base, F.lit("_enhanced.jpg")), f"{path}/enhanced")
     rows.where("text <> ''").select(F.concat(base, F.lit(f"{suffix}.txt")).alias("name"), "text").write.mode("overwrite").parquet(f"{path}/texts")
     told = rows.select(F.concat(base, F.lit("_analysis.json")).alias("name"), analysis_json(rows, "analysis", keep_scalars).alias("json"))
     told.where("json is not null").write.mode("overwrite").parquet(f"{path}/analyses")
 
 
 def write_documents(rows: DataFrame, path: str) -> None:
-    """Saved documents with found text: rows with ts, image and text. Pictures of all; texts where
+    """Saved documents with found text: rows with ts, image and text. Pictures (PNG) of all; texts where
     they are not blank; structured records as JSON where in addition some list of them is not empty."""
     base = F.concat(F.lit("doc_"), stamp(F.col("ts")))
-    _picture(rows, "image", F.concat(base, F.lit(".png")), f"{path}/pictures")
+    _picture(rows, "image", F.concat(base, F.lit(".png")), f"{path}/pictures", "png")
     told = rows.where(F.trim("text") != "").select(base.alias("base"), "text", ocr.structured_info(F.col("text")).alias("info"))
     told.select(F.concat("base", F.lit(".txt")).alias("name"), "text").write.mode("overwrite").parquet(f"{path}/texts")
     some = told.where(ocr.n_items(F.col("info")) > 0)
@@ -88,7 +89,7 @@ def saved_mode(doc_type: Column, mode: Column) -> Column:
 
 def save_enhanced(rows: DataFrame, path: str, enhance: Callable[[DataFrame], DataFrame]) -> None:
     """Rows with ts and image: pictures enhanced by `enhance` (which adds `enhanced`), the image itself
-    where that gives none, as scan_<stamp>.png. Rows without an image are not saved."""
+    where that gives none, as scan_<stamp>.jpg. Rows without an image are not saved."""
     made = enhance(rows.where("image is not null"))
     kept = made.withColumn("image", F.coalesce("enhanced", "image"))
-    _picture(kept, "image", F.concat(F.lit("scan_"), stamp(F.col("ts")), F.lit(".png")), path)
+    _picture(kept, "image", F.concat(F.lit("scan_"), stamp(F.col("ts")), F.lit(".jpg")), path)
