@@ -174,7 +174,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = runs.withColumn("new", covered).groupBy("id", "h").agg(
         F.sum("new").alias("n_hit"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items")
     ).select(F.col("id").alias("d2"), F.col("h").alias("h2"), "n_hit", "items")
-    rows = all_.select("id", "h", n_words_col(F.col("text")).alias("n_words"))
+    rows = written(all_.select("id", "h", n_words_col(F.col("text")).alias("n_words")), "counted")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     met = rows.join(hits, _same(F.col("id"), F.col("d2")) & _same(F.col("h"), F.col("h2")), "left")
     met = met.join(near.select(F.col("id").alias("d3"), F.col("h").alias("h3"), "n_near"), _same(F.col("id"), F.col("d3")) & _same(F.col("h"), F.col("h3")), "left")
