@@ -10,8 +10,8 @@ Ranks: rows are range-partitioned and sorted; a row's place in its partition is
 is sorted, and the driver adds up one count per partition. The sort key ends with the id and a
 checksum, so one crowded cell is spread over many partitions.
 
-Defined cases: a null text has no bytes; a null tag counts as an empty one, in the lowest cell; equal rows
-take neighbouring places in any order; with fewer rows than shards the last shards are empty;
+Defined cases: a null text has no bytes; a null tag counts as an empty one, in the lowest cell, as does an id that is
+null or no number; a tag column that is not there is no dimension; equal rows take neighbouring places in any order; with fewer rows than shards the last shards are empty;
 further columns are ignored.
 """
 
@@ -64,11 +64,12 @@ def curve(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataFrame:
     marks = [i / (1 << bits) for i in range(1, 1 << bits)]
     sketch = df.agg(*[F.percentile_approx(F.col(d).cast("double"), marks, 20_000).alias(d) for d in dims]).first()
     edges = [np.unique(np.array(sketch[d] or [], dtype=float)) for d in dims]
+    top = (1 << bits) - 1  # a dimension of few values is spread over all cells, so that it counts in the high bits
 
     @F.pandas_udf("array<long>")
     def place(*cols: pd.Series) -> pd.Series:
         cells = np.stack([
-            np.searchsorted(e, c.fillna(-np.inf).to_numpy(float), side="right") if len(e) else np.zeros(len(c), int)
+            np.searchsorted(e, c.fillna(-np.inf).to_numpy(float), side="right") * top // len(e) if len(e) else np.zeros(len(c), int)
             for e, c in zip(edges, cols, strict=True)
         ], axis=1)
         return pd.Series(list(np.column_stack([cells, hilbert_index(cells, bits)])))
@@ -125,14 +126,15 @@ def hilbert_shards(
     tags: Sequence[str] = ("lang", "source"), bits: int = BITS,
 ) -> DataFrame:
     """One row per row of docs: id, size, text_crc32, dimensions, cells, hilbert, rank, shard,
-    slot. Dimensions: the text's bytes, the string columns of `tags`, the id."""
+    slot. Dimensions: the text's bytes, those columns of `tags` that there are, as strings, the id."""
     text = F.coalesce(docs[text_col], F.lit(""))
+    tags = [t for t in tags if t in docs.columns]
     rows = docs.select(
         docs[id_col].alias("id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *[F.coalesce(docs[t].cast("string"), F.lit("")).alias(f"tag_{t}") for t in tags],
-    ).withColumns({"dim_size": F.col("size").cast("double"), "dim_id": F.col("id").cast("double")})
+    ).withColumns({"dim_size": F.col("size").cast("double"), "dim_id": F.col("id").try_cast("double")})
     dims = ["dim_size", *[f"dim_{t}" for t in tags], "dim_id"]
     meta = written(rows, "meta")
     places = meta

@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,3 +54,26 @@ def test_tags_with_a_shared_start_spread(spark, monkeypatch):
         source = {r[0]: r[3] or "" for r in rows}
         assert {r.dim_source: source[r.id] for r in got} == dict(enumerate(sorted(set(source.values()))))
         assert len({r.cell_dim_source for r in got}) >= 16
+
+
+def test_ids_of_any_kind_and_missing_tags(spark):
+    docs = spark.createDataFrame([("a", "x", "en"), (None, "yy", None), ("7", None, "de"), ("a", "x", "en")], "doc_id string, text string, lang string")
+    got = hs.hilbert_shards(docs, 3).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(0, 0), (0, 1), (1, 0), (2, 0)]
+    assert sorted((r.id or "", r.size) for r in got) == [("", 18), ("7", 16), ("a", 17), ("a", 17)]
+
+
+def test_smallest_and_largest_values_prune_shards(spark):
+    """Of 40 shards few hold a source, a language or a range of ids, by their smallest and largest values."""
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randrange(2000), rng.choice("abcd"), f"https://host/{rng.randrange(16):02d}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    of = {r.id: r.shard for r in hs.hilbert_shards(docs, 40).collect()}
+    span = {}
+    for i, t, lang, source in rows:
+        for name, v in (("source", source), ("lang", lang), ("id", i), ("size", len(t))):
+            low, high = span.get((of[i], name), (v, v))
+            span[of[i], name] = min(low, v), max(high, v)
+    read = lambda name, a, b: sum(span[s, name][0] <= b and span[s, name][1] >= a for s in range(40))
+    assert read("lang", "b", "b") <= 24 and read("source", "https://host/03", "https://host/03") <= 28
+    assert read("id", 1000, 1400) <= 24 and read("size", 100, 200) <= 24
