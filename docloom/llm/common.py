@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -50,7 +51,8 @@ def n_words_col(text: Column) -> Column:
 
 
 _local: list[tempfile.TemporaryDirectory] = []
-_made: list[str] = []  # paths of this process that are not yet released
+_made: dict[str, object] = {}  # paths of this process that are not yet released, and Hadoop's settings for them
+_watched: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("docloom_scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,38 +72,60 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder. It stays until it is released, or this process ends."""
     if not _made:
+        atexit.unregister(_release_rest)
         atexit.register(_release_rest)
     path = f"{shared_dir(spark)}/docloom/{uuid.uuid4().hex}-{tag}"
-    _made.append(path)
+    _made[path] = spark._jsc.hadoopConfiguration()
+    for paths in _watched.get():
+        paths.append(path)
     return path
 
 
-def scratch_so_far() -> int:
-    """A mark: `release` with it deletes what was written later."""
-    return len(_made)
+@contextlib.contextmanager
+def watched() -> Iterator[list[str]]:
+    """Lists the scratch paths that this thread makes inside the block, for `released`:
+    with watched() as made: df = operator(...); df.write...; released(spark, *made)"""
+    paths: list[str] = []
+    token = _watched.set((*_watched.get(), paths))
+    try:
+        yield paths
+    finally:
+        _watched.reset(token)
 
 
-def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes scratch tables, those in keep excepted. No DataFrame that reads one may be used any more."""
-    for path in [p for p in _made[since:] if p not in keep]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _made.remove(path)
+def _delete(jvm, path: str, conf) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def released(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables. No DataFrame that reads one may be used any more."""
+    for path in paths:
+        if (conf := _made.pop(path, None)) is not None:
+            _delete(spark._jvm, path, conf)
 
 
 def _release_rest() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        with contextlib.suppress(Exception):  # the session may have ended
-            release(spark)
+    """At the end of the process; the JVM still answers when the session has been stopped."""
+    from pyspark import SparkContext
+
+    for path, conf in list(_made.items()):
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            _delete(SparkContext._jvm, path, conf)
+    _made.clear()
+
+
+def written_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """`written`, and the path to release."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and a lost
     executor costs no recomputation of what stands before."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_at(df, tag)[0]
 
 
 def small_batches(spark: SparkSession) -> None:

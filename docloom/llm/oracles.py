@@ -93,3 +93,47 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(told.n, 0) as n_base,
        round(cast(case when told.n > 0 or noticed.labels is not null then 1.0 else coalesce(passed.score, 0.0) end as double), 6) as score
 from d left join told using (rid) left join noticed using (rid) left join passed using (rid)
 """
+
+
+#: Articles of pages of the tables' make: one article element of headings and paragraphs.
+ARTICLES = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as a from pages),
+b as (select page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')) as b from a),
+c as (select page_id, url, list_transform(b, lambda x: regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) as c from b),
+d as (select page_id, url, list_filter(list_transform(c, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as d from c)
+select page_id, url, array_to_string(d, chr(10) || chr(10)) as text, cast(length(array_to_string(d, chr(10) || chr(10))) as bigint) as n_chars from d
+"""
+
+
+def balls(k: int = 8, rounds: int = 10, seed: str = "3", dims: int = 64, scale: int = 1024) -> str:
+    """Plain k-means: every vector against every centroid in each round."""
+    steps = [f"""
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as v from embeddings
+           where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims}),
+c0 as (select row_number() over (order by h, v) - 1 as c, v as m from (select sha256(concat('{seed}:', vec_id)) as h, v from v order by h, v limit {k}))"""]
+    near = "select r, vec_id, v, c, m, d from (select r, vec_id, v, c, m, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from rows, c{0}) qualify row_number() over (partition by r order by d, c) = 1"
+    steps.append("rows as (select row_number() over () as r, vec_id, v from v)")
+    for t in range(rounds):
+        steps.append(f"a{t} as ({near.format(t)})")
+        steps.append(f"""s{t} as (select c, i, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(range({dims})) as i from a{t}) group by c, i),
+m{t} as (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as m from s{t} group by c),
+c{t + 1} as (select c, coalesce(m{t}.m, c{t}.m) as m from c{t} left join m{t} using (c))""")
+    steps.append(f"z as ({near.format(rounds)})")
+    return ",\n".join(steps) + """
+select vec_id, cast(c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+       sha256(array_to_string(m, ',')) as centroid_sha256 from z"""
+
+
+#: Fill-in-middle by the prefix sums of token lengths, cut out of the text; the restored text is rebuilt from the output by places.
+MIDDLES = r"""
+with t as (select doc_id, coalesce(text, '') as s, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as w, sha256(concat('42:', doc_id)) as h from documents),
+h as (select doc_id, s, list_transform(w, lambda x: length(x)) as size, len(w) as n, list_transform([0, 1, 2, 3], lambda k: cast('0x' || h[8 * k + 1 : 8 * k + 8] as bigint)) as h from t),
+p as (select *, coalesce(list_sum(size[1 : least(h[1] % (n + 1), h[2] % (n + 1))]), 0) as a, coalesce(list_sum(size[1 : greatest(h[1] % (n + 1), h[2] % (n + 1))]), 0) as z,
+             case when s = '' or regexp_matches(s, '<[PSM]>') or h[3] % 100 >= 50 then 'plain' when h[4] % 100 < 80 then 'spm' else 'psm' end as form from h),
+o as (select *, case form when 'plain' then s when 'psm' then concat('<P>', s[1 : a], '<S>', s[z + 1 :], '<M>', s[a + 1 : z]) else concat('<S>', s[z + 1 :], '<P>', s[1 : a], '<M>', s[a + 1 : z]) end as o from p)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(a as bigint) end as prefix_chars, case when form <> 'plain' then cast(z - a as bigint) end as middle_chars,
+       sha256(o) as output_sha256,
+       sha256(case form when 'plain' then o when 'psm' then concat(o[4 : 3 + a], o[10 + a + length(s) - z :], o[7 + a : 6 + a + length(s) - z])
+              else concat(o[7 + length(s) - z : 6 + length(s) - z + a], o[10 + length(s) - z + a :], o[4 : 3 + length(s) - z]) end) as restored_sha256
+from o
+"""

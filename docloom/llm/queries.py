@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dartminhash, decontaminate, exact_dedup, hilbert_shards, license_scan, ngram_score, oracles, packing, suffix_dedup, toxicity, warc
+from . import ball_kmeans, dartminhash, decontaminate, exact_dedup, fill_middle, hilbert_shards, html_extract, license_scan, ngram_score, oracles, packing, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +78,28 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "ce_diff")])
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_kmeans.clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_toxicity, op3_decontaminate, op4_near_dedup, op5_packing,
         op6_license_scan, op7_warc, op8_sharding, op9_suffix_dedup, op10_lm_score,
+        op11_html_extract, op12_ball_kmeans, op13_fill_middle,
     )}
 
 
@@ -139,4 +157,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": _EXACT, "op3_decontaminate": _DECONTAMINATE, "op4_near_dedup": oracles.NEAR, "op6_license_scan": oracles.licences(),
         "op7_warc": _WARC, "op9_suffix_dedup": oracles.REPEATS, "op10_lm_score": oracles.LOSSES,
+        "op11_html_extract": oracles.ARTICLES, "op12_ball_kmeans": oracles.balls(), "op13_fill_middle": oracles.MIDDLES,
     }

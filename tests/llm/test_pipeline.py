@@ -1,6 +1,9 @@
 """The corpus pipeline on a small fixture, stage by stage against plain versions."""
 
+import os
 import random
+import subprocess
+import sys
 import re
 import zlib
 
@@ -70,9 +73,28 @@ def test_stages_against_plain_versions(spark, folder):
 
 
 def test_run_frees_what_it_wrote(spark, folder):
-    before = common.scratch_so_far()
-    out = corpus_pipeline.run(spark, folder)
-    assert out.count() > 50 and common.scratch_so_far() == before + 1
+    with common.watched() as made:
+        out = corpus_pipeline.run(spark, folder)
+    assert out.count() > 50 and len(made) > 5 and len([p for p in made if p in common._made]) == 1
+
+
+def test_scratch_goes_when_it_is_released_and_at_the_end(spark):
+    with common.watched() as outer:
+        with common.watched() as inner:
+            common.written(spark.range(3), "a")
+        common.written(spark.range(3), "b")
+    assert len(outer) == 2 and inner == outer[:1] and all(os.path.isdir(p) for p in outer)
+    common.released(spark, *inner)
+    assert [os.path.isdir(p) for p in outer] == [False, True]
+    code = (
+        "from pyspark.sql import SparkSession; from docloom.llm import common\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', {0!r}).getOrCreate()\n"
+        "common.written(s.range(3), 'x'); s.stop()\n"
+    )
+    held = os.path.dirname(outer[0])
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code.format(held)], check=True, cwd=home, env={**os.environ, "PYTHONPATH": home})
+    assert os.listdir(f"{held}/docloom") == []
 
 
 def test_empty_tables(spark, tmp_path):
