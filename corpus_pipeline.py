@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import dartminhash, decontaminate, exact_dedup, packing, toxicity
-from docloom.llm.common import release, scratch, scratch_so_far
+from docloom.llm.common import released, scratch, watched
 from docloom.llm.queries import table, tokenizer_path
 
 
@@ -49,10 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
-        mark = scratch_so_far()
-        stage(spark, docs, sf_dir).write.parquet(path)
-        release(spark, mark)
-        if last is not None:
-            release(spark, mark - 2, keep=(path,))
+        with watched() as made:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        released(spark, *made, *([last] if last else []))
         docs, last = spark.read.parquet(path), path
     return docs
