@@ -35,9 +35,27 @@ KEYWORDS = {
 }
 # Payment methods, in the order in which they are tried.
 PAYMENTS = ("cash", "credit", "debit", "visa", "mastercard", "amex", "american express", "discover", "paypal", "check")
-# A day and an amount in labelled lines.
-DAY = r"(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"
-MONEY = r"\$?\s*(\d+\.\d{2})"
+# Labelled amounts and fields, in linear form: white space may stand between all parts.
+TOTAL = r"total\s*+(?:amount\s*+)?+(?:[:=]\s*+)?+(?:\$\s*+)?+(\d++\.\d{2})"
+AMOUNT = r"(?:total|amount)\s*+(?:[:=]\s*+)?+(?:\$\s*+)?+(\d++\.\d{2})"
+SUBTOTAL = r"subtotal\s*+(?:[:=]\s*+)?+\$?+(\d++\.\d{2})"
+TAX = r"tax\s*+(?:[:=]\s*+)?+\$?+(\d++\.\d{2})"
+ID_NUMBER = r"(?:id|license|number|#)\s*+(?:[:=]\s*+)?+([A-Z0-9-]++)"
+NAME = r"name\s*+(?:[:=]\s*+)?+([^\n]*+)"
+BIRTH = r"(?:date of birth|birth date|dob|born)\s*+(?:[:=]\s*+)?+(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"
+ISSUED = r"(?:issue|issued)\s*+(?:(?:date|on)\s*+)?+(?:[:=]\s*+)?+(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"
+EXPIRES = r"(?:expiration|expires|exp)\s*+(?:(?:date|on)\s*+)?+(?:[:=]\s*+)?+(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})"
+# A host without a scheme.
+WWW = r"www\.[a-zA-Z0-9][-a-zA-Z0-9]{0,62}+(?:\.[a-zA-Z0-9][-a-zA-Z0-9]{0,62}+)++"
+# The entities whose plain patterns try a run of characters from each of its places. Here a run is tried once, from where it starts
+# or the last match ended; group 1 is what the plain pattern matches. An address starts at the first number before
+# white space in its run, since later ones end at the same street word.
+LINEAR = {
+    "email": r"(?:\G|(?<![a-zA-Z0-9._%+-]))([a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})",
+    "price": r"(\$\s*+\d++(?:\.\d{2})?|(?:\G|(?<!\d))\d++\s*+(?:USD|dollars|EUR|euros))",
+    "address": r"(?:\G|(?<![A-Za-z0-9\s,.\d-])|(?<!\d)(?=[0-9]*+[\d&&[^0-9]]))(?:\d++(?!\s))?+(?:[A-Za-z\s,.-]++|[0-9]++(?![\d\s]))*+"
+    r"(\d++\s[A-Za-z0-9\s,.-]+(?:Avenue|Ave|Street|St|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Plaza|Plz|Terrace|Way)\b[A-Za-z0-9\s,.-]++)",
+}
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -50,12 +68,21 @@ def first(text: Column, pattern: str) -> Column:
 
 
 def group(text: Column, pattern: str, n: int = 1) -> Column:
-    """Group n of the first match, null if none."""
-    return F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, n))
+    """Group n of the first match, which is never empty; null if none."""
+    return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
+
+
+def entity(text: Column, name: str, flags: str) -> Column:
+    """All matches of an entity, in order."""
+    return all_matches(text, flags + LINEAR[name], 1) if name in LINEAR else all_matches(text, flags + ENTITIES[name])
+
+
+def first_entity(text: Column, name: str, flags: str = CASED) -> Column:
+    return group(text, flags + LINEAR[name]) if name in LINEAR else first(text, flags + ENTITIES[name])
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++\z", "")
 
 
 def lines(c: Column) -> Column:

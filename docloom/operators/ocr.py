@@ -68,10 +68,20 @@ FIELDS = {
 }
 
 
+# The fields whose plain patterns try a run of characters from each of its places, once a run; see rx.LINEAR.
+LINEAR = {
+    "emails": r"(?:\G|(?<![A-Za-z0-9._%+-]))(?:(?!\b)[A-Za-z0-9._%+-])*+\b([A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b)",
+    "addresses": r"(?:\G|(?<![A-Za-z0-9\s,\d])|(?<!\d)(?=[0-9]*+[\d&&[^0-9]]))(?:\d++(?!\s))?+(?:[A-Za-z\s,]++|[0-9]++(?![\d\s]))*+"
+    r"(\d++\s[A-Za-z0-9\s,]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr)\b)",
+    "amounts": r"(\$\s*+\d++(?:\.\d{2})?|(?:\G|(?<!\d))\d++(?:\.\d{2})?\s*+(?:USD|EUR|GBP))",
+}
+
+
 def structured_info(text: Column) -> Column:
     """All matches of each field's patterns, pattern after pattern; only addresses ignore case."""
     flags = lambda name: rx.ANY_CASE if name == "addresses" else rx.CASED
-    return F.struct(*[F.concat(*[rx.all_matches(text, flags(n) + p) for p in patterns]).alias(n) for n, patterns in FIELDS.items()])
+    found = lambda name: [rx.all_matches(text, flags(name) + LINEAR[name], 1)] if name in LINEAR else [rx.all_matches(text, flags(name) + p) for p in FIELDS[name]]
+    return F.struct(*[F.concat(*found(name)).alias(name) for name in FIELDS])
 
 
 def empty_info() -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from docloom.functions import rx
-from docloom.functions.rx import ANY_CASE, CASED, DAY, ENTITIES, KEYWORDS, MONEY, PAYMENTS
+from docloom.functions.rx import ANY_CASE, CASED, ENTITIES, KEYWORDS, PAYMENTS
 
 MAX_KEY, MAX_VALUE = 30, 100
 
@@ -19,7 +19,7 @@ def entities(text: Column) -> Column:
     is tried only on texts with a character that all its matches have."""
     digit, none = F.rlike(text, F.lit(r"(?U)\d")), F.array().cast("array<string>")
     sign = {"email": F.contains(text, F.lit("@")), "url": F.contains(text, F.lit("://")), "ssn": digit & F.contains(text, F.lit("-")), "time": digit & F.contains(text, F.lit(":"))}
-    pairs = [x for k, p in ENTITIES.items() for x in (F.lit(k), F.when(sign.get(k, digit), rx.all_matches(text, ANY_CASE + p)).otherwise(none))]
+    pairs = [x for k in ENTITIES for x in (F.lit(k), F.when(sign.get(k, digit), rx.entity(text, k, ANY_CASE)).otherwise(none))]
     return F.map_filter(F.create_map(*pairs), lambda _, v: F.size(v) > 0)
 
 
@@ -35,7 +35,9 @@ def doc_type(text: Column) -> Column:
 
 
 def payment(text: Column) -> Column:
-    return F.coalesce(*[F.when(F.rlike(text, F.lit(rf"{ANY_CASE}\b{p}\b")), F.lit(p)) for p in PAYMENTS])
+    """The first of the methods that the text names; one pass finds them all. No method's name holds another's; letters that only Unicode folds become plain ones."""
+    said = F.transform(rx.all_matches(text, rx.keyword_pattern(PAYMENTS)), lambda m: F.lower(F.translate(m, "ſıİ\u212a", "siik")))
+    return F.array_min(F.transform(said, lambda m: F.struct(F.array_position(F.array(*map(F.lit, PAYMENTS)), m).alias("rank"), m.alias("method"))))["method"]
 
 
 # A line item, quantity, description and price.
@@ -61,40 +63,35 @@ def items(text: Column) -> Column:
         x["q"].try_cast("int").alias("quantity"), rx.strip(x["d"]).alias("description"), x["p"].cast("double").alias("price"),
         (x["q"].try_cast("int") * x["p"].cast("double")).alias("subtotal"),
     ))
-    return F.when(F.rlike(text, F.lit(r"(?U)\d\.\d{2}")), F.filter(read, lambda x: x["quantity"].isNotNull())).otherwise(F.filter(read, lambda x: F.lit(False)))
+    kept = F.filter(read, lambda x: x["quantity"].isNotNull())
+    return F.when(F.rlike(text, F.lit(r"(?U)\d\.\d{2}")), kept).otherwise(F.array().cast("array<struct<quantity:int,description:string,price:double,subtotal:double>>"))
 
 
+# Records are structs of independent fields: taking some of them, as in receipt(text)["total"], leaves the work of the others out.
 def receipt(text: Column) -> Column:
-    label = r"(?:\s*:|\s*=)?\s*"
-    total = F.coalesce(rx.group(text, rf"{ANY_CASE}total\s*(?:amount)?{label}{MONEY}"), rx.group(text, rf"{ANY_CASE}(?:total|amount){label}{MONEY}"))
-    amount = lambda word: rx.group(text, rf"{ANY_CASE}{word}\s*(?::\s*|\s*=\s*)?\$?(\d+\.\d{{2}})").cast("double")
+    amount = lambda pattern: rx.group(text, ANY_CASE + pattern).cast("double")
     return F.struct(
-        F.get(rx.lines(text), F.lit(0)).alias("merchant"), rx.first(text, CASED + ENTITIES["date"]).alias("date"), rx.first(text, CASED + ENTITIES["time"]).alias("time"),
-        total.cast("double").alias("total"), amount("subtotal").alias("subtotal"), amount("tax").alias("tax"), payment(text).alias("payment_method"),
-        items(text).alias("items"),
+        F.get(rx.lines(text), F.lit(0)).alias("merchant"), rx.first_entity(text, "date").alias("date"), rx.first_entity(text, "time").alias("time"),
+        F.coalesce(amount(rx.TOTAL), amount(rx.AMOUNT)).alias("total"), amount(rx.SUBTOTAL).alias("subtotal"), amount(rx.TAX).alias("tax"),
+        payment(text).alias("payment_method"), items(text).alias("items"),
     )
 
 
 def business_card(text: Column) -> Column:
-    lines, phones = rx.lines(text), rx.all_matches(text, CASED + ENTITIES["phone"])
-    # Fixed value: a host without a scheme.
-    www = CASED + r"www\.[a-zA-Z0-9][-a-zA-Z0-9]{0,62}(?:\.[a-zA-Z0-9][-a-zA-Z0-9]{0,62})+"
+    lines, phones = rx.lines(text), rx.entity(text, "phone", CASED)
     return F.struct(
         *[rx.strip(F.get(lines, F.lit(i))).alias(n) for i, n in enumerate(("name", "title", "company"))],
-        F.get(phones, F.lit(0)).alias("phone"), F.get(phones, F.lit(1)).alias("mobile"), rx.first(text, CASED + ENTITIES["email"]).alias("email"),
-        F.coalesce(rx.first(text, CASED + ENTITIES["url"]), rx.first(text, www)).alias("website"), rx.first(text, CASED + ENTITIES["address"]).alias("address"),
+        F.get(phones, F.lit(0)).alias("phone"), F.get(phones, F.lit(1)).alias("mobile"), rx.first_entity(text, "email").alias("email"),
+        F.coalesce(rx.first_entity(text, "url"), rx.first(text, CASED + rx.WWW)).alias("website"), rx.first_entity(text, "address").alias("address"),
     )
 
 
 def id_card(text: Column) -> Column:
-    # The labels of an id card's lines.
-    to = r"\s*(?::\s*|\s*=\s*)?"
-    dated = lambda words, on=r"\s*(?:date|on)?": rx.group(text, f"{ANY_CASE}(?:{words}){on}{to}{DAY}")
+    field = lambda pattern: rx.group(text, ANY_CASE + pattern)
+    named = rx.first(text, ANY_CASE + rx.NAME)  # never empty, but the name in it may be
     return F.struct(
-        rx.group(text, ANY_CASE + r"(?:id|license|number|#)\s*(?::\s*|\s*=\s*|\s+)?([A-Z0-9-]+)").alias("id_number"),
-        rx.strip(rx.group(text, ANY_CASE + r"name\s*(?::\s*|\s*=\s*)?(.*?)(?:\n|$)")).alias("name"),
-        dated("date of birth|birth date|dob|born", "").alias("date_of_birth"), dated("issue|issued").alias("issue_date"),
-        dated("expiration|expires|exp").alias("expiration_date"), rx.first(text, CASED + ENTITIES["address"]).alias("address"),
+        field(rx.ID_NUMBER).alias("id_number"), rx.strip(F.regexp_extract(named, ANY_CASE + rx.NAME, 1)).alias("name"),
+        field(rx.BIRTH).alias("date_of_birth"), field(rx.ISSUED).alias("issue_date"), field(rx.EXPIRES).alias("expiration_date"), rx.first_entity(text, "address").alias("address"),
     )
 
 
@@ -146,17 +143,30 @@ def general(text: Column) -> Column:
     )
 
 
+TYPES = {"receipt": receipt, "business_card": business_card, "id_card": id_card, "form": form}
+
+
+def is_blank(text: Column) -> Column:
+    return text.isNull() | (rx.strip(text) == "")
+
+
+def record_type(text: Column, kind: Column) -> Column:
+    """The type of a text's record: kinds without a record of their own are text documents; null for blank texts."""
+    return F.when(~is_blank(text), F.when(kind.isin(*TYPES), kind).otherwise("text_document"))
+
+
+def field_of(text: Column, kind: Column, fields: dict[str, str]) -> Column:
+    """One field of each text's record, by its type: fields names it for each type."""
+    of, makers = record_type(text, kind), TYPES | {"text_document": general}
+    return F.coalesce(*[F.when(of == name, makers[name](text)[field]) for name, field in fields.items()])
+
+
 def analyze(text: Column, kind: Column | None = None) -> Column:
     """One record of a superset schema; only the part of the text's type is set."""
-    blank = text.isNull() | (rx.strip(text) == "")
-    of = kind if kind is not None else doc_type(text)
-    only = lambda name, part: F.when(~blank & (of == name), part).alias(name)
-    rest = ~of.isin("receipt", "business_card", "id_card", "form")
-    return F.struct(
-        F.when(blank, F.lit("Empty text")).alias("error"), F.when(~blank, F.when(rest, F.lit("text_document")).otherwise(of)).alias("type"),
-        only("receipt", receipt(text)), only("business_card", business_card(text)), only("id_card", id_card(text)), only("form", form(text)),
-        F.when(~blank & rest, general(text)).alias("text_document"), F.when(~blank, entities(text)).alias("metadata"),
-    )
+    blank = is_blank(text)
+    of = record_type(text, kind if kind is not None else doc_type(text))
+    parts = [F.when(of == name, make(text)).alias(name) for name, make in (TYPES | {"text_document": general}).items()]
+    return F.struct(F.when(blank, F.lit("Empty text")).alias("error"), of.alias("type"), *parts, F.when(~blank, entities(text)).alias("metadata"))
 
 
 def redact(text: Column) -> Column:

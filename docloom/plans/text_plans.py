@@ -54,6 +54,17 @@ IDCARD = f"concat('ID: S', s_suppkey, {NL}, 'Name: ', s_name, {NL}, 'DOB: 02/',
 FORM = f"concat('Request!', {NL}, '; City: town ', o_orderkey % 11, {NL}, ';Zip = ', o_orderkey, {NL}, '; City: last ', o_orderkey % 3, {NL}, ';', repeat('k', 31), ': dropped', {NL}, '; sign here')"
 
 
+CARD_TEXT = f"concat('Person ', o_orderkey, {NL}, 'name title phone fax email website')"
+ID_TEXT = f"concat('id: N', o_orderkey, {NL}, 'birth eyes hair height weight')"
+SAID = f"case o_orderkey % 6 when 0 then {RECEIPT} when 1 then {FORM} when 2 then concat('chapter ', o_orderkey, ' figure') when 3 then {CARD_TEXT} when 4 then {ID_TEXT} else '  ' end"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where they come in fewer parts, as small tables of one file do."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _rendered(spark: SparkSession, sf_dir: str, name: str, key: str, sql: str) -> DataFrame:
     return table(spark, sf_dir, name).select(key, F.expr(sql).alias("text"))
 
@@ -71,29 +82,32 @@ def doc_type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.distribution(txt_2_doc_type(spark, sf_dir), "doc_type").withColumn("percent", F.round("percent", 6))
 
 
+def _fields(record, names: str) -> list:
+    """Fields of a record, each taken from its expression, so that the others are not computed."""
+    return [record[n].alias(n) for n in names.split()]
+
+
 def txt_3_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rendered(spark, sf_dir, "orders", "o_orderkey", RECEIPT).select("o_orderkey", tx.receipt(F.col("text")).alias("r"))
-    return r.select("o_orderkey", "r.merchant", "r.date", "r.time", "r.total", "r.subtotal", "r.tax", "r.payment_method")
+    rows = spread(_rendered(spark, sf_dir, "orders", "o_orderkey", RECEIPT))
+    return rows.select("o_orderkey", *_fields(tx.receipt(F.col("text")), "merchant date time total subtotal tax payment_method"))
 
 
 def txt_3_receipt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rendered(spark, sf_dir, "orders", "o_orderkey", RECEIPT).select("o_orderkey", F.explode(tx.receipt(F.col("text"))["items"]).alias("i"))
+    r = spread(_rendered(spark, sf_dir, "orders", "o_orderkey", RECEIPT)).select("o_orderkey", F.explode(tx.items(F.col("text"))).alias("i"))
     return r.select("o_orderkey", F.col("i.quantity").cast("long").alias("quantity"), "i.description", "i.price", F.round("i.subtotal", 4).alias("subtotal"))
 
 
 def txt_4_business_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rendered(spark, sf_dir, "customer", K, VCARD).select(K, tx.business_card(F.col("text")).alias("r"))
-    return r.select(K, "r.name", "r.title", "r.company", "r.phone", "r.mobile", "r.email", "r.website", "r.address")
+    return _rendered(spark, sf_dir, "customer", K, VCARD).select(K, *_fields(tx.business_card(F.col("text")), "name title company phone mobile email website address"))
 
 
 def txt_5_id_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rendered(spark, sf_dir, "supplier", "s_suppkey", IDCARD).select("s_suppkey", tx.id_card(F.col("text")).alias("r"))
-    return r.select("s_suppkey", "r.id_number", "r.name", "r.date_of_birth", "r.issue_date", "r.expiration_date", "r.address")
+    return _rendered(spark, sf_dir, "supplier", "s_suppkey", IDCARD).select("s_suppkey", *_fields(tx.id_card(F.col("text")), "id_number name date_of_birth issue_date expiration_date address"))
 
 
 def txt_6_form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _rendered(spark, sf_dir, "orders", "o_orderkey", FORM).select("o_orderkey", tx.form(F.col("text")).alias("r"))
-    return r.select("o_orderkey", "r.title", "r.signature", F.explode("r.fields").alias("field", "value"))
+    form = tx.form(F.col("text"))
+    return _rendered(spark, sf_dir, "orders", "o_orderkey", FORM).select("o_orderkey", *_fields(form, "title signature"), F.explode(form["fields"]).alias("field", "value"))
 
 
 def txt_8_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +121,14 @@ def txt_9_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txt_10_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the type as a column of its own, so that it is found once a text
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tx.doc_type(F.col("text")).alias("kind"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", tx.doc_type(F.col("text")).alias("kind"))
     docs = docs.select("doc_id", tx.analyze(F.col("text"), F.col("kind")).alias("r"))
     return docs.select("doc_id", F.col("r.error").isNotNull().alias("is_error"), "r.*")
 
 
 def txt_7_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "documents").select("doc_id", tx.general(F.coalesce("text", F.lit(""))).alias("r"))
-    return r.select("doc_id", "r.title", "r.length.characters", "r.length.words", "r.length.lines", "r.summary")
+    r = tx.general(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", *_fields(r, "title summary"), *_fields(r["length"], "characters words lines"))
 
 
 def txt_13_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +148,14 @@ def txt_11_structured_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt_10_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of receipts, cards, id cards, forms and other texts, by the type named (odd keys) or
     the type found: what the type's record says first."""
-    said = "case o_orderkey % 4 when 0 then {0} when 1 then {1} when 2 then {2} else {3} end"
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.expr(said.format(RECEIPT, FORM, "concat('chapter ', o_orderkey, ' figure')", "'  '")).alias("text"),
-        F.expr("case o_orderkey % 8 when 1 then 'form' when 5 then 'letter' end").alias("named"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(SAID).alias("text"), F.expr("case o_orderkey % 12 when 1 then 'form' when 7 then 'letter' end").alias("named"))
     orders = orders.select("o_orderkey", "text", F.coalesce("named", tx.doc_type(F.col("text"))).alias("kind"))
-    r = orders.select("o_orderkey", tx.analyze(F.col("text"), F.col("kind")).alias("r"))
-    return r.select("o_orderkey", "r.error", "r.type", F.coalesce("r.receipt.merchant", "r.form.title", "r.text_document.title").alias("first"), F.size("r.metadata").cast("long").alias("entities"))
+    text, kind = F.col("text"), F.col("kind")
+    first = tx.field_of(text, kind, {"receipt": "merchant", "business_card": "name", "id_card": "id_number", "form": "title", "text_document": "title"})
+    blank = tx.is_blank(text)
+    return orders.select(
+        "o_orderkey", F.when(blank, "Empty text").alias("error"), tx.record_type(text, kind).alias("type"), first.alias("first"),
+        F.when(~blank, F.size(tx.entities(text))).cast("long").alias("entities"))
 
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -172,10 +187,10 @@ SQL = {
     "txt_13_clean_lines": f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_S('x')}), lambda x: x <> ''), chr(10)) as cleaned, length(replace(replace(text, ' ', ''), chr(10), '')) as ink from documents",
     "srt_12_truncated": "select doc_id, text[1:100] as head, case when length(text) > 200 then concat(text[1:200], '...') else text end as preview, case when length(text) > 500 then concat(text[1:500], '...') else text end as excerpt from documents",
     "txt_11_structured_info": f"select {K}, concat({DATE}, '|23-45-', {pad(f'{K} % 10000', 4)}) as dates, {EMAIL} as emails, substr({PHONE}, 2) as phones, '12 Elm Street' as addresses, {PRICE} as amounts from customer",
-    "txt_10_dispatch": f"""select o_orderkey, case when o_orderkey % 4 = 3 then 'Empty text' end as error,
-      case o_orderkey % 4 when 0 then 'receipt' when 1 then if(o_orderkey % 8 = 1, 'form', 'text_document') when 2 then 'text_document' end as type,
-      case o_orderkey % 4 when 0 then {SHOP} when 1 then 'Request!' when 2 then concat('chapter ', o_orderkey, ' figure') end as first,
-      cast(case o_orderkey % 4 when 0 then 3 when 1 then if(o_orderkey between 10000 and 99999, 1, 0) when 2 then if(o_orderkey between 10000 and 99999, 1, 0) end as bigint) as entities from orders""",
+    "txt_10_dispatch": f"""select o_orderkey, case when o_orderkey % 6 = 5 then 'Empty text' end as error,
+      case o_orderkey % 6 when 0 then 'receipt' when 1 then if(o_orderkey % 12 = 1, 'form', 'text_document') when 2 then 'text_document' when 3 then 'business_card' when 4 then 'id_card' end as type,
+      case o_orderkey % 6 when 0 then {SHOP} when 1 then 'Request!' when 2 then concat('chapter ', o_orderkey, ' figure') when 3 then concat('Person ', o_orderkey) when 4 then concat('N', o_orderkey) end as first,
+      cast(case when o_orderkey % 6 = 5 then null when o_orderkey % 6 = 0 then 3 when o_orderkey % 6 in (1, 2, 3) then if(o_orderkey between 10000 and 99999, 1, 0) else 0 end as bigint) as entities from orders""",
 }
 QUERIES = {f.__name__: f for f in (
     txt_1_entities, txt_2_doc_type, txt_3_receipt, txt_3_receipt_items, txt_4_business_card, txt_5_id_card, txt_6_form_fields, txt_7_general, txt_8_key_values,
