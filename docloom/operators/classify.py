@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from . import scan
 
 
 def rule_type(aspect: Column, edges: Column) -> Column:
@@ -185,4 +187,5 @@ def newest(rows: DataFrame, by: str | list[str], n: int) -> DataFrame:
 
 
 def running_count(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """rows with the number of the key's rows so far."""
+    return scan.running_sum(rows, [key], [order], F.lit(1).cast("long"), "n")

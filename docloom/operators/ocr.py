@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docloom.functions import rx
 
-from . import text as tx
+from . import scan, text as tx
 
 GAP = 5
 NO_TEXT = "No text detected"
@@ -17,14 +17,16 @@ def confidence(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "psm").agg(F.coalesce(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), F.lit(0.0)).alias("confidence"))
 
 
-def blocks(words: DataFrame) -> DataFrame:
+#: Words of a document that one task takes at most to find their blocks.
+CHUNK = 1 << 16
+
+
+def blocks(words: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, psm, block, text: kept words in order, a new block where the top moves by more
-    than GAP from the kept word before."""
-    line = Window.partitionBy("doc_id", "psm").orderBy("pos")
+    than GAP from the kept word before. Long documents are scanned in chunks of places."""
     kept = words.where((F.col("conf") >= 0) & (F.trim("text") != ""))
-    jump = F.abs(F.col("top") - F.lag("top").over(line)) > GAP
-    placed = kept.withColumn("jump", F.coalesce(jump.cast("int"), F.lit(0)))
-    placed = placed.withColumn("block", F.sum("jump").over(line))
+    moved = lambda now, before: F.abs(now - before) > GAP
+    placed = scan.runs(kept, ["doc_id", "psm"], ["pos"], "top", moved, "block", F.floor(F.col("pos") / chunk))
     words_ = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return placed.groupBy("doc_id", "psm", "block").agg(F.array_join(F.transform(words_, lambda x: x["text"]), " ").alias("text"))
 

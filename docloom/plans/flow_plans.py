@@ -5,49 +5,110 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.operators import classify, images, ocr, text as tx
+from docloom.operators import classify, images, ocr, scan, text as tx
 from docloom.sources import sinks
 from docloom.sources.shared import new_path
-from docloom.streaming import throttle, workers
+from docloom.streaming import keyed, workers
 
 from .image_plans import _C, drawn
 from .table_plans import HOUR, SQL as TABLE_SQL
 from .text_plans import table
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+SLOTS = 4
 
 
-def _ended(spark: SparkSession, frames: DataFrame, work, key: str | None = None) -> DataFrame:
-    path, checkpoint = new_path(spark, "batches"), new_path(spark, "progress")
-    workers.run(frames, work, workers.batch_folder(path), checkpoint, key).awaitTermination()
-    return spark.read.parquet(path)
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Events in files in mixed order, written one time slot after the other, and how late rows come at most. The last file has a tick
+    (event -1) long after all events, which lets the watermark pass them."""
+    events, path = _events(spark, sf_dir), new_path(spark, "events")
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    low, high = low or 0, high or 0
+    width = (high - low) // SLOTS + 1
+    slot = F.floor((F.unix_micros("ts") - low) / width) + F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for i in range(SLOTS + 1):
+        events.where(slot == i).write.mode("append").parquet(path)
+    tick = {"event_id": F.lit(-1), "ts": F.timestamp_micros(F.lit(high + 4 * width + 86_400_000_000))}
+    last = spark.range(1).select(*[tick.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    last.write.mode("append").parquet(path)
+    return path, f"{2 * width // 1_000_000 + 1} seconds"
+
+
+def _stream(spark: SparkSession, sf_dir: str, path: str, per_batch: int = 1) -> DataFrame:
+    return spark.readStream.schema(_events(spark, sf_dir).schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def _ended(spark: SparkSession, out: DataFrame) -> DataFrame:
+    """What a stream writes until its end."""
+    path, checkpoint = new_path(spark, "streamed"), new_path(spark, "progress")
+    keyed.started(out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True)).awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def str_2_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workers.queued(table(spark, sf_dir, "events"), "event_type", 2, "1 hour").select("event_id", "event_type")
+    """Bounded queues of two places for each type and hour, in streaming state."""
+    path, late = _pieces(spark, sf_dir)
+    out = keyed.queued_stream(_stream(spark, sf_dir, path), "event_type", 2, "1 hour", late=late)
+    return _ended(spark, out).where("event_id >= 0").select("event_id", "event_type")
 
 
 def str_3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful form of the throttle on the stream of events."""
-    path, checkpoint = new_path(spark, "throttled"), new_path(spark, "progress")
-    out = throttle.throttled_stream(_stream(spark, sf_dir), "user_id", HOUR, order="event_id").select("event_id", "user_id")
-    out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+    path, late = _pieces(spark, sf_dir)
+    out = keyed.throttled_stream(_stream(spark, sf_dir, path), "user_id", HOUR, order="event_id", late=late)
+    return _ended(spark, out).where("event_id >= 0").select("event_id", "user_id")
+
+
+def str_4_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, late = _pieces(spark, sf_dir)
+    out = keyed.throttled_stream(_stream(spark, sf_dir, path), "user_id", HOUR, True, order="event_id", late=late)
+    return _ended(spark, out).where("event_id >= 0").select("event_id", "user_id")
+
+
+def str_7_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last click of each user, held over the events that follow."""
+    path, late = _pieces(spark, sf_dir)
+    seen = _stream(spark, sf_dir, path).withColumn("seen", F.when(F.col("event_type") == "click", F.col("event_id")))
+    return _ended(spark, keyed.held_stream(seen, "user_id", "seen", order="event_id", late=late)).where("event_id >= 0").select("event_id", "held")
 
 
 def str_6_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A worker that takes the newest event of each user and batch and sorts it by rules."""
+    """A worker that takes the newest event of each user and day and sorts it by rules, whatever files the events come in."""
     rule = classify.rule_type(F.col("event_id") % 300 / 100.0, F.col("event_id") % 40 / 100.0)
-    out = _ended(spark, _stream(spark, sf_dir), lambda rows: rows.select("event_id", "user_id", rule.alias("kind")), "user_id")
-    return out.select("event_id", "user_id", "kind")
+    path, late = _pieces(spark, sf_dir)
+    out, checkpoint = new_path(spark, "batches"), new_path(spark, "progress")
+    work = lambda rows: rows.select("event_id", "user_id", rule.alias("kind"))
+    workers.run(_stream(spark, sf_dir, path), work, workers.batch_folder(out), checkpoint, "user_id", every="1 day", late=late).awaitTermination()
+    return spark.read.parquet(out).where("event_id >= 0").select("event_id", "user_id", "kind")
+
+
+def str_6_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames and the words that come up to two hours after them, as two streams; frames without words come out once."""
+    path, late = _pieces(spark, sf_dir)
+    frames = _stream(spark, sf_dir, path)
+    words = _stream(spark, sf_dir, path).where("event_id < 0 or event_id % 3 > 0").select(
+        "event_id", F.expr("ts + make_dt_interval(0, 0, cast(event_id % 200 as int))").alias("said_at"), F.concat(F.lit("text "), "event_id").alias("text"))
+    out = workers.recognised(frames, words, "event_id", within="2 hours", late=late).select("event_id", F.col("recognised").alias("text"))
+    return _ended(spark, out).where("event_id >= 0")
+
+
+def str_7_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last detection of another table carried onto each frame: views get the last click of their user, by full hours."""
+    hour = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("hour", "ts").alias("ts"), "event_type")
+    clicks = hour.where("event_type = 'click'").withColumn("det_id", F.col("event_id"))
+    out = scan.asof(hour.where("event_type = 'view'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", ["det_id"], "event_id", "event_id")
+    return out.select("event_id", "det_id", F.unix_timestamp("found_ts").alias("found_s"))
 
 
 def str_8_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _ended(spark, workers.captured(_stream(spark, sf_dir), (F.col("value") > 50) & (F.col("event_type") != "view")), lambda rows: rows)
-    return out.select("event_id", "user_id")
+    path, checkpoint = new_path(spark, "batches"), new_path(spark, "progress")
+    frames = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*").parquet(sf_dir)
+    workers.run(workers.captured(frames, (F.col("value") > 50) & (F.col("event_type") != "view")), lambda rows: rows, workers.batch_folder(path), checkpoint).awaitTermination()
+    return spark.read.parquet(path).select("event_id", "user_id")
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +240,13 @@ SQL = {
     "str_2_queue": "select event_id, event_type from events qualify row_number() over (partition by event_type, date_trunc('hour', ts) order by ts, event_id) <= 2",
     "str_3_stream": TABLE_SQL["str_3_throttle"],
     "str_6_worker": """select event_id, user_id, case when event_id % 300 / 100.0 < 0.8 then 'receipt' when event_id % 300 / 100.0 <= 1.2 then if(event_id % 40 / 100.0 < 0.1, 'id_card', 'business_card')
-      else if(event_id % 40 / 100.0 > 0.15, 'form', 'text_document') end as kind from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""",
+      else if(event_id % 40 / 100.0 > 0.15, 'form', 'text_document') end as kind from events qualify row_number() over (partition by user_id, date_trunc('day', ts) order by ts desc, event_id desc) = 1""",
+    "str_4_stream": TABLE_SQL["str_4_debounce"],
+    "str_7_stream": TABLE_SQL["str_7_last_value"],
+    "str_6_recognised": "select event_id, case when event_id % 3 > 0 and event_id % 200 <= 120 then concat('text ', event_id) else 'No text detected' end as text from events",
+    "str_7_asof": """with f as (select event_id, user_id, date_trunc('hour', ts) as t from events where event_type = 'view'),
+      d as (select user_id, date_trunc('hour', ts) as t, max(event_id) as det_id from events where event_type = 'click' group by 1, 2)
+      select event_id, det_id, cast(epoch(d.t) as bigint) as found_s from f asof left join d on f.user_id = d.user_id and f.t >= d.t""",
     "str_8_capture": "select event_id, user_id from events where value > 50 and event_type <> 'view'",
     "snk_1_saved": f"select concat('scan_', stamp, '.jpg') as name, 'FFD8' as begins, 'text' as mode from ({_S})",
     "snk_2_documents": f"""with s as ({_S}) select concat('doc_', stamp, '.txt') as name, text as value from s where trim(text) <> ''
@@ -198,6 +265,6 @@ SQL = {
     "flt_1_blank": f"select doc_id, case when doc_id % 3 = 0 or doc_id % 5 = 0 or trim(text) = '' then 'Empty text' end as error from ({_DOCS})",
 }
 QUERIES = {f.__name__: f for f in (
-    str_2_queue, str_3_stream, str_6_worker, str_8_capture, snk_1_saved, snk_2_documents, snk_3_scans, snk_3b_texts, snk_5_lists, src_4_files, src_7_model, cls_10_trained, cls_9_repeats,
+    str_2_queue, str_3_stream, str_4_stream, str_6_worker, str_6_recognised, str_7_stream, str_7_asof, str_8_capture, snk_1_saved, snk_2_documents, snk_3_scans, snk_3b_texts, snk_5_lists, src_4_files, src_7_model, cls_10_trained, cls_9_repeats,
     txt_18_fast, txt_19_advanced, txt_15_empty, txt_12_full_text, flt_1_blank,
 )}

@@ -1,15 +1,15 @@
 """Operators on event streams: rates, throttle, debounce, latest sample, last value.
 
-Each has a batch form; `throttled_stream` is the stateful streaming form of throttle and
-debounce.
+Batch forms; `keyed` has the streaming ones of throttle, debounce, queue and last value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from docloom.operators import scan
+
+from . import links
 
 
 def rate(events: DataFrame, ts: str = "ts", every: str = "1 second", late: str | None = None) -> DataFrame:
@@ -18,62 +18,16 @@ def rate(events: DataFrame, ts: str = "ts", every: str = "1 second", late: str |
     return events.groupBy(F.window(ts, every).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def _walker(gap: float, inclusive: bool, ts: str):
-    """Emits a key's sorted rows whose time is gap seconds after the last emitted one; groups
-    arrive in batches, so only one number is kept of a key."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict = {}
-        for pdf in batches:
-            keep = []
-            for key, t in zip(pdf["__key"], pdf[ts], strict=True):
-                before = last.get(key) if last else None
-                if key not in last:
-                    last.clear()
-                wait = None if before is None else (t - before).total_seconds()
-                ok = wait is None or wait > gap or inclusive and wait == gap
-                keep.append(ok)
-                if ok:
-                    last[key] = t
-            yield pdf[keep]
-
-    return run
-
-
 def throttled(events: DataFrame, key: str, gap: float = 2.0, inclusive: bool = False, ts: str = "ts", order: str | None = None) -> DataFrame:
     """Greedy minimum gap for each key: a row passes if it comes more than gap seconds (or at
-    least gap, if inclusive) after the last one that passed. Keys are sorted within partitions
-    and streamed, never held; each row depends on the one before, so a key's rows are one task."""
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = events.withColumn("__key", F.col(key)).repartition(n, "__key").sortWithinPartitions("__key", ts, *([order] if order else []))
-    return rows.mapInPandas(_walker(gap, inclusive, ts), rows.schema).drop("__key")
+    least gap, if inclusive) after the last one that passed."""
+    return links.spaced(events, key, gap, inclusive, ts, [order] if order else [])
 
 
 def debounced(events: DataFrame, key: str, gap: float = 1.0, ts: str = "ts", order: str | None = None) -> DataFrame:
     return throttled(events, key, gap, True, ts, order)
 
 
-def throttled_stream(events: DataFrame, key: str, gap: float = 2.0, inclusive: bool = False, ts: str = "ts", order: str | None = None) -> DataFrame:
-    """The streaming form; state is the time of the last emitted row of a key. A key's rows of one
-    micro-batch are sorted in memory, so a trigger should bound what a batch holds of a key; rows
-    that arrive in a later batch than newer ones are tested against the newer ones."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values([ts, *([order] if order else [])])
-        keep = []
-        for t in pdf[ts]:
-            wait = None if last is None else (t - last).total_seconds()
-            ok = wait is None or wait > gap or inclusive and wait == gap
-            keep.append(ok)
-            last = t if ok else last
-        if last is not None:
-            state.update((int(last.value // 1000),))
-        yield pdf[keep]
-
-    return events.groupBy(key).applyInPandasWithState(run, events.schema, "last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def latest_sample(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """The newest row of each key: what a queue of one place holds."""
     cols = [c for c in events.columns if c != key]
@@ -82,5 +36,6 @@ def latest_sample(events: DataFrame, key: str, ts: str = "ts", tie: str = "event
 
 def last_value(events: DataFrame, key: str, value: str, order: list[str], ignore_nulls: bool = True) -> DataFrame:
     """events with `held`: the last value so far, nulls skipped or not."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("held", F.last(value, ignorenulls=ignore_nulls).over(w))
+    if not ignore_nulls:
+        return events.withColumn("held", F.col(value))
+    return scan.running_last(events, [key], order, F.col(value), "held")

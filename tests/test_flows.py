@@ -1,4 +1,3 @@
-import datetime as dt
 import json
 import os
 
@@ -6,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import classify
 from docloom.sources import files, sinks
-from docloom.streaming import throttle, workers
+from docloom.streaming import workers
 
 
 def test_split_is_exact_with_repeated_and_null_keys(spark):
@@ -17,27 +16,14 @@ def test_split_is_exact_with_repeated_and_null_keys(spark):
         assert sum(r.is_test for r in out) == int(len(keys) * 0.2)
 
 
-def test_stream_throttle_over_batches(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    for b in range(3):
-        rows = [(1, 10 * b + i, start + dt.timedelta(seconds=3 * b + i)) for i in range(3)]
-        spark.createDataFrame(rows, "k long, i long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{b}"))
-    schema = "k long, i long, ts timestamp"
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = throttle.throttled_stream(stream, "k", 2.0, order="i")
-    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = [r.i for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()]
-    want = [r.i for r in throttle.throttled(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), "k", 2.0, order="i").orderBy("ts").collect()]
-    assert got == want == [0, 10, 20]
-
-
-def test_worker_takes_the_newest_and_queue_the_first(spark, tmp_path):
+def test_worker_hands_on_what_it_gets_and_queue_keeps_the_first(spark, tmp_path):
     rows = spark.sql("select id % 2 as k, id as event_id, timestamp_seconds(id / 10) as ts from range(9)")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    workers.run(stream, lambda b: b.select("k", "event_id"), workers.batch_folder(str(tmp_path / "out")), str(tmp_path / "cp"), "k").awaitTermination()
-    assert {(r.k, r.event_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(0, 8), (1, 7)}
+    workers.run(stream, lambda b: b.select("k", "event_id"), workers.batch_folder(str(tmp_path / "out")), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(9))
     assert sorted(r.event_id for r in workers.queued(rows, "k", 2).collect()) == [0, 1, 2, 3]
+    assert sorted(r.event_id for r in workers.queued(rows, "k", 1, newest=True).collect()) == [7, 8]
     assert workers.captured(rows, F.when(F.col("k") == 1, True)).count() == 4
 
 
