@@ -67,31 +67,25 @@ def _rows(rows: list[tuple]) -> str:
 
 
 def licences() -> str:
-    """Base phrases, short notices, and the best alignment of each licence whose key phrases a file has."""
-    known = license_scan.LICENCES
-    template = [(x.label, i, w) for x in known for i, w in enumerate(license_scan._words(x.text))]
+    """Base phrases, and every template at every relative position of every file: no look-up, no rare words."""
+    known = license_scan.templates()
+    template = [(k, t.label, i, w, int(i in t.key), len(t.key), t.least) for k, t in enumerate(known) for i, w in enumerate(t.words)]
     return f"""
 with d as (select doc_id, row_number() over () as rid, {_WORDS} as w from documents),
-f as (select *, ' ' || array_to_string(w, ' ') || ' ' as j from d),
 t as (select rid, unnest(w) as c, unnest(range(len(w))) as i from d),
 base(phrase, label, size) as (values {_rows([(p, label, len(p.split())) for p, label in license_scan.BASE])}),
 spot as (select rid, i, label from (select rid, i, c, lead(c) over x as c1, lead(c, 2) over x as c2 from t window x as (partition by rid order by i)) q
           join base on phrase = case size when 2 then c || ' ' || c1 else c || ' ' || c1 || ' ' || c2 end),
 told as (select rid, count(*) as n, min(i) as a, max(i) as z, list_sort(list_distinct(list(label))) as labels from spot group by rid),
-notice(label, phrase) as (values {_rows([(x.label, n) for x in known for n in x.notices])}),
-noticed as (select rid, list(distinct label) as labels from f join notice on contains(j, ' ' || phrase || ' ') group by rid),
-demand(label, phrase) as (values {_rows([(x.label, k) for x in known for k in x.key_phrases])}),
-agreed as (select rid, f2.label from f, (select distinct label from demand) f2 where not exists (select 1 from demand where demand.label = f2.label and not contains(j, ' ' || phrase || ' '))),
-tpl(label, place, c) as (values {_rows(template)}),
+tpl(k, label, place, c, is_key, keys, least) as (values {_rows(template)}),
 weight as (select c, ln(1 + (select count(*) from d) / greatest(1, coalesce(df, 0))) as weight from (select distinct c from tpl) v left join (select c, count(distinct rid) as df from t group by c) using (c)),
-shift as (select t.rid, tpl.label, i - tpl.place as shift, sum(weight) as sum from agreed join t using (rid) join tpl on tpl.label = agreed.label and tpl.c = t.c join weight on weight.c = t.c group by 1, 2, 3),
-whole as (select label, sum(weight) as whole from tpl join weight using (c) group by 1),
-best as (select rid, label, least(1.0, max(sum) / whole) as score from shift join whole using (label) group by rid, label, whole),
-passed as (select rid, list(label) as labels, max(score) as score from best where score >= {license_scan.ACCEPT} group by rid)
+whole as (select k, sum(weight) as whole from tpl join weight using (c) group by 1),
+shift as (select t.rid, k, label, keys, least, i - place as shift, sum(weight) as got, sum(is_key) as met from t join tpl using (c) join weight using (c) group by 1, 2, 3, 4, 5, 6),
+passed as (select rid, list(label) as labels, max(least(1.0, got / whole)) as score from shift join whole using (k) where met = keys and got / whole >= least - 1e-9 group by rid)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(told.n, 0) as n_base, told.a as first_word, told.z as last_word, coalesce(array_to_string(told.labels, ','), '') as base_labels,
-       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(told.labels, []), coalesce(noticed.labels, []), coalesce(passed.labels, [])))), ','), '') as labels,
-       round(cast(case when told.n > 0 or noticed.labels is not null then 1.0 else coalesce(passed.score, 0.0) end as double), 6) as score
-from d left join told using (rid) left join noticed using (rid) left join passed using (rid)
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(told.labels, []), coalesce(passed.labels, [])))), ','), '') as labels,
+       round(cast(case when told.n > 0 then 1.0 else coalesce(passed.score, 0.0) end as double), 6) as score
+from d left join told using (rid) left join passed using (rid)
 """
 
 
