@@ -42,11 +42,17 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return it.withColumn("item", F.xxhash64("words"))
 
 
-def _windows(items: DataFrame, window: int) -> DataFrame:
-    """item, words, start, size of every window."""
-    it = items.select("item", "words").distinct()
-    last = F.greatest(F.size("words") - window, F.lit(0))
-    return it.select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("start"), F.least(F.size("words"), F.lit(window)).alias("size"))
+def _passages(named: DataFrame, window: int) -> DataFrame:
+    """item, words, size (of its windows), once for each different item."""
+    return named.select("item", "words").dropDuplicates(["item"]).withColumn("size", F.least(F.size("words"), F.lit(window)))
+
+
+def _window_terms(passages: DataFrame) -> DataFrame:
+    """item, start, size, term, at: the words of every window, of equal ones the first; at counts from start. A word of
+    an item goes into `size` windows at most, whatever the item's length."""
+    each = passages.select("item", "size", (F.size("words") - F.col("size")).alias("last"), F.posexplode("words").alias("pos", "term"))
+    start = F.explode(F.sequence(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)), F.least("pos", "last")))
+    return each.select("item", "size", "term", "pos", start.alias("start")).groupBy("item", "start", "size", "term").agg(F.min(F.col("pos") - F.col("start")).alias("at"))
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -58,11 +64,10 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def lookups(docs: DataFrame, windows: DataFrame, terms: int = 2) -> DataFrame:
+def lookups(docs: DataFrame, passages: DataFrame, terms: int = 2) -> DataFrame:
     """item, start, size, need, k, term, offset: the rarest terms of each window, k from 1; of
     equal terms in a window the first. offset is the term's place in the item."""
-    each = windows.select("item", "start", "size", F.posexplode(F.slice("words", F.col("start") + 1, F.col("size"))).alias("at", "term"))
-    each = each.groupBy("item", "start", "size", "term").agg(F.min("at").alias("at"))
+    each = _window_terms(passages)
     freq = frequencies(docs, each.select("term").distinct())
     order = Window.partitionBy("item", "start").orderBy(F.coalesce("n", F.lit(0)), "at")
     ranked = each.join(freq, "term", "left").withColumn("k", F.row_number().over(order)).where(F.col("k") <= terms)
@@ -106,15 +111,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def _index(rows: DataFrame, named: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Windows of the items, their lookups, and the stored postings of these."""
-    windows = written(_windows(named, window), "windows")
-    looked = written(lookups(rows, windows), "lookups")
-    return windows, looked, postings(rows, looked.select("term").distinct())
+    """The items' words, the lookups of their windows, and the stored postings of these."""
+    passages = written(_passages(named, window), "passages")
+    looked = written(lookups(rows, passages), "lookups")
+    return passages, looked, postings(rows, looked.select("term").distinct())
 
 
-def _phrases(rows: DataFrame, named: DataFrame, windows: DataFrame, looked: DataFrame, index: DataFrame) -> DataFrame:
+def _phrases(rows: DataFrame, named: DataFrame, passages: DataFrame, looked: DataFrame, index: DataFrame) -> DataFrame:
     found = written(alignments(index, looked), "alignments")
-    texts = windows.groupBy("item", "words").agg(F.first("size").alias("size")).select(F.col("item").alias("i2"), F.col("words").alias("item_words"), "size")
+    texts = passages.select(F.col("item").alias("i2"), F.col("words").alias("item_words"), "size")
     docs_of = found.select(F.col("id").alias("d2"), F.col("h").alias("h2")).distinct().hint("merge")  # grows with the documents
     held = rows.join(docs_of, _same(F.col("id"), F.col("d2")) & _same(F.col("h"), F.col("h2")), "left_semi").dropDuplicates(["id", "h"])
     held = held.select(F.col("id").alias("d3"), F.col("h").alias("h3"), words_col(F.col("text")).alias("doc_words"))
@@ -165,8 +170,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row per row of docs: id, h, n_words, n_hit, items (sorted strings), n_near (items with a
     proximity match, phrase matches of windows with two different words included), contaminated (by phrases)."""
     all_, named = _keyed(docs, id_col, text_col), _items(items, item_col, item_text)
-    windows, looked, index = _index(all_, named, window)
-    runs = written(_phrases(all_, named, windows, looked, index), "runs")
+    passages, looked, index = _index(all_, named, window)
+    runs = written(_phrases(all_, named, passages, looked, index), "runs")
     near = written(_close(named, looked, index, slop).groupBy("id", "h").agg(F.countDistinct("item").alias("n_near")), "near")
     order = Window.partitionBy("id", "h").orderBy("first", "last")
     before = F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))

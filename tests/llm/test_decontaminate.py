@@ -66,3 +66,15 @@ def test_drop_and_proximity(spark):
     test = spark.createDataFrame([(1, "rare1 rare2")], "item_id long, text string")
     assert [r.id for r in decontaminate.proximity_matches(near, test, slop=3).collect()] == [1]
     assert decontaminate.phrase_matches(near, test).where(F.lit(True)).count() == 0
+
+
+def test_an_item_of_many_words(spark):
+    rng = random.Random(9)
+    words = cases.prose(rng, 20_000, 9_000).split(" ")
+    long = " ".join(words)
+    docs = spark.createDataFrame([(1, f"before {' '.join(words[7000:7025])} after"), (2, "nothing here"), (3, long)], "doc_id long, text string")
+    its = spark.createDataFrame([(1, long), (2, None)], "item_id long, text string")
+    named = decontaminate._items(its, "item_id", "text")
+    assert decontaminate._window_terms(decontaminate._passages(named, 10)).count() <= 10 * 20_000
+    got = sorted((r.id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.decontaminate(docs, its).collect())
+    assert got == [(1, 27, 25, ["1"]), (2, 2, 0, []), (3, 20_000, 20_000, ["1"])]
