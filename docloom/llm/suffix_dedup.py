@@ -3,10 +3,11 @@
 A byte goes if a passage of `least` bytes that covers it starts anywhere else too.
 
 1. Winnowing: among the GRAM-byte hashes of a passage the smallest is its anchor. Equal passages
-   have equal anchors at equal places, so only text around an anchor that occurs twice can
-   repeat. Neighbouring passages with one anchor form a segment; each passage is in one segment.
+   have equal anchors, so only text around an anchor that occurs twice can
+   repeat. Neighbouring passages with equal anchors form a segment, wherever in them the anchor stands, of as many passages as
+   a window has places at most; so a text of one repeated byte has no more segments than others. Each passage is in one segment.
 2. Segments that are equal as a whole repeat wholly. Of an anchor with several different
-   segments, one copy of each goes into a collection.
+   segments, one copy of each goes into a collection; so does a segment in which its anchor stands twice.
 3. Segments are trimmed to the part whose 2 * GRAM-byte runs occur twice in the collection; what
    falls away cannot repeat. Collections (all segments of an anchor are in the same one) get their Burrows-Wheeler
    transform column by column: each round inserts, for every segment at once, the next symbol
@@ -45,7 +46,6 @@ COLLECTION = 1 << 20
 HOT = 5_000
 
 _U = np.uint64
-_POS = _U((1 << 26) - 1)
 _CHUNK = 1 << 20
 _C = _U(0x9E3779B97F4A7C15)
 
@@ -68,41 +68,44 @@ def gram_hashes(b: np.ndarray, length: int = GRAM) -> np.ndarray:
     return _mix(h)
 
 
-def anchors(b: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of a text of at least `least` bytes: anchor hash, first and last passage start."""
+def anchors(b: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a text of at least `least` bytes: anchor hash, first and last passage start, and whether the
+    anchor stands in it twice, so that one of its passages may stand there twice."""
     g = gram_hashes(b, gram)
     w = least - gram + 1
     n = len(g)
-    key = (g & ~_POS) | np.arange(n, dtype=np.uint64)
     padded = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = key
+    padded[:n] = g
     rows = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
     back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     low = np.minimum(back[: n - w + 1], ahead[w - 1 : n])
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(low) - 1]])
-    return g[(low[first] & _POS).astype(np.int64)], first, last
+    begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    run = np.repeat(begin, np.diff(np.append(begin, len(low))))
+    first = np.flatnonzero((np.arange(len(low)) - run) % w == 0)
+    last = np.append(first[1:] - 1, len(low) - 1)
+    tied = [np.count_nonzero(g[a : z + w] == m) > 1 for a, z, m in zip(first.tolist(), last.tolist(), low[first], strict=True)]
+    return low[first], first, last, np.array(tied, bool)
 
 
 def _segments(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, fps, segs, s0, s1 = [], [], [], [], []
+            at, fps, segs, s0, s1, twice = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 whole = len(text or b"")
                 for base in range(0, max(whole - least + 1, 0), _CHUNK):
                     part = text[base : base + _CHUNK + least - 1]
-                    fp, a, b = anchors(np.frombuffer(part, np.uint8), least, gram)
+                    fp, a, b, tied = anchors(np.frombuffer(part, np.uint8), least, gram)
                     at.append(np.full(len(a), i))
-                    fps.append(fp), s0.append(a + base), s1.append(b + base)
+                    fps.append(fp), s0.append(a + base), s1.append(b + base), twice.append(tied)
                     segs.extend(xxhash.xxh3_64_intdigest(part[x : y + least]) for x, y in zip(a.tolist(), b.tolist(), strict=True))
             if at:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(pa.array(np.concatenate(at))), batch.column("h").take(pa.array(np.concatenate(at))),
                      pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.array(segs, np.uint64).view(np.int64)),
-                     pa.array(np.concatenate(s0).astype(np.int64)), pa.array(np.concatenate(s1).astype(np.int64))],
-                    ["id", "h", "fp", "seg", "s0", "s1"],
+                     pa.array(np.concatenate(s0).astype(np.int64)), pa.array(np.concatenate(s1).astype(np.int64)), pa.array(np.concatenate(twice))],
+                    ["id", "h", "fp", "seg", "s0", "s1", "tied"],
                 )
 
     return run
@@ -258,19 +261,19 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 def segments(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs.where(F.length("text") >= least), _segments(least, gram), f"id {kind}, h int, fp long, seg long, s0 long, s1 long")
+    return map_batches(docs.where(F.length("text") >= least), _segments(least, gram), f"id {kind}, h long, fp long, seg long, s0 long, s1 long, tied boolean")
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """id, h, first, last: starts of repeated passages, in runs. docs: id, h, text (binary)."""
     spark = docs.sparkSession
     seen = written(segments(docs, least, gram), "segments")
-    kinds = seen.groupBy("fp", "seg").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "s0", "s1")).alias("one"))
+    kinds = seen.groupBy("fp", "seg").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "s0", "s1")).alias("one"), F.max("tied").alias("tied"))
     kinds = written(kinds, "kinds")
-    several = kinds.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1")
+    several = kinds.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max("tied").alias("any")).where("n > 1 or any")
     kinds = written(kinds.join(several.select("fp", "kinds"), "fp"), "repeated-kinds")
     whole = kinds.where("n > 1").select("fp", "seg")
-    alone = kinds.where("kinds > 1")
+    alone = kinds.where("kinds > 1 or n = 1 and tied")
     size = alone.agg(F.sum(F.col("one.s1") - F.col("one.s0") + least)).first()[0] or 0
     collections = max(1, -(-size // COLLECTION))
     carriers = alone.select("fp", "seg", "kinds", F.col("one.id").alias("cid"), F.col("one.h").alias("ch"), F.col("one.s0").alias("s0"), F.col("one.s1").alias("s1"))
@@ -330,7 +333,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: id, n_bytes, n_removed, spans (array of from, to), kept (binary)
     and kept_sha256."""
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("h", F.hash("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
     found = repeated_passages(rows, least, gram)
     spans = found.groupBy(F.col("id").alias("d2"), F.col("h").alias("h2")).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     joined = rows.join(spans.hint("merge"), rows["id"].eqNullSafe(F.col("d2")) & (rows["h"] == F.col("h2")), "left").select("id", "text", "runs")
