@@ -10,15 +10,12 @@ names, so further columns of any name never clash.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import contextvars
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from docloom.sources.shared import new_path as scratch, released, shared_dir, watched, written, written_at  # noqa: F401  for the operators
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_RX = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,84 +47,6 @@ def n_words_col(text: Column) -> Column:
     return F.size(F.array_remove(runs, "")).cast("long")
 
 
-_local: list[tempfile.TemporaryDirectory] = []
-_made: dict[str, object] = {}  # paths of this process that are not yet released, and Hadoop's settings for them
-_watched: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("docloom_scratch", default=())
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only a session on one
-    machine may leave it unset, as in tests; a temporary folder is used then."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _local:
-            _local.append(tempfile.TemporaryDirectory(prefix="docloom-"))
-            atexit.register(_local[0].cleanup)
-        base = _local[0].name
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder. It stays until it is released, or this process ends."""
-    if not _made:
-        atexit.unregister(_release_rest)
-        atexit.register(_release_rest)
-    path = f"{shared_dir(spark)}/docloom/{uuid.uuid4().hex}-{tag}"
-    _made[path] = spark._jsc.hadoopConfiguration()
-    for paths in _watched.get():
-        paths.append(path)
-    return path
-
-
-@contextlib.contextmanager
-def watched() -> Iterator[list[str]]:
-    """Lists the scratch paths that this thread makes inside the block, for `released`:
-    with watched() as made: df = operator(...); df.write...; released(spark, *made)"""
-    paths: list[str] = []
-    token = _watched.set((*_watched.get(), paths))
-    try:
-        yield paths
-    finally:
-        _watched.reset(token)
-
-
-def _delete(jvm, path: str, conf) -> None:
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
-
-
-def released(spark: SparkSession, *paths: str) -> None:
-    """Deletes scratch tables. No DataFrame that reads one may be used any more."""
-    for path in paths:
-        if (conf := _made.pop(path, None)) is not None:
-            _delete(spark._jvm, path, conf)
-
-
-def _release_rest() -> None:
-    """At the end of the process; the JVM still answers when the session has been stopped."""
-    from pyspark import SparkContext
-
-    for path, conf in list(_made.items()):
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            _delete(SparkContext._jvm, path, conf)
-    _made.clear()
-
-
-def written_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """`written`, and the path to release."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here, and a lost
-    executor costs no recomputation of what stands before."""
-    return written_at(df, tag)[0]
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small; a setting made by the caller stays."""
     for key, default, value in (

@@ -17,7 +17,8 @@ grow in number with the words of the corpus, so that each stays of one size.
 
 Words and bigrams are known by 64-bit hashes; two of m different grams share one with a
 probability of about m * m / 2**65. Which documents are target documents is found by a join of
-ids and sent as one bit a document.
+ids and joined to the chunks as places; nothing of that passes through the driver's Python. A row goes from a chunk to
+a part only if it has grams, so there are never more rows than grams.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ from .common import byte_words, map_batches, written
 
 MU = 64.0
 CHUNK = 2 << 20  # bytes of text
+CHUNK_DOCS = 1 << 16  # documents of a chunk at most
+#: Places of target documents that are broadcast at most (16 MB).
+BROADCAST_PLACES = 1 << 22
 PARTS = 256  # at least; a part holds its share of the different grams of all chunks
 PART_WORDS = 1 << 22  # words of the corpus for each part
 MARK = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +78,7 @@ def _unpacked_grams(data: bytes, part: int, parts: int) -> np.ndarray:
     return np.cumsum(_unpacked(data, np.uint64)[0], dtype=np.uint64) * np.uint64(parts) + np.uint64(part)
 
 
-def _homes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _homes(batches: Iterator[pa.RecordBatch], most: int, docs: int) -> Iterator[pa.RecordBatch]:
     """Chunks of at least `most` bytes, the last one excepted: ids; number of words; hash of each
     different word, lengths of texts and words as numbers."""
     from pyspark import TaskContext
@@ -98,7 +102,7 @@ def _homes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             lens.append(len(w))
             words.append(np.array([known.setdefault(x, len(known)) for x in w], np.int32))
             size += len(text or b"")
-            if size >= most:
+            if size >= most or len(ids) >= docs:
                 yield row()
                 chunk, ids, lens, words, known, size = chunk + 1, [], [], [], {}, 0
     if ids:
@@ -123,34 +127,30 @@ def _asked(text: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple:
     return (np.concatenate([c, np.full(len(texts), MARK)]), np.concatenate([text, texts])), (_pair(b, c), text)
 
 
-def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, chunk: int = CHUNK, chunk_docs: int = CHUNK_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, loss_target, loss_background, ce_diff (bits a word). target: ids (a column
     named as id_col). A text without words has null losses; an empty target gives 1 / V
     everywhere; repeated rows count each time; target ids without a document change nothing."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
-    homes = written(map_batches(rows, lambda batches: _homes(batches, chunk), _HOME.format(kind)), "homes")
+    homes = written(map_batches(rows, lambda batches: _homes(batches, chunk, chunk_docs), _HOME.format(kind)), "homes")
     words = homes.agg(F.sum("words")).first()[0] or 0
     parts = parts or max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // PART_WORDS))
     places = homes.select("chunk", F.posexplode("ids").alias("pos", "id"))
     ids = target.select(F.col(id_col).alias("id")).distinct().hint("merge")
-    flags = places.join(ids, "id", "left_semi").groupBy("chunk").agg(F.sort_array(F.collect_list("pos")).alias("pos")).toArrow()
-    bits = {}
-    for number, pos in zip(flags["chunk"].to_pylist(), flags["pos"], strict=True):
-        p = pos.values.to_numpy()
-        hit = np.zeros(int(p[-1]) + 1, bool)
-        hit[p] = True
-        bits[number] = np.packbits(hit)
-    sent = spark.sparkContext.broadcast(bits)
+    # the places of target documents, four bytes each: broadcast to the chunks where they were counted to be few, else merged
+    flags = written(places.join(ids, "id", "left_semi").groupBy("chunk").agg(F.sort_array(F.collect_list("pos")).alias("near")), "targets")
+    few = (flags.agg(F.sum(F.size("near"))).first()[0] or 0) <= BROADCAST_PLACES
+    flagged = homes.select("chunk", "home").join(F.broadcast(flags) if few else flags.hint("merge"), "chunk", "left")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, home in zip(batch.column("chunk").to_pylist(), batch.column("home").to_pylist(), strict=True):
+            for chunk, home, places in zip(batch.column("chunk").to_pylist(), batch.column("home").to_pylist(), batch.column("near"), strict=True):
                 lens, text, b, c = _grams(home)
                 near = np.zeros(len(lens), bool)
-                found = np.unpackbits(sent.value.get(chunk, np.zeros(0, np.uint8))).astype(bool)[: len(lens)]
-                near[: len(found)] = found
+                if places.is_valid:
+                    near[places.values.to_numpy()] = True
                 for k, (g, of_text) in enumerate(_asked(text, b, c)):
                     keys, inverse, n = np.unique(g, return_inverse=True, return_counts=True)
                     t = np.bincount(inverse[near[of_text]], minlength=len(keys))
@@ -186,7 +186,7 @@ def ngram_scores(docs: DataFrame, target: DataFrame, parts: int | None = None, c
             "v": int(real.sum()), "tokens": int(sums[0][real].sum()), "near": int(sums[1][real].sum()),
         })
 
-    asks = map_batches(homes.select("chunk", "home"), ask, _ASK)
+    asks = map_batches(flagged, ask, _ASK)
     answers = written(
         asks.groupBy("part", "kind").applyInPandas(answer, "chunk long, part int, kind int, counts binary, v long, tokens long, near long"), "answers"
     )

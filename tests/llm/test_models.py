@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from docloom.llm import lm_score, toxicity
+from docloom.llm import toxicity
 
 from . import cases
 
@@ -85,42 +85,3 @@ def test_ordinal_fit_recovers_order_and_shared_weights():
     grade = np.searchsorted([-1.0, 1.0, 3.0], latent)
     w, theta = toxicity.fit_ordinal(x, grade, 4)
     assert np.allclose(w, [2, -1], atol=0.25) and np.allclose(theta, [-1, 1, 3], atol=0.3)
-
-
-def slow_losses(texts, mu=lm_score.MU):
-    c3 = Counter(tuple((b"\0\0" + t)[i : i + 3]) for t in texts for i in range(len(t)))
-    c2, c1, ctx2, ctx1 = Counter(), Counter(), Counter(), Counter()
-    for (a, b, c), n in c3.items():
-        c2[b, c] += n
-        c1[c] += n
-        ctx2[a, b] += n
-        ctx1[b] += n
-    total = sum(c1.values())
-
-    def loss(a, b, c):
-        p1 = (c1[c] + mu / 256) / (total + mu)
-        p2 = (c2[b, c] + mu * p1) / (ctx1[b] + mu)
-        return -math.log2((c3[a, b, c] + mu * p2) / (ctx2[a, b] + mu))
-
-    return loss
-
-
-def test_losses_match_a_plain_version(spark):
-    docs, labels, _ = corpus(spark, 40)
-    target = labels.where("doc_id % 3 = 0")
-    got = lm_score.score(docs, lm_score.fit(docs, target)).collect()
-    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
-    t, b = slow_losses([x for i, x in texts.items() if i % 3 == 0]), slow_losses(list(texts.values()))
-    for r in got:
-        s = b"\0\0" + texts[r.id]
-        grams = [tuple(s[i : i + 3]) for i in range(len(s) - 2)]
-        lt, lb = (sum(f(*g) for g in grams) / len(grams) for f in (t, b))
-        assert abs(r.loss_target - lt) < 1e-4 and abs(r.loss_background - lb) < 1e-4 and abs(r.ce_diff - lt + lb) < 2e-4
-
-
-def test_lm_edge_cases(spark):
-    odd = cases.frame(spark)
-    models = lm_score.fit(odd, odd.select("doc_id").where("doc_id < 5"))
-    got = {(r.id, r.n_tokens): r for r in lm_score.score(odd, models).collect()}
-    assert got[0, 0].ce_diff is None
-    assert lm_score.score(cases.empty(spark), lm_score.fit(cases.empty(spark), odd)).count() == 0

@@ -23,12 +23,13 @@ def slow(texts, vocab, mu=ng.MU):
     return loss
 
 
-@pytest.mark.parametrize("chunk", [2000, 8 << 20])
-def test_scores_match_a_plain_version(spark, chunk):
+@pytest.mark.parametrize(("chunk", "docs_each", "places"), [(2000, 1 << 16, 1 << 22), (8 << 20, 1 << 16, 0), (8 << 20, 7, 1 << 22)])
+def test_scores_match_a_plain_version(spark, monkeypatch, chunk, docs_each, places):
+    monkeypatch.setattr(ng, "BROADCAST_PLACES", places)
     docs = cases.frame(spark)
     rows = docs.collect()
     near = {i for i in range(90) if i % 3 == 0} | {10**9}
-    got = ng.ngram_scores(docs, spark.createDataFrame([(i,) for i in near], "doc_id long"), parts=3, chunk=chunk).collect()
+    got = ng.ngram_scores(docs, spark.createDataFrame([(i,) for i in near], "doc_id long"), parts=3, chunk=chunk, chunk_docs=docs_each).collect()
     assert sorted(r.id for r in got) == sorted(r.doc_id for r in rows)
     vocab = len({w for r in rows for w in cases.words(r.text)})
     t, b = slow([r.text for r in rows if r.doc_id in near], vocab), slow([r.text for r in rows], vocab)

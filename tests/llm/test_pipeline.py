@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from docloom.llm import common, queries, toxicity
+from docloom.sources import shared
 
 from . import cases
 from .test_near import brute as near_classes
@@ -75,7 +76,7 @@ def test_stages_against_plain_versions(spark, folder):
 def test_run_frees_what_it_wrote(spark, folder):
     with common.watched() as made:
         out = corpus_pipeline.run(spark, folder)
-    assert out.count() > 50 and len(made) > 5 and len([p for p in made if p in common._made]) == 1
+    assert out.count() > 50 and len(made) > 5 and len([p for p in made if p in shared._made]) == 1
 
 
 def test_scratch_goes_when_it_is_released_and_at_the_end(spark):
