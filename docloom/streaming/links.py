@@ -25,22 +25,19 @@ def _next(times: DataFrame, reach: int) -> DataFrame:
 
 
 def marked(first: DataFrame, links: DataFrame) -> DataFrame:
-    """i of the rows on the chains of links (i, j) that begin at the rows of first (i)."""
-    spark = first.sparkSession
-    on, at = written_at(first, "marked")
+    """i of the rows on the chains of links (i, j) that begin at the rows of first (i). What a round marks is written
+    as a table of its own; the marked rows are the union of these, as many as there are rounds."""
+    on = written(first, "marked")
     jump, far = written_at(links, "links")
     while True:
-        new = on.join(jump, "i").select(F.col("j").alias("i"))
-        reached, path = written_at(new, "reached")
-        if reached.isEmpty():
-            released(spark, path, far)
+        new, path = written_at(on.join(jump, "i").select(F.col("j").alias("i")), "marked")
+        if new.isEmpty():
+            released(on.sparkSession, path, far)
             return on
-        both, place = written_at(on.union(reached), "marked")
-        released(spark, at, path)
-        on, at = both, place
+        on = on.union(new)
         step = jump.join(jump.select(F.col("i").alias("j"), F.col("j").alias("to")), "j").select("i", F.col("to").alias("j"))
         longer, place = written_at(step, "links")
-        released(spark, far)
+        released(on.sparkSession, far)
         jump, far = longer, place
 
 
