@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.operators import classify, images, ocr, scan, text as tx
-from docloom.sources import sinks
+from docloom.sources import committed, labelled, sinks
 from docloom.sources.shared import new_path
 from docloom.streaming import keyed, workers
 
@@ -158,6 +158,48 @@ def snk_1_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("name", F.hex(F.substring("content", 1, 2)).alias("begins"), modes.alias("mode"))
 
 
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result of each page: a time, bytes for two pictures (of every second page), its text and an analysis record."""
+    key, page = F.col("page_id"), F.col("html")
+    record = F.struct(F.lit("form").alias("type"), F.length("url").alias("size"), F.lit(None).cast("string").alias("title"), F.array(key, key + 1).alias("list"))
+    return table(spark, sf_dir, "pages").select(
+        F.timestamp_seconds(F.lit(1_700_000_000) + key).alias("ts"), F.encode(F.coalesce("url", F.lit("")), "utf-8").alias("document"),
+        F.when(key % 2 == 0, F.encode(F.coalesce(page, F.lit("")), "utf-8")).alias("enhanced"), F.when(key % 3 > 0, F.substring(page, 1, 40)).otherwise("").alias("text"), F.when(key % 5 > 0, record).alias("analysis"))
+
+
+def snk_4_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demo results, all parts by one commit, written twice under one batch name, and read again."""
+    path = new_path(spark, "demo")
+    parts = sinks.scan_parts(_results(spark, sf_dir), "demo", None, ("document", "enhanced"))
+    for _ in range(2):
+        committed.write_parts(parts, path, "demo")
+    return committed.read_parts(spark, path).select("part", "name", F.sha2("content", 256).alias("sha256"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Pages as files below folders of their first letter, of several endings; some lie at the top. The five of the largest ids are written last."""
+    root = new_path(spark, "files")
+    ending = F.element_at(F.array(*map(F.lit, ("jpg", "JPEG", "png", "txt"))), (F.col("page_id") % 4 + 1).cast("int"))
+    folder = F.when(F.col("page_id") % 7 == 0, "").otherwise(F.concat(F.lit("class"), F.col("page_id") % 3, F.when(F.col("page_id") % 2 == 0, "/more/").otherwise("/")))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(folder, F.lit("p"), "page_id", F.lit("."), ending).alias("name"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
+    border = pages.where("page_id % 4 < 3").orderBy(F.desc("page_id")).limit(5).agg(F.min("page_id")).first()[0]
+    labelled.write_files(pages.where(F.col("page_id") < F.lit(border)), root)
+    labelled.write_files(pages.where(F.col("page_id") >= F.lit(border)), root)
+    return root, r"/p(\d+)\.[^/]*$"
+
+
+def src_5_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of labelled folders, as rows."""
+    root, number = _files(spark, sf_dir)
+    return labelled.labelled(spark, root).select(F.regexp_extract("path", number, 1).cast("long").alias("page_id"), "label", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def src_6_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest five files; the number is the feature."""
+    root, number = _files(spark, sf_dir)
+    return labelled.labelled(spark, root, newest=5).select(F.regexp_extract("path", number, 1).cast("long").alias("page_id"), F.sha2("content", 256).alias("sha256"))
+
+
 def src_4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures written as JPEG and PNG files' contents, read again: size and light pixels."""
     pages = drawn(spark, sf_dir)
@@ -254,6 +296,13 @@ SQL = {
     "snk_3_scans": f"""select concat('scan_', stamp, '_analysis.json') as name, {_JSON.format("\"', s_suppkey, '\",\"', s_suppkey + 1, '\"")} as json from ({_S}) where s_suppkey % 5 > 0""",
     "snk_3b_texts": f"select concat('scan_', stamp, '.txt') as name, text from ({_S})",
     "snk_5_lists": f"""select s_suppkey, case when s_suppkey % 5 > 0 then {_JSON.format("', s_suppkey, ',', s_suppkey + 1, '")} end as json from supplier""",
+    "snk_4_demo": f"""with r as (select page_id, strftime(make_timestamp(1700000000000000 + page_id * 1000000), '%Y%m%d_%H%M%S') as stamp, coalesce(url, '') as url, coalesce(html, '') as html, html[1:40] as text from pages)
+      select 'document' as part, concat('demo_document_', stamp, '.jpg') as name, sha256(url) as sha256 from r
+      union all select 'enhanced', concat('demo_enhanced_', stamp, '.jpg'), sha256(html) from r where page_id % 2 = 0
+      union all select 'text', concat('demo_text_', stamp, '.txt'), sha256(text) from r where page_id % 3 > 0 and text <> ''
+      union all select 'analysis', concat('demo_analysis_', stamp, '.json'), sha256(concat('{{"type":"form","size":', length(url), ',"title":null,"list":["', page_id, '","', page_id + 1, '"]}}')) from r where page_id % 5 > 0""",
+    "src_5_labelled": "select page_id, case when page_id % 7 = 0 then 'text_document' else concat('class', page_id % 3) end as label, strlen(coalesce(html, '')) as length, sha256(coalesce(html, '')) as sha256 from pages where page_id % 4 < 3",
+    "src_6_newest": "select page_id, sha256(coalesce(html, '')) as sha256 from pages where page_id % 4 < 3 order by page_id desc limit 5",
     "src_4_files": f"select s_suppkey, cast(k as int) as kind, cast(h as bigint) as h, cast(w as bigint) as w, cast(sheet as bigint) as light from {_C}, range(2) t(k)",
     "src_7_model": "select vec_id, true as same from embeddings",
     "cls_9_repeats": "select t as is_test, case when t then cast(floor(n * 0.2) as bigint) else n - cast(floor(n * 0.2) as bigint) end as n, case when t then cast(floor(n * 0.2) as bigint) else n - cast(floor(n * 0.2) as bigint) end as rows from (select count(*) as n from events), (values (true), (false)) v(t)",
@@ -265,6 +314,6 @@ SQL = {
     "flt_1_blank": f"select doc_id, case when doc_id % 3 = 0 or doc_id % 5 = 0 or trim(text) = '' then 'Empty text' end as error from ({_DOCS})",
 }
 QUERIES = {f.__name__: f for f in (
-    str_2_queue, str_3_stream, str_4_stream, str_6_worker, str_6_recognised, str_7_stream, str_7_asof, str_8_capture, snk_1_saved, snk_2_documents, snk_3_scans, snk_3b_texts, snk_5_lists, src_4_files, src_7_model, cls_10_trained, cls_9_repeats,
+    str_2_queue, str_3_stream, str_4_stream, str_6_worker, str_6_recognised, str_7_stream, str_7_asof, str_8_capture, snk_1_saved, snk_2_documents, snk_3_scans, snk_3b_texts, snk_5_lists, snk_4_demo, src_4_files, src_5_labelled, src_6_newest, src_7_model, cls_10_trained, cls_9_repeats,
     txt_18_fast, txt_19_advanced, txt_15_empty, txt_12_full_text, flt_1_blank,
 )}

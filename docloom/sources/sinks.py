@@ -81,6 +81,25 @@ def write_documents(rows: DataFrame, path: str) -> None:
     some.select(F.concat("base", F.lit(".json")).alias("name"), F.to_json("info").alias("json")).write.mode("overwrite").parquet(f"{path}/records")
 
 
+def scan_parts(rows: DataFrame, prefix: str = "scan", suffix: str = "_text", pictures: tuple[str, ...] = (), keep_scalars: bool = False) -> DataFrame:
+    """part, name, content of saved scans, for `committed.write_parts`: a row for each picture (columns of encoded bytes), for the text where
+    there is any, and for the analysis. rows: ts, the pictures, text, analysis. Names: <prefix>_<part><stamp> as the demo
+    saves them (<prefix>_document_<stamp>.jpg), with suffix None; else <prefix>_<stamp><suffix>.txt and so on."""
+    time = stamp(F.col("ts"))
+
+    def name(kind: str, ending: str) -> Column:
+        if suffix is None:
+            return F.concat(F.lit(f"{prefix}_{kind}_"), time, F.lit(ending))
+        tail = {"text": suffix, "analysis": "_analysis", "document": ""}.get(kind, f"_{kind}")
+        return F.concat(F.lit(f"{prefix}_"), time, F.lit(f"{tail}{ending}"))
+
+    part = lambda kind, ending, content: F.struct(F.lit(kind).alias("part"), name(kind, ending).alias("name"), content.alias("content"))
+    parts = [part(p, ".jpg", F.col(p)) for p in pictures]
+    parts.append(part("text", ".txt", F.when(F.col("text") != "", F.col("text").cast("binary"))))
+    parts.append(part("analysis", ".json", analysis_json(rows, "analysis", keep_scalars).cast("binary")))
+    return rows.select(F.explode(F.filter(F.array(*parts), lambda x: x["content"].isNotNull())).alias("p")).select("p.*")
+
+
 def saved_mode(doc_type: Column, mode: Column) -> Column:
     """The enhancement of a document that is saved: the chosen mode; where that is auto, text and
     photo documents get the mode of their name."""
