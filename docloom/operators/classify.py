@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from docloom.sources.shared import written
 
 from . import scan
 
@@ -55,6 +57,7 @@ def exact_split(rows: DataFrame, key: str, share: float = 0.2) -> DataFrame:
     """rows with `is_test` for exactly int(n * share) rows, those of the smallest hash of the key (null
     keys too). The cut is an order statistic, found by counts of hash buckets; only rows of the
     bucket that it falls in, of one key as a rule, are numbered."""
+    rows = written(rows, "split")  # it is read five times
     n = rows.count()
     want = int(n * share)
     if want <= 0 or want >= n:
@@ -103,13 +106,13 @@ def save(model, path: str) -> bool:
 
 
 def load(path: str):
-    """The model saved at path, None if it cannot be read."""
+    """The model saved at path, None if there is none. One that is there but cannot be read is an error."""
     from pyspark.ml import PipelineModel
+    from pyspark.sql import SparkSession
 
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001  whatever keeps a model from being read
-        return None
+    spark = SparkSession.getActiveSession()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return PipelineModel.load(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
 
 
 def predict_or_rules(model, rows: DataFrame, classes: list[str], features: str = "features") -> DataFrame:
@@ -169,11 +172,36 @@ def stage_times(rows: DataFrame, stages: list[str]) -> DataFrame:
     return rows.agg(*[F.avg(s).alias(s) for s in stages])
 
 
+#: Of the quantile sketch that brackets a median; its rank is off by one in so many rows at most.
+ACCURACY = 10_000
+
+
+def exact_median(rows: DataFrame, key: str, value: str, accuracy: int = ACCURACY) -> DataFrame:
+    """key, median: the exact median of the values that are not null (of an even number the mean of the middle two); keys without
+    a value have no row. A mergeable sketch brackets it, then one pass counts what lies below and sorts the few rows in
+    the bracket; no key's values are held."""
+    some = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    edge = 2.0 / accuracy
+    sketch = F.percentile_approx("v", F.array(F.lit(max(0.0, 0.5 - edge)), F.lit(min(1.0, 0.5 + edge))), accuracy)
+    bracket = some.groupBy("k").agg(sketch.alias("q"), F.count("*").alias("n")).select(F.col("k").alias("b"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")
+    met = some.join(bracket, F.col("k").eqNullSafe(F.col("b")))
+    inside = F.when(F.col("v").between(F.col("low"), F.col("high")), F.col("v")).when(F.col("v") < F.col("low"), F.lit(float("-inf")))
+    counts = met.withColumn("v", inside).where("v is not null").groupBy("k", "v", "n").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    middle = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1 + i) / 2), F.col("v"))) for i in (0, 1)]
+    return counts.withColumn("upto", upto).groupBy("k").agg(((middle[0] + middle[1]) / 2).alias("median")).withColumnRenamed("k", key)
+
+
 def median_angle(rows: DataFrame, key: str, angle: str) -> DataFrame:
     """key, raw, angle: the exact median of the angles, and of the angles that count from upright
     where they lie between 45 and 135 degrees."""
     folded = F.when(F.col(angle).between(45, 135), F.col(angle) - 90).otherwise(F.col(angle))
-    return rows.groupBy(key).agg(F.percentile(F.col(angle), 0.5).alias("raw"), F.percentile(folded, 0.5).alias("angle"))
+    both = rows.select(F.col(key).alias("__k"), F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col(angle).cast("double").alias("a")), F.struct(F.lit(1).alias("w"), folded.cast("double").alias("a")))).alias("x"))
+    found = exact_median(both.select(F.struct("__k", "x.w").alias("kw"), "x.a"), "kw", "a")
+    of = lambda w: F.max(F.when(F.col("kw.w") == w, F.col("median")))
+    medians = found.groupBy(F.col("kw.__k").alias("__m")).agg(of(0).alias("raw"), of(1).alias("angle"))
+    keys = rows.select(F.col(key).alias(key)).distinct()
+    return keys.join(medians, F.col(key).eqNullSafe(F.col("__m")), "left").select(key, "raw", "angle")
 
 
 def modes_in_turn(rows: DataFrame, at: Column, modes: tuple[str, ...], out: str = "mode") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.operators import classify, geometry, ocr, text as tx
+from docloom.functions import rx
+from docloom.operators import classify, geometry, keywords, ocr, text as tx
 from docloom.streaming import throttle
 
 from .text_plans import table
@@ -119,6 +120,23 @@ def win_4_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.modes_in_turn(table(spark, sf_dir, "events").select("event_id"), F.col("event_id"), ("text", "bw", "color"))
 
 
+def jn_3_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the five lists, as a table of keywords."""
+    found = keywords.scores(table(spark, sf_dir, "documents"), keywords.table_of(spark, rx.KEYWORDS))
+    return found.select(F.col("id").alias("doc_id"), "kind", "score")
+
+
+def jn_4_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a dictionary that grows with the tables: every word of three letters and more that conversations use, by its first letter."""
+    said = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).where("length(keyword) >= 3").distinct()
+    known = said.select(F.substring("keyword", 1, 1).alias("kind"), "keyword", F.lit(0).alias("rank"))
+    return keywords.scores(table(spark, sf_dir, "documents"), known).select(F.col("id").alias("doc_id"), "kind", "score")
+
+
+_LISTS = ", ".join(f"('{k}', '{w}')" for k, words in rx.KEYWORDS.items() for w in words)
+_RUNS = r"select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}_]+|[^\p{L}\p{M}\p{Nd}_]+') as r, row_number() over () as rid from documents"
+_GRAMS = f"""with d as ({_RUNS}), t as (select doc_id, rid, r, unnest(range(1, len(r) + 1)) as i from d),
+  g as (select doc_id, rid, r[i] as g from t union all select doc_id, rid, r[i] || r[i + 1] || r[i + 2] from t where r[i + 1] = ' ')"""
 _WORDS = f"select doc_id, pos, word as text, {CONF} as conf, {TOP} as top from (select doc_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as pos from documents)"
 _TURNS = "select conv_id * 1000 + turn as doc_id, text from conversations"
 _WALK = """with recursive e as (select event_id, user_id, epoch(ts) as t, row_number() over (partition by user_id order by ts, event_id) as rn from events),
@@ -147,6 +165,9 @@ SQL = {
     "agg_5_evaluate": "select cast(toxic as bigint) as label, count(*) as total, count(*) filter (where toxic = 1 - quality) as correct, round(avg(case when toxic = 1 - quality then 1.0 else 0.0 end), 6) as accuracy from labels group by 1",
     "jn_1_labelled": "select lang, count(*) as n, cast(sum(quality) as bigint) as good, cast(sum(n_chars) as bigint) as chars from documents join labels using (doc_id) group by 1",
     "cls_9_split": "select t as is_test, case when t then cast(floor(n * 0.2) as bigint) else n - cast(floor(n * 0.2) as bigint) end as n from (select count(*) as n from labels), (values (true), (false)) v(t)",
+    "jn_3_keywords": f"{_GRAMS} select doc_id, kind, count(*) as score from g join (values {_LISTS}) k(kind, word) on g = word group by rid, doc_id, kind",
+    "jn_4_dictionary": f"""{_GRAMS}, k as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from conversations)
+      select doc_id, word[1:1] as kind, count(*) as score from g join k on g = word where length(word) >= 3 group by rid, doc_id, kind""",
     "geo_1_quads": f"select l_orderkey, l_linenumber, {X} as tl_x, {Y} + 100 as br_y, 200 as width, 100 as height, 2.0::double as aspect from lineitem",
     "agg_8_rate": "select cast(epoch(date_trunc('hour', ts)) as bigint) as start_s, count(*) as n from events group by 1",
     "str_1_latest": "select user_id, event_id, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
@@ -158,5 +179,5 @@ SQL = {
 }
 QUERIES = {f.__name__: f for f in (
     agg_1_confidence, win_1_blocks, win_3_best_mode, srt_5_longest, srt_6_most_ink, cls_5_rules, agg_5_evaluate, jn_1_labelled, cls_9_split, cls_4_forest, geo_1_quads,
-    agg_8_rate, str_1_latest, str_3_throttle, str_4_debounce, str_7_last_value, agg_9_counter, win_4_cycle,
+    jn_3_keywords, jn_4_dictionary, agg_8_rate, str_1_latest, str_3_throttle, str_4_debounce, str_7_last_value, agg_9_counter, win_4_cycle,
 )}
