@@ -2,11 +2,12 @@
 
 Documents are tokenised, ended by one id, and only those longer than `capacity` are cut into
 pieces of exactly `capacity` tokens, the first piece taking the remainder. Pieces are dealt into
-groups of bounded size by a hash of their row. Each group is packed by best fit on falling lengths, and
-local search then empties sequences: a piece moves from the emptiest sequence to a fuller one, or it,
-or two of its pieces, are exchanged for a shorter one there. Each step raises the sum of squared
+groups of bounded size by a hash of their row. Each group is packed by best fit in order of arrival, and
+local search then empties sequences. First it fills them exactly: one takes a piece, or exchanges one or two of its
+pieces for a longer one, from another that is not full either. Then a piece moves from the emptiest sequence to a fuller
+one, or it, or two of its pieces, are exchanged for a shorter one there. Each step raises the sum of squared
 fills, and sequences that become empty go, until there are as few as the tokens need or no step is
-left. Sequences at most half full of all groups (one a group)
+left. Best fit on falling lengths packs each group too, and the result of fewer sequences stays. Sequences at most half full of all groups (one a group)
 are opened and packed together again, until they fit in one group; so a group can hold one sequence
 more than its tokens need.
 
@@ -212,11 +213,70 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
     return full + [b for b in bins if b]
 
 
+def fill_up(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Local search whose steps fill a bin exactly: an underfull bin, that of the longest piece first, takes a piece of the length of its gap from another
+    underfull one, or exchanges one or two of its pieces for one there that is longer by its gap, long ones rather than short ones. Of two
+    underfull bins that is the step that raises the squares most. It gathers the room in few bins, which `improve` then empties. `at` lists the pieces of each length that
+    lie in underfull bins; those that have left are passed over when they are met."""
+    size = lengths.tolist()
+    fill = [sum(size[i] for i in b) for b in bins]
+    home = [0] * len(size)
+    at: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for k, b in enumerate(bins):
+        for i in b:
+            home[i] = k
+            if fill[k] < capacity:
+                at[size[i]].append(i)
+
+    def other(n: int, k: int) -> int:
+        """A piece of length n in an underfull bin other than k, -1 if there is none."""
+        held = at[n] if n <= capacity else ()
+        for j in range(len(held) - 1, -1, -1):
+            i = held[j]
+            if fill[home[i]] == capacity:
+                held[j] = held[-1]
+                held.pop()
+            elif home[i] != k:
+                return i
+        return -1
+
+    def trade(k: int, give: tuple[int, ...], take: int) -> None:
+        to = home[take]
+        bins[to].remove(take)
+        bins[k].append(take)
+        home[take] = k
+        for i in give:
+            bins[k].remove(i)
+            bins[to].append(i)
+            home[i] = to
+        more = size[take] - sum(size[i] for i in give)
+        fill[k] += more
+        fill[to] -= more
+
+    for _ in range(2):
+        for k in sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: -max(size[i] for i in bins[k])):
+            gap, own = capacity - fill[k], bins[k]
+            if gap == 0 or not own:
+                continue
+            some = sorted(own, key=lambda i: -size[i])
+            steps = [(i, j) for x, i in enumerate(some) for j in some[x + 1 :]] + [(i,) for i in some] + [()]
+            for give in sorted(steps, key=lambda g: -sum(size[i] for i in g)):
+                take = other(gap + sum(size[i] for i in give), k)
+                if take >= 0:
+                    trade(k, give, take)
+                    break
+    return [b for b in bins if b]
+
+
 def pack_group(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """bin, offset and fill of the bin of each piece, and whether the search has brought it there: most
-    tokens of its bin come from another bin of best fit."""
-    first = best_fit(lengths, capacity)
-    bins = improve([list(b) for b in first], lengths, capacity)
+    tokens of its bin come from another bin than its own of the start. The search begins from best fit in order of arrival; where best fit
+    on falling lengths needs fewer bins, its result is taken and nothing has moved."""
+    first = best_fit(lengths, capacity, falling=False)
+    bins = improve(fill_up([list(b) for b in first], lengths, capacity), lengths, capacity)
+    falling = best_fit(lengths, capacity)
+    if len(falling) < len(bins):
+        first = bins = falling
     where, offset, fill, before = (np.zeros(len(lengths), np.int64) for _ in range(4))
     for k, b in enumerate(first):
         before[b] = k

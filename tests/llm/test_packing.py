@@ -92,3 +92,39 @@ def test_words_encode_as_whole_texts_do():
     signs = list("ab Z\n\t\r\x0b\x1c\x1f  é'sllt12½ß漢字😀<|endoftext|>._-́\u0000")
     for text in ["", " ", "don't  stop\n\n x", *("".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(2000))]:
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def fewest(lengths, capacity):
+    """The smallest number of bins, over all subsets: (bins, fill of the last one) for each."""
+    best = {0: (1, 0)}
+    for mask in range(1, 1 << len(lengths)):
+        best[mask] = min(
+            (b, f + n) if f + n <= capacity else (b + 1, n)
+            for i, n in enumerate(lengths) if mask >> i & 1 for b, f in [best[mask ^ (1 << i)]]
+        )
+    return best[(1 << len(lengths)) - 1][0]
+
+
+def test_small_groups_against_all_packings():
+    rng = random.Random(3)
+    over, searched = 0, 0
+    for _ in range(150):
+        lengths = np.array([rng.choice([rng.randrange(1, 60), rng.randrange(20, 50)]) for _ in range(rng.randrange(1, 11))])
+        where, offset, fill, moved = packing.pack_group(lengths, 60)
+        assert all(fill[i] == lengths[where == where[i]].sum() <= 60 for i in range(len(lengths)))
+        assert all(sorted(zip(offset[where == k], lengths[where == k]))[0][0] == 0 for k in set(where))
+        more = len(set(where)) - fewest(lengths.tolist(), 60)
+        assert 0 <= more <= 1
+        over, searched = over + more, searched + bool(moved.any())
+    assert over <= 3 and searched > 15
+
+
+def test_exact_fills_raise_the_squares_and_lose_nothing():
+    rng = random.Random(4)
+    for _ in range(30):
+        lengths = np.array([rng.randrange(1, 100) for _ in range(rng.randrange(1, 200))])
+        start = packing.best_fit(lengths, 100, falling=False)
+        bins = packing.fill_up([list(b) for b in start], lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        fills = [[int(lengths[b].sum()) for b in x] for x in (start, bins)]
+        assert max(fills[1]) <= 100 and sum(f * f for f in fills[1]) >= sum(f * f for f in fills[0])
