@@ -77,3 +77,33 @@ def test_smallest_and_largest_values_prune_shards(spark):
     read = lambda name, a, b: sum(span[s, name][0] <= b and span[s, name][1] >= a for s in range(40))
     assert read("lang", "b", "b") <= 24 and read("source", "https://host/03", "https://host/03") <= 28
     assert read("id", 1000, 1400) <= 24 and read("size", 100, 200) <= 24
+
+
+def brute_rows(docs, shards, bits=hs.BITS):
+    """id, shard, slot by sorting all rows: cells from equal-frequency edges of every dimension, taken from all values."""
+    rows = docs.collect()
+    sizes = [len((r.text or "").encode()) + 16 for r in rows]
+    tags = [[r[t] or "" for r in rows] for t in ("lang", "source")]
+    dims = [sizes, *[[sorted(set(tag)).index(v) for v in tag] for tag in tags], [r.doc_id for r in rows]]
+    top, cells = (1 << bits) - 1, []
+    for values in dims:
+        line, n = sorted(values), len(values)
+        edges = sorted({line[max(-(-i * n // (top + 1)) - 1, 0)] for i in range(1, top + 1)})
+        cells.append([sum(e <= v for e in edges) * top // len(edges) for v in values])
+    index = hs.hilbert_index(np.array(cells).T, bits).tolist()
+    order = sorted(range(len(rows)), key=lambda i: (index[i], rows[i].doc_id, zlib.crc32((rows[i].text or "").encode())))
+    size, more = divmod(len(rows), shards)
+    out = []
+    for place, i in enumerate(order):
+        shard = place // (size + 1) if place < more * (size + 1) else more + (place - more * (size + 1)) // size
+        out.append((rows[i].doc_id, sizes[i], shard, place - shard * size - min(shard, more)))
+    return sorted(out)
+
+
+def test_cells_order_and_cuts_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, None if i % 29 == 0 else "w " * rng.choice([3, 3, rng.randrange(200)]), rng.choice(["de", "en", "en", None]), rng.choice("abcdefg")) for i in range(403)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    for shards in (7, 40):
+        got = sorted((r.id, r["size"], r.shard, r.slot) for r in hs.hilbert_shards(docs, shards).collect())
+        assert got == brute_rows(docs, shards)
