@@ -222,6 +222,7 @@ def src_7_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "model")
     saved = classify.save(model, path) and not classify.save(None, path) and classify.load(f"{path}-not") is None
     before = classify.predict(model, rows).select("vec_id", F.col("pred").alias("p"))
+    saved = saved and before.select("p").distinct().count() > 1  # a model of one answer is none
     after = classify.predict(classify.load(path), rows).select("vec_id", "pred")
     return after.join(before, "vec_id").select("vec_id", ((F.col("p") == F.col("pred")) & F.lit(saved)).alias("same"))
 
@@ -232,6 +233,42 @@ def cls_10_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_class.select("true", "total", "correct", F.round("accuracy", 6).alias("accuracy"))
 
 
+#: What the forest must get right of the held-out fifth of the shapes, as a share.
+HELD_OUT = 0.95
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes from the events' keys, with the rules' type as the label to be learnt."""
+    from pyspark.ml.functions import array_to_vector
+
+    aspect, edges = F.col("event_id") % 300 / 100.0, F.col("event_id") % 40 / 100.0
+    noise = F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000.0
+    return table(spark, sf_dir, "events").select("event_id", array_to_vector(F.array(aspect, edges, noise).cast("array<double>")).alias("features"), classify.rule_type(aspect, edges).alias("label"))
+
+
+def cls_2_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest of the operator's size on rows that it was not fitted on: how many there are, of how many classes, and
+    whether it gets HELD_OUT of them right, each with a confidence between 0 and 1."""
+    _, classes, _, test, _ = classify.train_and_evaluate(_shapes(spark, sf_dir), "event_id")
+    sure = F.min((F.col("confidence").between(0, 1) & F.col("confidence").isNotNull()).cast("int")) == 1
+    told = test.agg(F.count("*").alias("n"), (F.avg((F.col("true") == F.col("pred")).cast("double")) >= HELD_OUT).alias("accurate"), sure.alias("sure"))
+    return told.withColumn("classes", F.lit(len(classes)).cast("long"))
+
+
+def cls_7_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model or rules: no model at that path, and a model whose classes have no names, so that the rules speak for every row."""
+    from pyspark.ml.functions import array_to_vector
+
+    shape = F.array(F.col("event_id") % 300 / 100.0, F.col("event_id") % 40 / 100.0)
+    rows = table(spark, sf_dir, "events").select("event_id", array_to_vector(shape.cast("array<double>")).alias("features"), (F.col("event_id") % 3).cast("double").alias("label"))
+    missing = classify.predict_or_rules(classify.load(new_path(spark, "no-model")), rows, [])
+    path = new_path(spark, "model")
+    classify.save(classify.train(rows, trees=3, depth=3), path)
+    unnamed = classify.predict_or_rules(classify.load(path), rows, [])
+    parts = [r.select("event_id", F.lit(case).alias("case"), "doc_type", "confidence") for case, r in (("missing", missing), ("unnamed", unnamed))]
+    return parts[0].union(parts[1])
+
+
 def cls_9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of rows with repeated and null keys."""
     rows = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 10).alias("k"), "event_id")
@@ -305,6 +342,9 @@ SQL = {
     "src_6_newest": "select page_id, sha256(coalesce(html, '')) as sha256 from pages where page_id % 4 < 3 order by page_id desc limit 5",
     "src_4_files": f"select s_suppkey, cast(k as int) as kind, cast(h as bigint) as h, cast(w as bigint) as w, cast(sheet as bigint) as light from {_C}, range(2) t(k)",
     "src_7_model": "select vec_id, true as same from embeddings",
+    "cls_2_held_out": "select cast(floor(count(*) * 0.2) as bigint) as n, true as accurate, true as sure, cast(5 as bigint) as classes from events",
+    "cls_7_without_model": """select event_id, k as case, case when aspect < 0.8 then 'receipt' when aspect <= 1.2 then if(edges < 0.1, 'id_card', 'business_card') else if(edges > 0.15, 'form', 'text_document') end as doc_type, c as confidence
+      from (select event_id, event_id % 300 / 100.0 as aspect, event_id % 40 / 100.0 as edges from events), (values ('missing', 0.6::double), ('unnamed', 0.5::double)) v(k, c)""",
     "cls_9_repeats": "select t as is_test, case when t then cast(floor(n * 0.2) as bigint) else n - cast(floor(n * 0.2) as bigint) end as n, case when t then cast(floor(n * 0.2) as bigint) else n - cast(floor(n * 0.2) as bigint) end as rows from (select count(*) as n from events), (values (true), (false)) v(t)",
     "txt_18_fast": f"select doc_id, case when doc_id % 5 = 0 then 'No document detected' when doc_id % 3 = 0 then 'No text detected' else concat(text[1:20], '...gray') end as text from ({_DOCS})",
     "txt_19_advanced": f"""select doc_id, case when doc_id % 5 = 0 then 'No document detected' when doc_id % 3 > 0 then concat('abc', case when trim(text[1:5]) <> '' then concat(chr(10), trim(text[1:5])) else '' end)
@@ -314,6 +354,6 @@ SQL = {
     "flt_1_blank": f"select doc_id, case when doc_id % 3 = 0 or doc_id % 5 = 0 or trim(text) = '' then 'Empty text' end as error from ({_DOCS})",
 }
 QUERIES = {f.__name__: f for f in (
-    str_2_queue, str_3_stream, str_4_stream, str_6_worker, str_6_recognised, str_7_stream, str_7_asof, str_8_capture, snk_1_saved, snk_2_documents, snk_3_scans, snk_3b_texts, snk_5_lists, snk_4_demo, src_4_files, src_5_labelled, src_6_newest, src_7_model, cls_10_trained, cls_9_repeats,
+    str_2_queue, str_3_stream, str_4_stream, str_6_worker, str_6_recognised, str_7_stream, str_7_asof, str_8_capture, snk_1_saved, snk_2_documents, snk_3_scans, snk_3b_texts, snk_5_lists, snk_4_demo, src_4_files, src_5_labelled, src_6_newest, src_7_model, cls_2_held_out, cls_7_without_model, cls_10_trained, cls_9_repeats,
     txt_18_fast, txt_19_advanced, txt_15_empty, txt_12_full_text, flt_1_blank,
 )}

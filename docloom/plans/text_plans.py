@@ -145,6 +145,12 @@ def txt_11_structured_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(K, *[F.array_join(f"r.{n}", "|").alias(n) for n in ocr.FIELDS])
 
 
+def agg_2_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many dates, addresses and so on a note has."""
+    notes = _rendered(spark, sf_dir, "customer", K, f"case when {K} % 3 = 0 then {DATE} when {K} % 3 = 1 then {NOTE} else 'nothing' end")
+    return notes.select(K, ocr.n_items(ocr.structured_info(F.col("text"))).alias("n_items"))
+
+
 def txt_10_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of receipts, cards, id cards, forms and other texts, by the type named (odd keys) or
     the type found: what the type's record says first."""
@@ -187,6 +193,7 @@ SQL = {
     "txt_13_clean_lines": f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_S('x')}), lambda x: x <> ''), chr(10)) as cleaned, length(replace(replace(text, ' ', ''), chr(10), '')) as ink from documents",
     "srt_12_truncated": "select doc_id, text[1:100] as head, case when length(text) > 200 then concat(text[1:200], '...') else text end as preview, case when length(text) > 500 then concat(text[1:500], '...') else text end as excerpt from documents",
     "txt_11_structured_info": f"select {K}, concat({DATE}, '|23-45-', {pad(f'{K} % 10000', 4)}) as dates, {EMAIL} as emails, substr({PHONE}, 2) as phones, '12 Elm Street' as addresses, {PRICE} as amounts from customer",
+    "agg_2_items": f"select {K}, cast(case {K} % 3 when 0 then 1 when 1 then 6 else 0 end as bigint) as n_items from customer",
     "txt_10_dispatch": f"""select o_orderkey, case when o_orderkey % 6 = 5 then 'Empty text' end as error,
       case o_orderkey % 6 when 0 then 'receipt' when 1 then if(o_orderkey % 12 = 1, 'form', 'text_document') when 2 then 'text_document' when 3 then 'business_card' when 4 then 'id_card' end as type,
       case o_orderkey % 6 when 0 then {SHOP} when 1 then 'Request!' when 2 then concat('chapter ', o_orderkey, ' figure') when 3 then concat('Person ', o_orderkey) when 4 then concat('N', o_orderkey) end as first,
@@ -194,5 +201,5 @@ SQL = {
 }
 QUERIES = {f.__name__: f for f in (
     txt_1_entities, txt_2_doc_type, txt_3_receipt, txt_3_receipt_items, txt_4_business_card, txt_5_id_card, txt_6_form_fields, txt_7_general, txt_8_key_values,
-    txt_9_redact, txt_10_analyze, txt_10_dispatch, txt_11_structured_info, txt_13_clean_lines, srt_12_truncated,
+    txt_9_redact, txt_10_analyze, txt_10_dispatch, agg_2_items, txt_11_structured_info, txt_13_clean_lines, srt_12_truncated,
 )} | {"agg_3_type_distribution": doc_type_distribution}
