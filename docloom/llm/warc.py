@@ -216,7 +216,8 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page
     _save(map_batches(rows, run, "value binary"), path)
 
 
-_KEYS = ["page_id", "digest", "bytes", "file", "at"]
+#: Winners of equal payloads that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def read_arc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
@@ -243,19 +244,21 @@ def read_arc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Writes the WARC files of the ARC files under arc_path. Winners of equal payloads are
-    found on ids and digests alone, summed in the map."""
+    found on ids and digests alone, summed in the map; so is which record revisits which. Payloads are joined by file and place, a key that
+    one record has, so that a payload of many copies makes no large task."""
     keys = written(read_arc(spark, arc_path, bodies=False), "arc-keys").where(F.col("bytes") >= REVISIT)
     winners = written(
         keys.groupBy("digest").agg(F.max(F.struct("page_id", "file", "at")).alias("w"), F.count("*").alias("c"))
         .where("c > 1").select(F.col("digest").alias("d"), "w"),
         "winners",
     )
+    few = winners.count() <= BROADCAST_ROWS
+    copies = keys.join(F.broadcast(winners) if few else winners.hint("merge"), F.col("digest") == F.col("d"))
+    revisits = copies.where((F.col("w.file") != F.col("file")) | (F.col("w.at") != F.col("at")))
+    revisits = written(revisits.select(F.col("file").alias("f"), F.col("at").alias("a"), F.col("w.page_id").alias("refers_to")), "revisits")
     records = read_arc(spark, arc_path)
-    # short payloads are never revisits; each has a key of its own, so that they are dealt evenly
-    key = F.when(F.col("bytes") >= REVISIT, F.col("digest")).otherwise(F.concat_ws(" ", "file", "at"))
-    joined = records.withColumn("k", key).join(winners, F.col("k") == F.col("d"), "left").select(
-        *(c for c in records.columns if c not in ("file", "at", "bytes")),
-        F.when((F.col("w.file") == F.col("file")) & (F.col("w.at") == F.col("at")), F.lit(None)).otherwise(F.col("w.page_id")).alias("refers_to"),
+    joined = records.join(revisits.hint("merge"), (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")), "left").select(
+        *(c for c in records.columns if c not in ("file", "at", "bytes")), "refers_to",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

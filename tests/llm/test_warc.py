@@ -17,6 +17,7 @@ def pages(spark, rows=PAGES):
 @pytest.mark.parametrize("records", [2, 1000])
 def test_round_trip(spark, version, records, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS", records)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0 if records == 2 else 100)
     got = warc.archive(pages(spark), version=version).collect()
     assert sorted((r.page_id or -1, r.payload_bytes, r.payload_digest) for r in got) == sorted(
         (i or -1, len((b or "").encode()), hashlib.sha1((b or "").encode()).hexdigest()) for i, _, b in PAGES
@@ -39,3 +40,9 @@ def test_headers_of_both_versions():
     assert (second["type"], second["payload"], second["url"]) == ("response", b"body\n", "http://v")
     with pytest.raises(ValueError, match="cut off"):
         list(warc.parse_arc(one[:-3]))
+
+
+def test_a_record_larger_than_a_batch(spark):
+    body = "x" * (40 << 20) + "end"
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.archive(pages(spark, [(1, "u", body), (2, "u", body), (3, "u", "y")])).collect()}
+    assert got == {1: ("revisit", 2, len(body)), 2: ("response", None, len(body)), 3: ("response", None, 1)}
