@@ -216,7 +216,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page
     _save(map_batches(rows, run, "value binary"), path)
 
 
-#: Winners of equal payloads that are broadcast at most.
+#: Winners of equal payloads, and revisits, that are broadcast at most.
 BROADCAST_ROWS = 100_000
 
 
@@ -257,7 +257,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     revisits = copies.where((F.col("w.file") != F.col("file")) | (F.col("w.at") != F.col("at")))
     revisits = written(revisits.select(F.col("file").alias("f"), F.col("at").alias("a"), F.col("w.page_id").alias("refers_to")), "revisits")
     records = read_arc(spark, arc_path)
-    joined = records.join(revisits.hint("merge"), (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")), "left").select(
+    some = revisits.count() <= BROADCAST_ROWS
+    joined = records.join(F.broadcast(revisits) if some else revisits.hint("merge"), (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")), "left").select(
         *(c for c in records.columns if c not in ("file", "at", "bytes")), "refers_to",
     )
 
