@@ -68,6 +68,11 @@ def released(spark: SparkSession, *paths: str) -> None:
             _delete(spark._jvm, path, conf)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a part of what was written, such as one folder of a partitioned table."""
+    _delete(spark._jvm, path, spark._jsc.hadoopConfiguration())
+
+
 def _release_rest() -> None:
     """At the end of the process; the JVM still answers when the session has been stopped."""
     from pyspark import SparkContext

@@ -9,10 +9,10 @@ key it belongs to.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from docloom.operators import scan
-from docloom.sources.shared import released, written, written_at
+from docloom.sources.shared import dropped, new_path, written
 
 
 def _next(times: DataFrame, reach: int) -> DataFrame:
@@ -25,20 +25,25 @@ def _next(times: DataFrame, reach: int) -> DataFrame:
 
 
 def marked(first: DataFrame, links: DataFrame) -> DataFrame:
-    """i of the rows on the chains of links (i, j) that begin at the rows of first (i). What a round marks is written
-    as a table of its own; the marked rows are the union of these, as many as there are rounds."""
-    on = written(first, "marked")
-    jump, far = written_at(links, "links")
+    """i of the rows on the chains of links (i, j) that begin at the rows of first (i). A round is one job: it writes what the marked rows
+    lead to (kind 0) and the links of twice the reach (kind 1), and counts the former. The marked rows are the union of all rounds'."""
+    spark = first.sparkSession
+    shape = "i long, j long, kind int"
+    marks = lambda rows: rows.select("i", F.lit(None).cast("long").alias("j"), F.lit(0).alias("kind"))
+    rows, on, path = marks(first).union(links.select("i", "j", F.lit(1).alias("kind"))), None, None
     while True:
-        new, path = written_at(on.join(jump, "i").select(F.col("j").alias("i")), "marked")
-        if new.isEmpty():
-            released(on.sparkSession, path, far)
+        told, at = Observation(), new_path(spark, "round")
+        rows.observe(told, F.count(F.when(F.col("kind") == 0, 1)).alias("n")).write.partitionBy("kind").parquet(at)
+        if path is not None:
+            dropped(spark, f"{path}/kind=1")
+        if not told.get["n"] and on is not None:
+            dropped(spark, at)
             return on
-        on = on.union(new)
-        step = jump.join(jump.select(F.col("i").alias("j"), F.col("j").alias("to")), "j").select("i", F.col("to").alias("j"))
-        longer, place = written_at(step, "links")
-        released(on.sparkSession, far)
-        jump, far = longer, place
+        path, done = at, spark.read.schema(shape).parquet(at)
+        new, jump = done.where("kind = 0").select("i"), done.where("kind = 1").select("i", "j")
+        on = new if on is None else on.union(new)
+        step = jump.join(jump.select(F.col("i").alias("j"), F.col("j").alias("to")), "j").select("i", F.col("to").alias("j"), F.lit(1).alias("kind"))
+        rows = marks(on.join(jump, "i").select(F.col("j").alias("i"))).union(step)
 
 
 def spaced(rows: DataFrame, key: str, gap: float, inclusive: bool, ts: str, order: list[str]) -> DataFrame:
