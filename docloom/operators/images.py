@@ -1,7 +1,7 @@
 """Image operators over a column image: struct<h int, w int, channels int, data binary>, data being
 the pixels row by row, blue-green-red where there are three channels.
 
-Images are worked on one at a time in Arrow batches; no operator shuffles. A null image, one whose
+Images are worked on one at a time in Arrow batches of some megabytes; no operator shuffles. A null image, one whose
 data does not fit its shape, and an empty one give null (or no row, where an operator makes rows)."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.functions import jpeg, pixels as px
 
@@ -20,6 +20,67 @@ from . import classify
 
 IMAGE = "struct<h:int,w:int,channels:int,data:binary>"
 QUAD = "array<struct<x:float,y:float>>"
+#: Bytes of pictures in an Arrow batch, to Python and back; one row at least.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the batches that go to Python to BATCH bytes; a lower setting of the caller stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b"))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
+def _weight(value) -> int:
+    """Bytes of a result, about."""
+    if isinstance(value, dict):
+        return sum(map(_weight, value.values()))
+    return len(value) * (1 if isinstance(value, bytes) else 32) if isinstance(value, bytes | list) else 32
+
+
+def portions(values: Iterator) -> Iterator[list]:
+    """values in lists of about BATCH bytes, so that what grows in Python is handed on in parts."""
+    held, size = [], 0
+    for v in values:
+        held.append(v)
+        size += _weight(v)
+        if size >= BATCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def pictures(keys: Column, make: Callable[[object], np.ndarray | None], spark: SparkSession) -> Column:
+    """An image for each key, make(key)."""
+    return _nested(lambda batches: (to_value(make(k)) for b in batches for k in b), IMAGE, pd.Series, spark)(keys)
+
+
+def _nested(values: Callable[[Iterator], Iterator[dict | None]], kind: str, taken: type, spark: SparkSession) -> Callable[..., Column]:
+    """A function of columns to a struct. It runs once for a row: Spark repeats what it may take for a plain
+    expression in the filters above it."""
+    small_batches(spark)
+    names = [f.split(":")[0] for f in kind[len("struct<") : -1].split(",")]
+
+    def run(batches):
+        for part in portions(values(batches)):
+            yield pd.DataFrame([v or dict.fromkeys(names) for v in part], columns=names)
+
+    run.__annotations__ = {"batches": Iterator[taken], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, kind).asNondeterministic()
+
+
+def _plain(values: Callable[[Iterator], Iterator], kind: str, taken: type, spark: SparkSession) -> Callable[..., Column]:
+    """A function of columns to anything but a struct, run once for a row."""
+    small_batches(spark)
+
+    def run(batches):
+        for part in portions(values(batches)):
+            yield pd.Series(part, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[taken], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, kind).asNondeterministic()
 
 
 def to_array(value) -> np.ndarray | None:
@@ -40,26 +101,18 @@ def to_value(img: np.ndarray | None) -> dict | None:
 def each(df: DataFrame, make: Callable[[np.ndarray, pd.Series], object], out: str, kind: str, image: str = "image", with_: tuple = ()) -> DataFrame:
     """df with a column out of type kind: make(pixels, the values of the columns with_)."""
 
-    def values(packed: pd.DataFrame) -> list:
-        arrays = [to_array(v) for v in packed.iloc[:, 0]]
-        return [None if a is None else make(a, *[packed.iat[i, k] for k in range(1, packed.shape[1])]) for i, a in enumerate(arrays)]
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator:
+        for packed in batches:
+            for row in packed.itertuples(index=False, name=None):
+                a = to_array(row[0])
+                yield None if a is None else make(a, *row[1:])
 
     packed = F.struct(F.col(image).alias("c0"), *[F.col(c).alias(f"c{i + 1}") for i, c in enumerate(with_)])
     if not kind.startswith("struct<"):
-
-        @F.pandas_udf(kind)
-        def plain(packed: pd.DataFrame) -> pd.Series:
-            return pd.Series(values(packed), dtype=object)
-
-        return df.withColumn(out, plain(packed))
-    names = [f.split(":")[0] for f in kind[len("struct<") : -1].split(",")]
-
-    @F.pandas_udf(kind)
-    def nested(packed: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([v or dict.fromkeys(names) for v in values(packed)], columns=names)
-
-    made = df.withColumn(out, nested(packed))
-    return made.withColumn(out, F.when(F.col(out)[names[0]].isNotNull(), F.col(out)))
+        return df.withColumn(out, _plain(values, kind, pd.DataFrame, df.sparkSession)(packed))
+    first = kind[len("struct<") :].split(":")[0]
+    made = df.withColumn(out, _nested(values, kind, pd.DataFrame, df.sparkSession)(packed))
+    return made.withColumn(out, F.when(F.col(out)[first].isNotNull(), F.col(out)))
 
 
 def decode_png(data: bytes) -> np.ndarray | None:
@@ -122,12 +175,10 @@ def encode_png(img: np.ndarray) -> bytes:
 def decoded(files: DataFrame, content: str = "content", out: str = "image") -> DataFrame:
     """files with their picture, PNG or baseline JPEG; files that cannot be read go."""
 
-    @F.pandas_udf(IMAGE)
-    def run(data: pd.Series) -> pd.DataFrame:
-        made = [to_value(decode_file(bytes(x))) if x is not None else None for x in data]
-        return pd.DataFrame([v or dict.fromkeys(("h", "w", "channels", "data")) for v in made], columns=["h", "w", "channels", "data"])
+    def read(batches: Iterator[pd.Series]) -> Iterator[dict | None]:
+        return (to_value(decode_file(bytes(x))) if x is not None else None for data in batches for x in data)
 
-    return files.withColumn(out, run(content)).where(F.col(out)["h"].isNotNull())
+    return files.withColumn(out, _nested(read, IMAGE, pd.Series, files.sparkSession)(content)).where(F.col(out)["h"].isNotNull())
 
 
 def encoded(df: DataFrame, out: str = "png", image: str = "image", kind: str = "png") -> DataFrame:
@@ -233,17 +284,22 @@ def enhanced_as(df: DataFrame, mode: str, out: str = "enhanced", image: str = "i
 
 def ocr_variants(df: DataFrame, id_col: str, image: str = "image") -> DataFrame:
     """id, variant, image: a row for each mode, made in one pass over the images."""
+    return rows_of(df, id_col, image, lambda img: [(mode, mode_pixels(img, mode)) for mode in BY_MODE], ("variant",), "variant string")
+
+
+def rows_of(df: DataFrame, id_col: str, image: str, make: Callable[[np.ndarray], list[tuple]], names: tuple[str, ...], kinds: str) -> DataFrame:
+    """id, names, image: the rows that make gives for each image, in portions."""
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for key, value in zip(pdf[id_col], pdf["image"], strict=True):
-                img = to_array(value)
-                rows += [] if img is None else [(key, mode, to_value(mode_pixels(img, mode))) for mode in BY_MODE]
-            yield pd.DataFrame(rows, columns=[id_col, "variant", "image"])
+            found = ((key, img) for key, img in zip(pdf[id_col], map(to_array, pdf["image"]), strict=True) if img is not None)
+            rows = ({"id": key, "told": told, "image": to_value(made)} for key, img in found for *told, made in make(img))
+            for part in portions(rows):
+                yield pd.DataFrame([(r["id"], *r["told"], r["image"]) for r in part], columns=[id_col, *names, "image"])
 
-    return df.select(id_col, F.col(image).alias("image")).mapInPandas(run, f"`{id_col}` {kind}, variant string, image {IMAGE}")
+    return df.select(id_col, F.col(image).alias("image")).mapInPandas(run, f"`{id_col}` {kind}, {kinds}, image {IMAGE}")
 
 
 def find_quad(img: np.ndarray, sensitivity: float = 0.7) -> np.ndarray | None:

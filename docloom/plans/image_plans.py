@@ -6,7 +6,6 @@ computes it from the keys; other pictures are given as checksums, without SQL.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.operators import classify, detection, enhancers, images
@@ -49,12 +48,9 @@ def draw_square(k: int) -> np.ndarray:
 
 def drawn(spark: SparkSession, sf_dir: str, draw=draw_page) -> DataFrame:
     """s_suppkey, image for all suppliers."""
-    @F.pandas_udf(images.IMAGE)
-    def make(keys: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([images.to_value(draw(int(k))) for k in keys], columns=["h", "w", "channels", "data"])
-
     n = spark.sparkContext.defaultParallelism
-    return table(spark, sf_dir, "supplier").select(K).repartition(n, K).select(K, make(K).alias("image"))
+    keys = table(spark, sf_dir, "supplier").select(K).repartition(n, K)
+    return keys.select(K, images.pictures(F.col(K), lambda k: draw(int(k)), spark).alias("image"))
 
 
 _SHAPE = f"160 + {K} % 3 * 10 as h, 220 + {K} % 4 * 10 as w, 12 + {K} % 9 as x0, 10 + {K} % 7 as y0, 200 + {K} % 4 * 10 + {K} % 5 as x1, 138 + {K} % 3 * 10 + {K} % 6 as y1"
