@@ -40,3 +40,27 @@ def test_folders_of_both_kinds_are_decoded(spark, tmp_path):
     assert {(r.label, r.image.h, r.image.w) for r in rows} == {("receipt", *page.shape[:2]), ("text_document", *page.shape[:2])}
     again = images.decoded(images.encoded(spark.createDataFrame([(images.to_value(page),)], f"image {images.IMAGE}"), "content", kind="jpeg"), out="back").first()
     assert again.back.h == page.shape[0]
+
+
+def test_bits_equal_those_written_one_by_one():
+    """Runs of over 16, 32 and 48 zeros, full blocks, empty ones and large values."""
+    rng = np.random.default_rng(8)
+    blocks = rng.integers(-900, 900, (60, 64)) * (rng.random((60, 64)) < rng.random((60, 1)) ** 3)
+    blocks[0], blocks[1, 1:], blocks[2, 1:63], blocks[2, 63], blocks[3] = 0, 0, 0, 5, 1
+    pairs = [0x00, 0xF0, *(run * 16 + size for run in range(16) for size in range(1, 11))]
+    text = ""
+    for block in blocks.tolist():
+        gap = 0
+        for i, v in enumerate(block):
+            size = abs(v).bit_length()
+            low = f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else ""
+            if i == 0:
+                text += f"{size:04b}{low}"
+            elif v:
+                text += f"{pairs.index(0xF0):08b}" * (gap // 16) + f"{pairs.index(gap % 16 * 16 + size):08b}{low}"
+                gap = 0
+            else:
+                gap += 1
+        text += f"{pairs.index(0):08b}" if not block[63] else ""
+    text += "1" * (-len(text) % 8)
+    assert jpeg._bits(blocks, pairs) == bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8))
