@@ -38,7 +38,9 @@ def _pieces(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return path, f"{2 * width // 1_000_000 + 1} seconds"
 
 
-def _stream(spark: SparkSession, sf_dir: str, path: str, per_batch: int = 1) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The pieces as a stream, about one time slot a micro-batch, in however many files a slot was written."""
+    per_batch = -(-len(spark.read.schema(_events(spark, sf_dir).schema).parquet(path).inputFiles()) // (SLOTS + 2))
     return spark.readStream.schema(_events(spark, sf_dir).schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 

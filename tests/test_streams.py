@@ -88,3 +88,25 @@ def test_spaced_jumps():
     places, last = keyed.spaced(times, 5, 4)
     assert places.tolist() == [4, 6] and last == 30
     assert keyed.spaced(times[:0], 5, 7)[1] == 7 and keyed.spaced(times, 0, None)[0].tolist() == list(range(7))
+
+
+def test_state_grows_by_groups_not_by_keys(spark, tmp_path, monkeypatch):
+    """400 keys that each carry a value to the end lie in four groups."""
+    monkeypatch.setattr(keyed, "GROUPS", 4)
+    data = [(i % 400, i, DAY + dt.timedelta(seconds=i), i if i < 400 else None, "a") for i in range(800)]
+    files(spark, str(tmp_path / "in"), data, 0, 2)
+    got, state = ended(spark, keyed.held_stream(stream(spark, str(tmp_path / "in")), "k", "v", order="id", late="0 seconds"), tmp_path / "z")
+    assert sorted((r.id, r.held) for r in got) == [(i, i % 400) for i in range(800)]
+    assert state[0]["numRowsTotal"] <= 12, state
+
+
+def test_a_slot_in_many_files_is_one_micro_batch(spark, tmp_path):
+    from docloom.plans import flow_plans
+
+    events = spark.range(240).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"))
+    events.repartition(24).write.parquet(str(tmp_path / "events.parquet"))
+    made = flow_plans._stream(spark, str(tmp_path), str(tmp_path / "events.parquet"))
+    q = made.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    read = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(read) == flow_plans.SLOTS + 2 and sum(read) == 240
