@@ -110,3 +110,12 @@ def test_a_slot_in_many_files_is_one_micro_batch(spark, tmp_path):
     q.awaitTermination()
     read = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
     assert len(read) == flow_plans.SLOTS + 2 and sum(read) == 240
+
+
+def test_the_newest_row_of_an_interval_is_an_aggregate(spark, tmp_path):
+    data = [r for r in rows(200) if r[0] is not None]
+    files(spark, str(tmp_path / "in"), data, 10, 2)
+    got, state = ended(spark, keyed.queued_stream(stream(spark, str(tmp_path / "in")), "k", 1, "20 seconds", order="id", late="10 seconds"), tmp_path / "q")
+    want = workers.queued(spark.createDataFrame(data, SCHEMA), "k", 1, "20 seconds", order="id")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+    assert [s["operatorName"] for s in state] == ["stateStoreSave"]
