@@ -85,3 +85,19 @@ def test_stream_into_parts_is_written_once(spark, tmp_path):
     want = sorted(f"f{i}-{k}" for i in range(3) for k in range(5))
     assert run("cp") == want
     assert run("other") == want  # the same batches again, from a lost checkpoint
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    import time
+
+    from docloom.sources import shared
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in map(str, spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles().toSeq())) if "shuffle_" in n}
+    before, setting = files(), spark.conf.get(shared.CLEAN_UP, None)
+    shared.written(spark.range(100_000).repartition(7, "id"), "few")
+    assert spark.conf.get(shared.CLEAN_UP, None) == setting
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
