@@ -2,10 +2,12 @@
 
 import contextlib
 import io
+import tracemalloc
 
 import numpy as np
 import pandas as pd
 
+from docloom.functions import pixels as px
 from docloom.operators import images
 
 PAGE = np.full((200, 300, 3), 7, np.uint8)
@@ -58,3 +60,21 @@ def test_pictures_are_coded_once(spark):
     assert plan_of(coded).count("ArrowEvalPython") == 1
     assert plan_of(back).count("ArrowEvalPython") == 2
     assert [r["id"] for r in back.collect()] == [1]
+
+
+def test_turning_holds_few_planes():
+    """A page of 1,000 x 1,000 in three channels; places and weights are planes, not pictures."""
+    tracemalloc.start()
+    try:
+        out = px.rotated(np.zeros((1000, 1000, 3), np.uint8), 2.0)
+        assert out.shape == (1000, 1000, 3) and tracemalloc.get_traced_memory()[1] < 130e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_places_between_pixels():
+    plane = np.array([[0, 100], [200, 40]], np.uint8)
+    x, y = np.array([[0, 0.5, 1, 7]]), np.array([[0, 0.5, 1, np.nan]])
+    assert px.sampled(plane, x, y).tolist() == [[0, 85, 40, 100]]
+    three = np.stack([plane, 255 - plane, plane // 2], axis=2)
+    assert px.sampled(three, x, y).tolist() == [[[0, 255, 0], [85, 170, 42], [40, 215, 20], [100, 155, 50]]]
