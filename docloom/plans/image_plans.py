@@ -119,7 +119,8 @@ def cls_5_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cls_8_diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = enhancers.typed(images.features(drawn(spark, sf_dir)).withColumn("truth", F.when(F.col(K) % 3 > 0, F.when(F.col(K) % 3 == 1, "form").otherwise("text_document"))))
+    seen = images.features(drawn(spark, sf_dir)).withColumn("truth", F.when(F.col(K) % 3 > 0, F.when(F.col(K) % 3 == 1, "form").otherwise("text_document")))
+    rows = enhancers.typed(seen, features="features")
     out = classify.diagnosed(rows.withColumnRenamed("doc_type", "prediction"), "truth")
     return out.select(K, F.round("named_features.aspect_ratio", 6).alias("aspect_ratio"), F.round("named_features.brightness", 6).alias("brightness"), "prediction", "confidence", "correct")
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 
 from docloom.functions import pixels as px
-from docloom.operators import images
+from docloom.operators import enhancers, images
 
 PAGE = np.full((200, 300, 3), 7, np.uint8)
 
@@ -78,3 +78,13 @@ def test_places_between_pixels():
     assert px.sampled(plane, x, y).tolist() == [[0, 85, 40, 100]]
     three = np.stack([plane, 255 - plane, plane // 2], axis=2)
     assert px.sampled(three, x, y).tolist() == [[[0, 255, 0], [85, 170, 42], [40, 215, 20], [100, 155, 50]]]
+
+
+def test_features_are_taken_once(spark):
+    """Typing pictures whose features are known adds no Python."""
+    rows = spark.createDataFrame([(1, images.to_value(PAGE)), (2, images.to_value(PAGE[:, :100]))], f"id long, image {images.IMAGE}")
+    seen = images.features(rows)
+    made, again = enhancers.typed(seen, features="features"), enhancers.typed(rows)
+    assert plan_of(made).count("ArrowEvalPython") == 1
+    told = lambda df: sorted(df.select("id", "doc_type", "confidence").collect())
+    assert "features" in made.columns and told(made) == told(again)
