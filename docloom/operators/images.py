@@ -198,6 +198,9 @@ def _value_equalised(img: np.ndarray) -> np.ndarray:
 
 
 def _light_equalised(img: np.ndarray, limit: float = 2.0, gain: float = 1.0) -> np.ndarray:
+    if (plane := px.one_plane(img)) is not None:
+        even = px.equalise_tiles(px.LIGHT[plane], limit)
+        return px.like(px.level_of_light(np.minimum(np.arange(256) * gain, 255))[even], img)
     x = px.lab(img)
     x[..., 0] = np.minimum(px.equalise_tiles(px.clip8(x[..., 0] * 2.55), limit) * gain, 255) / 2.55
     return px.from_lab(x)
