@@ -234,3 +234,33 @@ def test_non_local_means_leave_settled_pixels():
         assert np.array_equal(px.non_local_means(plane), _means_by_definition(plane)), plane.shape
     noisy = px.clip8(page + rng.normal(0, 3, page.shape))
     assert min(_seconds(px.non_local_means, page) for _ in range(3)) < 0.3 * min(_seconds(px.non_local_means, noisy) for _ in range(2))
+
+
+def test_pictures_of_equal_channels_are_worked_on_as_one_plane(monkeypatch):
+    from docloom.operators import enhancers
+
+    rng = np.random.default_rng(13)
+    grown = [np.repeat(a[..., None], 3, axis=2) for a in (rng.integers(0, 256, (40, 50)).astype(np.uint8), np.arange(256, dtype=np.uint8)[None].repeat(9, 0))]
+    makes = [enhancers.comprehensive, *(lambda a, m=m: im.mode_pixels(a, m) for m in ("glare", "hdr")), lambda a: im._as_card(a, False), px.bilateral]
+    drawn = image_plans.draw_page(4)
+    short, got = min(_seconds(enhancers.comprehensive, drawn) for _ in range(3)), [[make(a) for a in [*grown, drawn]] for make in makes]
+    monkeypatch.setattr(px, "one_plane", lambda img: img if img.ndim == 2 else None)
+    assert all(np.array_equal(x, make(a)) for make, done in zip(makes, got, strict=True) for x, a in zip(done, [*grown, drawn], strict=True))
+    assert short < 0.8 * min(_seconds(enhancers.comprehensive, drawn) for _ in range(3))
+
+
+def test_outlines_are_counted_by_runs():
+    page = px.gray(image_plans.draw_page(4))
+    ink = px.adaptive(page)
+    assert min(_seconds(px.n_outlines, ink) for _ in range(5)) < 3 * min(_seconds(px.adaptive, page) for _ in range(5))
+
+
+def test_all_angles_are_found_together():
+    edges = np.zeros((260, 300), np.uint8)
+    edges[50::40, 20:280], edges[10:250, 30::90] = 255, 255
+    y, x = np.nonzero(edges)
+    want = []
+    for a in range(180):
+        n = np.unique(np.rint(x * np.cos(np.radians(a)) + y * np.sin(np.radians(a))), return_counts=True)[1]
+        want += [a - 90 if 45 <= a <= 135 else a] * int((n > 150).sum())
+    assert len(want) > 5 and px.line_angles(edges, 150).tolist() == want
