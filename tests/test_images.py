@@ -264,3 +264,13 @@ def test_all_angles_are_found_together():
         n = np.unique(np.rint(x * np.cos(np.radians(a)) + y * np.sin(np.radians(a))), return_counts=True)[1]
         want += [a - 90 if 45 <= a <= 135 else a] * int((n > 150).sum())
     assert len(want) > 5 and px.line_angles(edges, 150).tolist() == want
+
+
+def test_means_that_single_precision_leaves_open_are_taken_again(monkeypatch):
+    """All pixels taken again in double precision, and none, give the definition's pixels; half levels are told apart."""
+    rng = np.random.default_rng(14)
+    planes = [rng.integers(90, 120, (30, 34)).astype(np.uint8), rng.integers(0, 256, (4, 25)).astype(np.uint8)]
+    for unsure in (2.0, px.UNSURE):
+        monkeypatch.setattr(px, "UNSURE", unsure)
+        for plane in planes:
+            assert np.array_equal(px.non_local_means(plane), _means_by_definition(plane)), (unsure, plane.shape)
